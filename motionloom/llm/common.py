@@ -71,7 +71,20 @@ def texts(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     return docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
 
 
-def bulks(batches, least: int = 8 << 20):
+def trim() -> None:
+    """Give freed memory of a worker back to the system."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # a C library without it
+        pass
+
+
+def bulks(batches, least: int = 4 << 20):
     """Arrow batches put together until they hold `least` bytes."""
     import pyarrow as pa
 
@@ -83,8 +96,11 @@ def bulks(batches, least: int = 8 << 20):
         if size >= least:
             yield pa.Table.from_batches(held).combine_chunks()
             held, size = [], 0
+            trim()
     if held:
         yield pa.Table.from_batches(held).combine_chunks()
+        del held
+        trim()
 
 
 def column(table, name: str):

@@ -17,7 +17,7 @@ import pyarrow as pa
 import regex
 
 #: Distinct parts a worker remembers before it starts anew; bounds memory only.
-CACHE_PARTS = 1_200_000
+CACHE_PARTS = 500_000
 
 #: Fixed values of byte-level BPE: its pattern, its special token, and the characters that stand for bytes.
 PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+").findall
@@ -43,7 +43,8 @@ class PartEncoder:
 
     def reset(self) -> None:
         self.entry: dict[bytes, int] = {}
-        self.piece: dict[str, list[int]] = {}
+        self.numbers: dict[int, int] = {}
+        self.piece: dict[str, tuple[int, ...]] = {}
         self.ids = np.zeros(1 << 16, np.uint32)
         self.used = 0
         self.start = np.zeros(1 << 14, np.int64)
@@ -51,17 +52,18 @@ class PartEncoder:
 
     def _add(self, parts: list[bytes]) -> None:
         """Encode parts the cache lacks: cut by the vocabulary's pattern, then the library's BPE model."""
-        known, tokenize, table = self.piece, self.model.tokenize, BYTE_CHARS
+        # `own` shares one number object for each id, so that the cache stays small
+        known, tokenize, table, own = self.piece, self.model.tokenize, BYTE_CHARS, self.numbers
         lists = []
         for part in parts:
-            ids: list[int] = []
+            ids: tuple[int, ...] = ()
             if SPECIAL in part:
-                ids = self.library.encode(part.decode("utf-8"), add_special_tokens=False).ids
+                ids = tuple(self.library.encode(part.decode("utf-8"), add_special_tokens=False).ids)
             else:
                 for piece in PIECES(part.decode("utf-8")):
                     got = known.get(piece)
                     if got is None:
-                        got = [t.id for t in tokenize(piece.encode().decode("latin-1").translate(table))]
+                        got = tuple([own.setdefault(t.id, t.id) for t in tokenize(piece.encode().decode("latin-1").translate(table))])
                         if len(piece) < 64 and len(known) < CACHE_PARTS // 2:
                             known[piece] = got
                     ids = ids + got if ids else got
