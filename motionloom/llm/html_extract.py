@@ -153,7 +153,9 @@ def main_text(html: str | None) -> str:
         if not dropped and (prefer or not preferred):
             best[region] = max(best.get(region, 0.0), v)
     good = {r for r, v in best.items() if preferred or v >= limit}
-    return "\n\n".join(t for t, _, region, dropped, prefer in lines if not dropped and region in good and (prefer or not preferred))
+    # outside of preferred parts a line also has to be near the upper cluster itself, and not mostly tags
+    near = [preferred or (v >= limit / 2 and r >= 1) for v, r in zip(value, ratio, strict=True)]
+    return "\n\n".join(t for (t, _, region, dropped, prefer), n in zip(lines, near, strict=True) if n and not dropped and region in good and (prefer or not preferred))
 
 
 def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:

@@ -129,7 +129,7 @@ def _tokenized(docs: DataFrame, path: str, end_id: int) -> DataFrame:
     def run(batches):
         shard = TaskContext.get().partitionId()
         encoder, block = T.encoder(path), 0
-        for table in bulks(batches, 4 << 20):
+        for table in bulks(batches, 6 << 20):
             ids, lens = encoder.encode(column(table, "text"))
             ends = np.cumsum(lens)
             ids = np.insert(ids, ends, np.uint32(end_id)).astype("<u4")

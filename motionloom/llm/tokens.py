@@ -22,6 +22,7 @@ CACHE_PARTS = 500_000
 #: Fixed values of byte-level BPE: its pattern, its special token, and the characters that stand for bytes.
 PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+").findall
 SPECIAL = b"<|endoftext|>"
+MARKS = frozenset(",.;:!?")
 SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
 BYTE_CHARS = {b: b for b in SHOWN} | {b: 256 + i for i, b in enumerate(sorted(set(range(256)) - set(SHOWN)))}
 
@@ -60,10 +61,19 @@ class PartEncoder:
             if SPECIAL in part:
                 ids = tuple(self.library.encode(part.decode("utf-8"), add_special_tokens=False).ids)
             else:
-                for piece in PIECES(part.decode("utf-8")):
+                text = part.decode("utf-8")
+                body = text[1:] if text[0] == " " else text
+                # letters only, or letters and one mark, need no pattern
+                if body.isalpha():
+                    pieces = (text,)
+                elif body[-1:] in MARKS and body[:-1].isalpha():
+                    pieces = (text[:-1], body[-1])
+                else:
+                    pieces = PIECES(text)
+                for piece in pieces:
                     got = known.get(piece)
                     if got is None:
-                        got = tuple([own.setdefault(t.id, t.id) for t in tokenize(piece.encode().decode("latin-1").translate(table))])
+                        got = tuple([own.setdefault(t.id, t.id) for t in tokenize("\u0120" + piece[1:] if piece[0] == " " and piece.isascii() and piece[1:].isalpha() else piece.encode().decode("latin-1").translate(table))])
                         if len(piece) < 64 and len(known) < CACHE_PARTS // 2:
                             known[piece] = got
                     ids = ids + got if ids else got
@@ -109,10 +119,14 @@ class PartEncoder:
         parts = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(bounds), data])
         coded = parts.dictionary_encode()
         keys = coded.dictionary.to_pylist()
-        new = [k for k in keys if k not in self.entry]
-        if new:
+        found = list(map(self.entry.get, keys))
+        if None in found:
+            new = [k for k, v in zip(keys, found, strict=True) if v is None]
+            at = len(self.entry)
             self._add(new)
-        e = np.fromiter(map(self.entry.__getitem__, keys), np.int64, len(keys))[coded.indices.to_numpy()]
+            fresh = iter(range(at, at + len(new)))
+            found = [next(fresh) if v is None else v for v in found]
+        e = np.array(found, np.int64)[coded.indices.to_numpy()]
         lens = self.length[e]
         ends = np.cumsum(lens)
         at = np.repeat(self.start[e] - (ends - lens), lens)
