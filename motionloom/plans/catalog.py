@@ -178,11 +178,11 @@ def participant_aggregate(spark, d):
     return stats.participant_means(_read(spark, d, "lineitem"), ["l_suppkey", "l_returnflag"], ["l_quantity", "l_tax"], "l_linenumber").select("l_suppkey", "l_returnflag", _r("l_quantity", 9).alias("l_quantity"), _r("l_tax", 9).alias("l_tax"), "n_blocks")
 
 
-@query("WITH a AS (SELECT nullif(o_custkey % 50, 7) AS k, round(avg(o_totalprice), 4) AS x FROM orders WHERE o_orderstatus = 'F' GROUP BY 1), b AS (SELECT nullif(o_custkey % 60, 7) AS k, round(avg(o_totalprice), 4) AS x_var FROM orders WHERE o_orderstatus = 'O' GROUP BY 1), c AS (SELECT nullif(o_custkey % 70, 7) AS k, count(*) AS n FROM orders GROUP BY 1), ab AS (SELECT coalesce(a.k, b.k) AS k, x, x_var FROM a FULL JOIN b ON a.k IS NOT DISTINCT FROM b.k) SELECT coalesce(ab.k, c.k) AS k, x, x_var, n, coalesce(x, x_var) AS first_x FROM ab FULL JOIN c ON ab.k IS NOT DISTINCT FROM c.k")
+@query("WITH a AS (SELECT nullif(o_custkey % 50, 7) AS k, round(avg(o_totalprice), 7) AS x FROM orders WHERE o_orderstatus = 'F' GROUP BY 1), b AS (SELECT nullif(o_custkey % 60, 7) AS k, round(avg(o_totalprice), 7) AS x_var FROM orders WHERE o_orderstatus = 'O' GROUP BY 1), c AS (SELECT nullif(o_custkey % 70, 7) AS k, count(*) AS n FROM orders GROUP BY 1), ab AS (SELECT coalesce(a.k, b.k) AS k, x, x_var FROM a FULL JOIN b ON a.k IS NOT DISTINCT FROM b.k) SELECT coalesce(ab.k, c.k) AS k, x, x_var, n, coalesce(x, x_var) AS first_x FROM ab FULL JOIN c ON ab.k IS NOT DISTINCT FROM c.k")
 def coalesce_outer_chain(spark, d):
     o = _read(spark, d, "orders")
     part = lambda n, s: (o.where(F.col("o_orderstatus") == s) if s else o).groupBy(F.nullif(F.col("o_custkey") % n, F.lit(7)).alias("k"))
-    a, b, c = part(50, "F").agg(_r(F.avg("o_totalprice"), 4).alias("x")), part(60, "O").agg(_r(F.avg("o_totalprice"), 4).alias("x")), part(70, None).agg(F.count("*").alias("n"))
+    a, b, c = part(50, "F").agg(_r(F.avg("o_totalprice"), 7).alias("x")), part(60, "O").agg(_r(F.avg("o_totalprice"), 7).alias("x")), part(70, None).agg(F.count("*").alias("n"))
     return joins.outer_chain([("", a), ("_var", b), ("_n", c)], ["k"]).withColumn("first_x", F.coalesce("x", "x_var"))
 
 
