@@ -1,30 +1,33 @@
 """Exact byte-level BPE ids for whole texts, through the `tokenizers` library.
 
-The vocabulary's pre-tokenizer starts a new piece at a single space between two
-non-space characters, whatever stands around it. So a text is cut there, each
-distinct part is encoded once by the library, and ids are put together by index.
-Other white space is never cut at and stays inside a part.
+The vocabulary's pre-tokenizer starts a new piece at a single space or line feed
+between two non-space characters, whatever stands around it. So a text is cut
+there, each distinct part is encoded once by the library, and ids are put together
+by index. Other white space is never cut at and stays inside a part. A mark after
+a letter is a piece of its own, so such a part is its stem's ids and the mark's.
 """
 
 from __future__ import annotations
 
 import os
+import re
 from functools import lru_cache
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-import regex
 
 #: Distinct parts a worker remembers before it starts anew; bounds memory only.
-CACHE_PARTS = 500_000
+CACHE_PARTS = 700_000
 
-#: Fixed values of byte-level BPE: its pattern, its special token, and the characters that stand for bytes.
-PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+").findall
-SPECIAL = b"<|endoftext|>"
-MARKS = frozenset(",.;:!?")
-SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
-BYTE_CHARS = {b: b for b in SHOWN} | {b: 256 + i for i, b in enumerate(sorted(set(range(256)) - set(SHOWN)))}
+#: Marks that end a part, and are one token each.
+MARKED = re.compile(rb"[ \n].*[A-Za-z][,.;:!?]", re.DOTALL).fullmatch
+
+#: New parts that the library gets as one text.
+JOINED = 2000
+
+#: Parts that may stand one after another in one text: cut at both ends by the rule of encode().
+CUT = re.compile(rb"[ \n](?=[!-~\xc3-\xe0\xe4-\xff]).*(?<![\x00-\x20\x7f])(?<!\xc2.)(?<![\xe1-\xe3]..)", re.DOTALL).fullmatch
 
 
 def default_path() -> str:
@@ -39,54 +42,77 @@ class PartEncoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.model = self.library.model
+        # the vocabulary writes each byte of a token as one character
+        vocabulary = self.library.get_vocab(with_added_tokens=True)
+        self.bytes_of = np.zeros(max(vocabulary.values()) + 1, np.int64)
+        for token, i in vocabulary.items():
+            self.bytes_of[i] = len(token)
+        self.mark = {m: vocabulary[chr(m)] for m in b",.;:!?"}
         self.reset()
 
     def reset(self) -> None:
         self.entry: dict[bytes, int] = {}
-        self.numbers: dict[int, int] = {}
-        self.piece: dict[str, tuple[int, ...]] = {}
         self.ids = np.zeros(1 << 16, np.uint32)
         self.used = 0
         self.start = np.zeros(1 << 14, np.int64)
         self.length = np.zeros(1 << 14, np.int64)
 
+    def _library(self, text: bytes) -> np.ndarray:
+        return np.array(self.library.encode_batch_fast([text.decode("utf-8")], add_special_tokens=False)[0].ids, np.uint32)
+
+    def _encoded(self, parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of parts one after another, and each part's number of ids.
+
+        The parts are one text to the library; its ids' bytes tell where a part ends.
+        Should an id reach over such an end, each part is encoded by itself.
+        """
+        ids = self._library(b"".join(parts))
+        reached = np.cumsum(self.bytes_of[ids])
+        ends = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)))
+        stop = np.searchsorted(reached, ends, "right")
+        if len(reached) and stop[0] > 0 and reached[-1] == ends[-1] and (reached[stop - 1] == ends).all():
+            return ids, np.diff(stop, prepend=0)
+        each = [self._library(p) for p in parts]
+        return np.concatenate(each), np.fromiter(map(len, each), np.int64, len(each))
+
     def _add(self, parts: list[bytes]) -> None:
-        """Encode parts the cache lacks: cut by the vocabulary's pattern, then the library's BPE model."""
-        # `own` shares one number object for each id, so that the cache stays small
-        known, tokenize, table, own = self.piece, self.model.tokenize, BYTE_CHARS, self.numbers
-        lists = []
-        for part in parts:
-            ids: tuple[int, ...] = ()
-            if SPECIAL in part:
-                ids = tuple(self.library.encode(part.decode("utf-8"), add_special_tokens=False).ids)
-            else:
-                text = part.decode("utf-8")
-                body = text[1:] if text[0] == " " else text
-                # letters only, or letters and one mark, need no pattern
-                if body.isalpha():
-                    pieces = (text,)
-                elif body[-1:] in MARKS and body[:-1].isalpha():
-                    pieces = (text[:-1], body[-1])
-                else:
-                    pieces = PIECES(text)
-                for piece in pieces:
-                    got = known.get(piece)
-                    if got is None:
-                        got = tuple([own.setdefault(t.id, t.id) for t in tokenize("\u0120" + piece[1:] if piece[0] == " " and piece.isascii() and piece[1:].isalpha() else piece.encode().decode("latin-1").translate(table))])
-                        if len(piece) < 64 and len(known) < CACHE_PARTS // 2:
-                            known[piece] = got
-                    ids = ids + got if ids else got
-            lists.append(ids)
-        lens = np.fromiter(map(len, lists), np.int64, len(lists))
-        flat = np.fromiter(chain.from_iterable(lists), np.uint32, int(lens.sum()))
+        """Encode parts the cache lacks: stems first, then those that are a stem and a mark."""
+        marked = [p for p in parts if MARKED(p) and CUT(p)]
+        apart = set(marked)
+        stems = dict.fromkeys(p[:-1] for p in marked)
+        self._store([p for p in dict.fromkeys(chain(stems, parts)) if p not in apart and p not in self.entry])
+        if marked:
+            of = np.fromiter((self.entry[p[:-1]] for p in marked), np.int64, len(marked))
+            last = np.fromiter((self.mark[p[-1]] for p in marked), np.uint32, len(marked))
+            lens = self.length[of] + 1
+            ends = np.cumsum(lens)
+            at = np.repeat(self.start[of] - (ends - lens), lens) + np.arange(int(ends[-1]))
+            at[ends - 1] = 0
+            flat = self.ids[at]
+            flat[ends - 1] = last
+            self._append(marked, flat, lens, np.arange(len(marked)))
+
+    def _store(self, parts: list[bytes]) -> None:
+        """Encode parts, those that are cut at both ends together."""
+        cut = np.fromiter((CUT(p) is not None for p in parts), bool, len(parts))
+        lens, flat = np.zeros(len(parts), np.int64), [np.zeros(0, np.uint32)]
+        together = np.flatnonzero(cut)
+        runs = [together[i : i + JOINED] for i in range(0, len(together), JOINED)] + [[i] for i in np.flatnonzero(~cut)]
+        for run in runs:
+            ids, lens[run] = self._encoded([parts[i] for i in run])
+            flat.append(ids)
+        if runs:
+            self._append(parts, np.concatenate(flat), lens, np.concatenate(runs))
+
+    def _append(self, parts: list[bytes], flat: np.ndarray, lens: np.ndarray, order: np.ndarray) -> None:
+        """Remember parts with their ids, which lie in this order."""
         k, n = len(self.entry), len(self.entry) + len(parts)
         if self.used + len(flat) > len(self.ids):
             self.ids = np.resize(self.ids, max(2 * len(self.ids), self.used + len(flat)))
         if n > len(self.start):
             self.start, self.length = (np.resize(x, max(2 * len(x), n)) for x in (self.start, self.length))
         self.ids[self.used : self.used + len(flat)] = flat
-        self.start[k:n] = self.used + np.cumsum(lens) - lens
+        self.start[k + order] = self.used + np.cumsum(lens[order]) - lens[order]
         self.length[k:n] = lens
         self.used += len(flat)
         self.entry.update(zip(parts, range(k, n), strict=True))
@@ -103,7 +129,7 @@ class PartEncoder:
         lo, hi = int(offsets[0]), int(offsets[-1])
         data = texts.buffers()[2].slice(lo, hi - lo)
         b, offsets = np.frombuffer(data, np.uint8), offsets - lo
-        cuts = np.flatnonzero(b == 0x20)
+        cuts = np.flatnonzero((b == 0x20) | (b == 0x0A))
         cuts = cuts[(cuts >= 3) & (cuts < len(b) - 1)]
         # white space beyond ASCII ends in C2 xx or E1-E3 xx xx and begins with C2, E1, E2 or E3
         nxt, prev = b[cuts + 1], b[cuts - 1]
@@ -122,9 +148,8 @@ class PartEncoder:
         found = list(map(self.entry.get, keys))
         if None in found:
             new = [k for k, v in zip(keys, found, strict=True) if v is None]
-            at = len(self.entry)
             self._add(new)
-            fresh = iter(range(at, at + len(new)))
+            fresh = map(self.entry.__getitem__, new)
             found = [next(fresh) if v is None else v for v in found]
         e = np.array(found, np.int64)[coded.indices.to_numpy()]
         lens = self.length[e]
