@@ -101,7 +101,7 @@ def kruskal(long: DataFrame, label: str) -> DataFrame:
     n = F.col("N").cast("double")
     total = sums.groupBy("feature").agg(F.sum("n").alias("N"), F.count(F.lit(1)).alias("k"), F.sum(F.col("r") * F.col("r") / F.col("n")).alias("s"))
     ties = each.groupBy("feature").agg(F.sum(F.col("t").cast("double") ** 3 - F.col("t")).alias("ties"))
-    correction = 1 - F.col("ties") / (n**3 - n)
+    correction = 1 - F.try_divide(F.col("ties"), n**3 - n)
     return total.join(ties, "feature").select("feature", F.col("N").alias("n"), "k", F.when((F.col("k") >= 2) & (correction > 0), (12 / (n * (n + 1)) * F.col("s") - 3 * (n + 1)) / correction).alias("h"))
 
 
@@ -112,13 +112,18 @@ def residualized(df: DataFrame, value: str, by: str, out: str = "residual") -> D
     return df.withColumn("_one", F.lit(1)).join(F.broadcast(fit), "_one").drop("_one").withColumn(out, F.col(value) - F.col("_a") - F.col("_b") * F.col(by)).drop("_a", "_b")
 
 
+def pearson(x: Column, y: Column) -> Column:
+    """r of an aggregate, null where either stands still; corr() divides by zero there in ANSI mode. Both hold the same rows' values."""
+    return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
+
+
 def correlations(df: DataFrame, features: list[str], least: int = 5) -> DataFrame:
     """Pairwise-complete Pearson r of feature pairs, in one pass: an aggregate for each pair of columns."""
     aggs, names = [], []
     for i, a in enumerate(features):
         for b in features[i + 1 :]:
             both = F.col(a).isNotNull() & F.col(b).isNotNull()
-            aggs.append(F.struct(F.lit(a).alias("feature_1"), F.lit(b).alias("feature_2"), F.count(F.when(both, 1)).alias("n"), F.corr(F.when(both, F.col(a)), F.when(both, F.col(b))).alias("r")).alias(f"p{len(names)}"))
+            aggs.append(F.struct(F.lit(a).alias("feature_1"), F.lit(b).alias("feature_2"), F.count(F.when(both, 1)).alias("n"), pearson(F.when(both, F.col(a)), F.when(both, F.col(b))).alias("r")).alias(f"p{len(names)}"))
             names.append(f"p{len(names)}")
     one = df.agg(*aggs)
     rows = one.select(F.explode(F.array(*names)).alias("e")).select("e.*")

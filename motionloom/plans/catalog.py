@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from motionloom.functions import scalars as S
+from motionloom.operators import evaluate
 from motionloom.operators import features as FE
 from motionloom.operators import joins, learn, pca, stats
 from motionloom.operators import windows as W
@@ -440,6 +441,46 @@ def tail_p(spark, d):
     return stats.with_tails(stats.anova(_labelled(spark, d), "o_orderpriority"))
 
 
+SD = "v AS (SELECT o_orderstatus AS instrument, o_orderpriority AS g, o_custkey::DOUBLE AS d, 'price' AS feature, o_totalprice AS x FROM orders UNION ALL SELECT o_orderstatus, o_orderpriority, o_custkey, 'day', day(o_orderdate) FROM orders)"
+
+
+def _anova_sql(x: str, n: str) -> str:
+    return f"{n}g AS (SELECT instrument, feature, g, count(*) AS n, avg({x}) AS m, var_pop({x}) AS v FROM y GROUP BY ALL HAVING count(*) >= 2), {n}t AS (SELECT instrument, feature, sum(n) AS n, count(*) AS k, sum(n * m) / sum(n) AS mean, sum(n * v) AS w FROM {n}g GROUP BY ALL), {n} AS (SELECT instrument, feature, any_value(t.n)::BIGINT AS n, any_value(k) AS k, sum(q.n * (m - mean) * (m - mean)) AS b, any_value(w) AS w FROM {n}g q JOIN {n}t t USING (instrument, feature) GROUP BY ALL)"
+
+
+@query(f"WITH {SD}, l AS (SELECT instrument, feature, count(*) AS n, regr_slope(x, d) AS b, regr_intercept(x, d) AS a, corr(x, d) AS r FROM v GROUP BY ALL HAVING count(*) >= 10 AND count(DISTINCT g) >= 2), y AS (SELECT v.*, x - a - b * d AS res FROM v JOIN l USING (instrument, feature)), {_anova_sql('x', 'raw')}, {_anova_sql('res', 'rsd')} SELECT instrument, feature, l.n AS n_participants, round(r, 6) AS duration_r, round((raw.b / (raw.k - 1)) / (raw.w / (raw.n - raw.k)), 5) AS raw_f, round(raw.b / (raw.b + raw.w), 8) AS raw_eta_squared, round((rsd.b / (rsd.k - 1)) / (rsd.w / (rsd.n - rsd.k)), 5) AS residual_f FROM l JOIN raw USING (instrument, feature) JOIN rsd USING (instrument, feature)")
+def skill_duration_evaluation(spark, d):
+    o = _read(spark, d, "orders").select(F.col("o_orderstatus").alias("instrument"), F.col("o_orderpriority").alias("g"), F.col("o_custkey").cast("double").alias("d"), F.col("o_totalprice").alias("price"), F.dayofmonth("o_orderdate").alias("day"))
+    r = evaluate.skill_duration(stats.long_form(o, ["instrument", "g", "d"], ["price", "day"]), ["instrument"], "g", "d")
+    return r.select("instrument", "feature", "n_participants", _r("duration_r").alias("duration_r"), _r("raw_f", 5).alias("raw_f"), _r("raw_eta_squared", 8).alias("raw_eta_squared"), _r("residual_f", 5).alias("residual_f"))
+
+
+@query("SELECT * FROM (" + " UNION ALL ".join(f"SELECT l_returnflag, '{a}' AS feature_1, '{b}' AS feature_2, count(*) AS n_participants, round(corr({a}, {b}), 6) AS r, abs(corr({a}, {b})) >= 0.9 AS flag FROM lineitem GROUP BY 1 HAVING count(*) >= 5" for i, a in enumerate(SIGNALS) for b in SIGNALS[i + 1 :]) + ")")
+def redundancy_by_instrument(spark, d):
+    return evaluate.redundancy_by(_read(spark, d, "lineitem"), ["l_returnflag"], SIGNALS).withColumn("r", _r("r"))
+
+
+@query("WITH c AS (SELECT l_returnflag, unnest(['l_quantity', 'l_tax']) AS feature, unnest([count(CASE WHEN l_returnflag <> 'A' THEN l_quantity END), count(l_tax)]) AS n FROM lineitem GROUP BY 1) SELECT feature, min(n) AS least_valid, min(n) >= 2 AS kept FROM c GROUP BY feature")
+def feature_support(spark, d):
+    li = _read(spark, d, "lineitem").select("l_returnflag", F.when(F.col("l_returnflag") != "A", F.col("l_quantity")).alias("l_quantity"), "l_tax")
+    return evaluate.support(stats.long_form(li, ["l_returnflag"], ["l_quantity", "l_tax"]), ["l_returnflag"])
+
+
+def _bundle(spark, d):
+    o = _read(spark, d, "orders").select("o_orderkey", F.col("o_totalprice").alias("price"), F.dayofmonth("o_orderdate").cast("double").alias("day"), F.lit(1.0).alias("still"), F.when(F.col("o_orderkey") % 2 == 0, F.col("o_totalprice")).alias("half"), "o_orderpriority", "o_orderstatus")
+    return evaluate.bundle(o, ["o_orderkey"], ["price", "day", "still", "half"], "o_orderpriority", "o_orderstatus", ["F", "O", "P"])
+
+
+@query()
+def report_ranking(spark, d):
+    return _bundle(spark, d)["ranking"].select("scope", "feature", "score", "rank")
+
+
+@query()
+def report_summary(spark, d):
+    return evaluate.bundle_summary(_bundle(spark, d))
+
+
 def _trials(spark, d):
     # a study: one row for each participant
     a = _read(spark, d, "orders").groupBy("o_custkey").agg(F.avg("o_totalprice").alias("price"), F.max("o_totalprice").alias("most"), F.count("*").cast("double").alias("n_orders"))
