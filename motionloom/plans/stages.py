@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from motionloom.functions import scalars as S
 from motionloom.operators import features as FE
-from motionloom.operators import joins, learn, stats, windows
+from motionloom.operators import evaluate, joins, learn, stats, windows
 from motionloom.sources import frames
 
 ORDER = ["preprocess", "unified_pca", "extract_features", "merge_skill_labels", "analyze_features", "train_classical", "train_grouped", "train_rnn"]
@@ -81,7 +81,8 @@ def analyze(spark: SparkSession, cfg: dict) -> DataFrame:
 
 def train(spark: SparkSession, cfg: dict, grouped: bool) -> DataFrame:
     df = spark.read.parquet(cfg["paths"]["out"] + "/merge_skill_labels")
-    feats = [c for c in df.columns if c.startswith(("ROM_", "sparc", "ldj"))]
+    chosen = cfg["training"].get("feature_config")
+    feats = evaluate.model_features(df, chosen) if chosen else [c for c in df.columns if c.startswith(("ROM_", "sparc", "ldj"))]
     out = None
     for task in ("3class", "2class"):
         d = df.withColumn("label", S.task_label(S.c("Skill Level"), task)).where("label is not null")
