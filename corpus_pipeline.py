@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from motionloom.llm import decontam, packing, quality, simhash, suffix
+from motionloom.llm import decontam, packing, quality, shingles, suffix
 from motionloom.llm.common import materialize, read
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -17,9 +17,8 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the least doc_id of each group; rows without doc_id stay."""
-    classed = simhash.near_duplicates(docs)
-    kept = classed.where("doc_id = component_id").select("doc_id").distinct()
+    """The document with the least doc_id of each group of 5-word Jaccard similarity 0.8 or more; rows without doc_id stay."""
+    kept = shingles.near_duplicates(docs.select(*COLUMNS)).where("doc_id = component_id").select("doc_id").distinct()
     unkeyed = docs.where("doc_id is null")
     return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*COLUMNS).union(unkeyed.select(*COLUMNS))
 
