@@ -17,10 +17,11 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the least doc_id of each group of 5-word Jaccard similarity 0.8 or more; rows without doc_id stay."""
-    kept = shingles.near_duplicates(docs.select(*COLUMNS)).where("doc_id = component_id").select("doc_id").distinct()
-    unkeyed = docs.where("doc_id is null")
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*COLUMNS).union(unkeyed.select(*COLUMNS))
+    """One row of each group of 5-word Jaccard similarity 0.8 or more: the least by doc_id (null last), then by its text and other columns."""
+    rows = shingles.prints(docs.select(*COLUMNS))
+    order = F.struct(F.col("doc_id").isNull().alias("unkeyed"), "doc_id", F.xxhash64("text").alias("own"), F.xxhash64(*COLUMNS).alias("all"), "row")
+    firsts = rows.select("row", order.alias("place")).join(shingles.classes(rows), "row").groupBy("class").agg(F.min("place").alias("place"))
+    return rows.join(firsts.select("place.row"), "row", "left_semi").select(*COLUMNS)
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
