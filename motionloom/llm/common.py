@@ -14,34 +14,58 @@ CHECKPOINT = "spark.checkpoint.dir"
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: the session's spark.checkpoint.dir.
 
-    Only where the session names none (local tests) a temporary folder is made
-    and kept in the setting, so one session uses one folder.
+    Only where the session names none and its master is local a temporary folder is
+    made and kept in the setting, so one session uses one folder; on a cluster a
+    missing setting is an error.
     """
     path = spark.conf.get(CHECKPOINT, None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError(f"set {CHECKPOINT} to a folder that all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="motionloom-")
         spark.conf.set(CHECKPOINT, path)
     return path.rstrip("/")
 
 
+#: Folders of the tables that materialize() wrote and that still stand.
+WRITTEN: list[str] = []
+
+
+def _folder(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
 def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Write df to the shared folder and return the reread table (lineage is cut)."""
+    """Write df to the shared folder and return the reread table (lineage is cut).
+
+    Lazy results may read it at any later time; it goes at the end of the driver
+    unless discard() or delete() took it before.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/motionloom/{tag}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    files, p = _folder(spark, path)
+    files.deleteOnExit(p)
+    WRITTEN.append(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._motionloom_path = path
     return out
 
 
+def delete(spark: SparkSession, paths: list[str]) -> None:
+    """Delete folders that materialize() wrote."""
+    for path in paths:
+        files, p = _folder(spark, path)
+        files.delete(p, True)
+        if path in WRITTEN:
+            WRITTEN.remove(path)
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete tables of materialize() that no later result reads."""
     for df in tables:
-        path = getattr(df, "_motionloom_path", None)
-        if path:
-            jvm = df.sparkSession._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
+        delete(df.sparkSession, [p for p in [getattr(df, "_motionloom_path", None)] if p])
 
 
 def free_shuffles(spark: SparkSession) -> None:
@@ -61,9 +85,14 @@ def deals(spark: SparkSession, least: int = 1) -> int:
     return max(least, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
 
 
-def small_batches(spark: SparkSession, rows: int = 512) -> None:
-    """Arrow batches of few rows, since one text may be very long."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def bounded_batches(spark: SparkSession) -> None:
+    """Arrow batches of at most about 4 MB, since one text may be very long.
+
+    Frames are lazy and the setting is the session's, so every operator asks for the
+    same value, and none depends on which was called last.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "4m")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4096")
 
 
 def texts(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

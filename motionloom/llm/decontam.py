@@ -22,9 +22,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from motionloom.llm.common import materialize
+
 WINDOW, NEEDED = 13, 11
 MASKS = ("11101011", "110100111")
-MAX_SEEDS = 500_000
+MAX_SEEDS, MAX_KEYS = 500_000, 1_000_000
 NOT_TOKEN = r"[^\p{L}\p{N}]+"
 
 
@@ -76,9 +78,12 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: s
         segment = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda i: F.get(F.col("h"), F.col("at") - F.col("item_at") + i)).alias("segment")
         laid = hits.select("doc_id", "item_id", start, segment).join(F.broadcast(items), "item_id")
     else:
-        hits = _placed(few, masks).select("doc_id", "at", "seed").join(seeds, "seed").select("doc_id", "item_id", "n", start).distinct()
+        # rows are told apart by their tokens too, so rows of one key or without any don't meet each other's hits
+        rows = few.withColumn("own", F.xxhash64("h"))
+        hits = _placed(rows, masks).select("doc_id", "own", "at", "seed").join(seeds, "seed").select("doc_id", "own", "item_id", "n", start).distinct()
         segment = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda i: F.get(F.col("h"), F.col("start") + i)).alias("segment")
-        laid = hits.join(few, hits["doc_id"].eqNullSafe(few["doc_id"])).select(hits["doc_id"], "item_id", "start", segment).join(items, "item_id")
+        once = rows.groupBy(F.col("doc_id").alias("_id"), F.col("own").alias("_own")).agg(F.first("h").alias("h"))
+        laid = hits.join(once, (F.col("own") == F.col("_own")) & F.col("doc_id").eqNullSafe(F.col("_id"))).select("doc_id", "item_id", "start", segment).join(items, "item_id")
     equal = F.zip_with("segment", "item_h", lambda a, b: F.coalesce((a == b).cast("int"), F.lit(0)))
     judged = laid.select("doc_id", "item_id", "start", F.size("item_h").alias("item_tokens"), equal.alias("equal"))
     judged = judged.select("doc_id", "item_id", "start", "item_tokens", F.aggregate("equal", F.lit(0), lambda a, x: a + x).alias("same"), _best_window(F.col("equal"), WINDOW).alias("best"))
@@ -88,8 +93,13 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: s
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id") -> DataFrame:
-    """The rows of docs without those that overlap an item; their columns stay."""
-    bad = overlaps(docs, benchmark, key).select(F.col("doc_id").alias("_bad")).distinct()
+    """The rows of docs without those that overlap an item; their columns stay.
+
+    The overlapping keys are written and counted first: few are broadcast, so that texts
+    are not shuffled to leave them out; beyond MAX_KEYS the join is left to the planner.
+    """
+    bad = materialize(overlaps(docs, benchmark, key).select(F.col("doc_id").alias("_bad")).distinct(), "overlapping")
+    bad = F.broadcast(bad) if bad.count() <= MAX_KEYS else bad
     return docs.join(bad, docs[key].cast("long").eqNullSafe(bad["_bad"]), "left_anti")
 
 

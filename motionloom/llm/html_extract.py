@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from motionloom.llm.common import small_batches
+from motionloom.llm.common import bounded_batches
 
 # HTML's element names by their part in a page.
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead title tr ul".split())
@@ -160,7 +160,7 @@ def main_text(html: str | None) -> str:
 
 def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """page_id, url, text and n_chars of every page."""
-    small_batches(pages.sparkSession, 256)
+    bounded_batches(pages.sparkSession)
 
     def run(batches):
         for batch in batches:

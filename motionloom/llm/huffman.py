@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from motionloom.llm import tokens as T
-from motionloom.llm.common import bulks, column, deals, discard, free_shuffles, materialize, small_batches, texts
+from motionloom.llm.common import bulks, column, deals, discard, free_shuffles, materialize, bounded_batches, texts
 
 MAX_BITS, STEP, BLOCK_IDS = 18, 256, 1 << 20
 MAGIC = b"MLHUF001"
@@ -179,7 +179,7 @@ def _counted(blocks: DataFrame) -> DataFrame:
 def write_ids(docs: DataFrame, path: str | None = None, end_id: int = 2) -> tuple[DataFrame, np.ndarray]:
     """Tokenize and code all documents; the written table of blocks, and the code lengths by id."""
     spark = docs.sparkSession
-    small_batches(spark)
+    bounded_batches(spark)
     blocks = materialize(_tokenized(docs, path or T.default_path(), end_id), "ids")
     free_shuffles(spark)
     counts = {r["id"]: r["n"] for r in _counted(blocks).collect()}  # as many rows as the vocabulary has at most
@@ -197,7 +197,7 @@ def write_ids(docs: DataFrame, path: str | None = None, end_id: int = 2) -> tupl
                 data = encode_block(np.frombuffer(raw, "<u4", offset=8 * row["n_docs"]), lens, lengths, codes)
                 yield pa.RecordBatch.from_pydict({k: pa.array([v], pa.int32() if k in ("shard", "block") else None) for k, v in row.items()} | {"coded": [data]})
 
-    small_batches(spark, 8)
+    bounded_batches(spark)
     coded = materialize(blocks.mapInArrow(run, BLOCKS.replace("ids binary", "coded binary", 2).replace("doc_coded", "doc_ids")), "coded")
     discard(blocks)
     return coded, lengths

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from motionloom.llm import words as W
-from motionloom.llm.common import bulks, column, small_batches, texts
+from motionloom.llm.common import bulks, column, bounded_batches, texts
 
 BUCKETS, SAMPLE, CONFIRM, LEAST_PROBABILITY = 1 << 16, 1000, 0.6, 0.5
 
@@ -184,7 +184,7 @@ def scan(docs: DataFrame, scanner: Scanner) -> DataFrame:
     family is null without a licence paragraph; confirmed says whether a template agrees;
     n_licence counts the confirmed paragraphs.
     """
-    small_batches(docs.sparkSession)
+    bounded_batches(docs.sparkSession)
 
     def run(batches):
         for table in bulks(batches):

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from motionloom.llm import words as W
-from motionloom.llm.common import bulks, column, small_batches, texts
+from motionloom.llm.common import bulks, column, bounded_batches, texts
 
 GROUPS, MEMBERS, OWN, WIDTH, REACH = 32, 32, 768, 16, 2
 SYMBOLS, PAD = GROUPS * MEMBERS, GROUPS * MEMBERS
@@ -159,7 +159,7 @@ def count_words(docs: DataFrame) -> DataFrame:
 def train(docs: DataFrame, warm: int = WARM) -> tuple[Network, np.ndarray, np.ndarray]:
     """The network, and the hashes (sorted) and symbols of the words that have their own."""
     spark = docs.sparkSession
-    small_batches(spark)
+    bounded_batches(spark)
     top = [r["word"] for r in count_words(docs).orderBy(F.desc("n"), "word").limit(OWN).collect()]
     known = np.array(top, np.int64).view(np.uint64)
     number = np.argsort(known, kind="stable")
@@ -216,7 +216,7 @@ def train(docs: DataFrame, warm: int = WARM) -> tuple[Network, np.ndarray, np.nd
 def score(docs: DataFrame, model: tuple[Network, np.ndarray, np.ndarray]) -> DataFrame:
     """doc_id, n_words, log_likelihood and mean_log_likelihood of every row."""
     net, known, number = model
-    small_batches(docs.sparkSession)
+    bounded_batches(docs.sparkSession)
 
     def run(batches):
         for table in bulks(batches, 4 << 20):

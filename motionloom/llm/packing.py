@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from motionloom.llm import tokens as T
-from motionloom.llm.common import bulks, column, small_batches, texts
+from motionloom.llm.common import bulks, column, bounded_batches, texts
 
 POOL = 1024
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -133,7 +133,7 @@ def pack_cut(docs, size: int, segments: int, emit) -> None:
 def pack_documents(docs: DataFrame, path: str | None = None, size: int = 1024, end_id: int = 0, segments: int | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per piece of a document; pieces of a sequence_id lie gapless from offset 0."""
     path, segments = path or T.default_path(), segments or size
-    small_batches(docs.sparkSession)
+    bounded_batches(docs.sparkSession)
 
     def run(batches):
         part = TaskContext.get().partitionId() if TaskContext.get() else 0
@@ -169,7 +169,7 @@ def pack_vectors(examples: DataFrame, key: str, demands: list[str], limits: list
     """Pack whole examples under simultaneous limits; for instruction data these are
     tokens, segments and loss-bearing tokens. An example over a limit by itself is
     kept, alone in its sequence (oversize true); null demands count as 0."""
-    small_batches(examples.sparkSession, 10_000)
+    bounded_batches(examples.sparkSession)
     n_dim = len(demands)
 
     def run(batches):

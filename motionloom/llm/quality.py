@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from motionloom.llm import words as W
-from motionloom.llm.common import bulks, column, small_batches, texts
+from motionloom.llm.common import bulks, column, bounded_batches, texts
 
 PASSAGE, SAMPLE, FOLDS, THRESHOLD = 800, 8000, 5, 0.3
 PAIRS, CODE, GATE = 64, 16, 8
@@ -146,7 +146,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Attention
     """Fit on at most `sample` labelled rows outside the held-out fold; None without both labels."""
     usable = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     chosen = usable.groupBy("doc_id").agg(F.max("quality").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    small_batches(docs.sparkSession)
+    bounded_batches(docs.sparkSession)
 
     def run(batches):
         for table in bulks(batches):
@@ -168,7 +168,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Attention
 
 def score(docs: DataFrame, model: AttentionModel | None) -> DataFrame:
     """doc_id, held_out, score, predicted of every row."""
-    small_batches(docs.sparkSession)
+    bounded_batches(docs.sparkSession)
 
     def run(batches):
         for table in bulks(batches):
@@ -186,7 +186,7 @@ def score(docs: DataFrame, model: AttentionModel | None) -> DataFrame:
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of docs that the classifier accepts; their columns stay."""
     model = train(docs, labels)
-    small_batches(docs.sparkSession)
+    bounded_batches(docs.sparkSession)
     if model is None:
         return docs
 

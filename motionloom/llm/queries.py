@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from motionloom.llm import decontam, html_extract, huffman, license_scan, lm, media, packing, quality, simhash, suffix
+from motionloom.llm import pipeline as stages
 from motionloom.llm.common import read
 
 
@@ -55,9 +56,7 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import corpus_pipeline
-
-    return corpus_pipeline.run(spark, sf_dir)
+    return stages.run(spark, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from motionloom.llm.common import bulks, column, deals, discard, materialize, small_batches, texts
+from motionloom.llm.common import bulks, column, deals, discard, materialize, bounded_batches, texts
 from motionloom.llm.graph import components, forest
 
 RADIUS, HOT = 2, 4096
@@ -96,7 +96,7 @@ def fingerprints_of(texts: pa.Array, words: int = 3) -> np.ndarray:
 
 def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
     """(doc_id, fp) of every row; fp as a signed long of the same bits."""
-    small_batches(docs.sparkSession)
+    bounded_batches(docs.sparkSession)
 
     def run(batches):
         for table in bulks(batches):
@@ -212,7 +212,7 @@ def links(distinct: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, words: int = 3) -> DataFrame:
     """doc_id, fingerprint (hex) and component_id of every row."""
     prints = materialize(fingerprints(docs, words), "simhash")
-    small_batches(docs.sparkSession, 50_000)
+    bounded_batches(docs.sparkSession)
     distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("first"))
     roots = components(links(distinct.select("fp")))
     rooted = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))

@@ -5,40 +5,57 @@ smaller key is removed; the first document that holds a string keeps it.
 
 Any LEAST-byte window holds the same anchor wherever it stands: the GRAM-byte
 string with the least hash in it, the leftmost of equals. Consecutive windows with
-one anchor form a stretch. Rows are dealt into chunks of about CHUNK bytes:
+one anchor form a stretch. Each task puts the rows it reads into chunks of whole
+documents, so texts are not shuffled to be chunked:
 
 1. each chunk sends the hashes of its anchors, each once, to the buckets of the
-   hashes; a bucket answers which of them stand in more than one document;
-2. each chunk sends its different stretches around such anchors, with the first
+   hashes; a bucket answers which of them stand in more than one document, and
+   which have more than HOT different surroundings;
+2. the windows of a hot anchor are told apart one by one: each becomes a stretch of
+   its own whose anchor is the window itself, and step 1 is done for these. So a
+   frequent string with ever different surroundings is spread over all buckets;
+3. each chunk sends its different stretches around repeated anchors, with the first
    document of each, to the buckets. There suffixes are sorted to LEAST bytes, and
    for each the previous and next smaller document in suffix order give its
    longest previous factor; a bucket answers which windows have one of LEAST bytes;
-3. each chunk marks and cuts the bytes of those windows.
+4. each chunk marks and cuts the bytes of those windows, and gives out its rows.
 
-A string that stands in very many documents is sent once by a chunk, so buckets
-stay small; no step gathers all rows of a key.
+A string that stands in very many documents is sent once by a chunk. There are as
+many buckets as chunks, and both are of at least CHUNK bytes of text; beyond 15 GB
+they grow with the square root of the input, so that a chunk's message to a bucket
+stays worth its overhead. The reader of a bucket holds one message of each chunk.
+Stretches of a bucket that are equal are told by their bytes; the arrays are made
+of those that differ.
 
 Cases: null or empty text: no bytes, nothing removed; a null key is neither earlier
 nor later than any other, so such rows stay whole and remove nothing; rows of one
-key remove nothing from each other; empty table: no rows; other columns are kept
-by `clean` and not read by `digests`.
+key remove nothing from each other, in whatever order they come; empty table: no
+rows; other columns, of any names, are kept by `clean` and not read by `digests`.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Callable
 from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
-from motionloom.llm.common import deals, discard, free_shuffles, materialize, small_batches
+from motionloom.llm.common import bounded_batches, discard, free_shuffles, materialize
 
 LEAST, GRAM, CHUNK, SLAB = 50, 20, 4 << 20, 1 << 17
+#: Different surroundings from which on an anchor's windows are told apart; what they are counted as in a chunk, by its two bits.
+HOT, COUNTED_AS = 4096, np.array([1, 2, 16, 256])
+#: Bytes of text for each byte of hashes, and the least useful size of a message: chunks grow so that messages do.
+MESSAGE = 1067
 NO_KEY = np.iinfo(np.int64).max
 U = np.uint64
 BASE, MIX = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
@@ -217,31 +234,61 @@ class Chunk:
         self.least = least
         self.first, self.count, self.anchor, self.doc = stretches(self.bytes, self.bounds, least, gram)
         keyed = ~self.none[self.doc] if len(self.doc) else np.zeros(0, bool)
-        self.first, self.count, self.anchor, self.doc = (x[keyed] for x in (self.first, self.count, self.anchor, self.doc))
-
-    def anchors(self, buckets: int):
-        """(bucket, hashes, whether in two documents here) of each bucket that gets any."""
-        order = np.lexsort((self.doc, self.anchor))
-        h, key = self.anchor[order], self.keys[self.doc[order]]
+        self._keep(keyed)
+        self.fine = np.zeros(len(self.first), bool)
+
+    def _keep(self, which: np.ndarray) -> None:
+        self.first, self.count, self.anchor, self.doc = (x[which] for x in (self.first, self.count, self.anchor, self.doc))
+
+    def refine(self, hot: np.ndarray) -> None:
+        """Make each window of a stretch around a hot anchor (sorted hashes) a stretch by itself."""
+        if not len(hot) or not len(self.anchor):
+            return
+        split = _among(self.anchor, hot)
+        if not split.any():
+            return
+        n = np.where(split, self.count, 1)
+        ends = np.cumsum(n)
+        inside = np.arange(int(ends[-1])) - np.repeat(ends - n, n)
+        fine = np.repeat(split, n)
+        first, doc, anchor = np.repeat(self.first, n) + inside, np.repeat(self.doc, n), np.repeat(self.anchor, n)
+        anchor[fine] = _window_hashes(self.bytes, first[fine], self.least)
+        self.first, self.count, self.anchor, self.doc, self.fine = first, np.where(fine, 1, np.repeat(self.count, n)), anchor, doc, fine
+
+    def _surroundings(self) -> np.ndarray:
+        """A hash that mostly differs where stretches around one anchor do."""
+        ends = self.first + self.count + self.least - 1
+        n = len(self.bytes)
+        out = self.count.astype(U)
+        for k in range(0, 24, 3):
+            out = out * U(BASE) + self.bytes[np.minimum(self.first + k, n - 1)] + U(257) * self.bytes[ends - 1 - k]
+        return out
+
+    def anchors(self, buckets: int, fine: bool = False):
+        """(bucket, hashes, whether in two documents here, class of the number of surroundings) of each bucket that gets any."""
+        which = np.flatnonzero(self.fine == fine)
+        anchor, doc, around = self.anchor[which], self.doc[which], self._surroundings()[which]
+        order = np.lexsort((around, anchor))
+        h, around = anchor[order], around[order]
         new = np.concatenate([[True], h[1:] != h[:-1]]) if len(h) else np.zeros(0, bool)
         at = np.flatnonzero(new)
-        several = np.zeros(len(at), bool)
+        several, size = np.zeros(len(at), bool), np.zeros(len(at), np.uint8)
         if len(at):
-            last = np.append(at[1:], len(h)) - 1
-            several = key[at] != key[last]
+            key = self.keys[doc[order]]
+            several = np.maximum.reduceat(key, at) != np.minimum.reduceat(key, at)
+            differ = np.add.reduceat((new | np.concatenate([[True], around[1:] != around[:-1]])).astype(np.int64), at)
+            size = (np.searchsorted(COUNTED_AS, differ, "right") - 1).astype(np.uint8)
         h = h[at]
         bucket = (h % U(buckets)).astype(np.int64)
         order = np.argsort(bucket, kind="stable")
         cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
-        for k in range(buckets):
-            if cuts[k + 1] > cuts[k]:
-                own = order[cuts[k] : cuts[k + 1]]
-                yield k, h[own], several[own]
+        for k in np.unique(bucket).tolist():
+            own = order[cuts[k] : cuts[k + 1]]
+            yield k, h[own], several[own], size[own]
 
     def shared(self, repeated: np.ndarray, buckets: int):
         """Stretches at the given anchors (sorted hashes): by bucket, the different ones, and where each stands."""
-        at = np.searchsorted(repeated, self.anchor)
-        mine = np.flatnonzero((at < len(repeated)) & (repeated[np.minimum(at, len(repeated) - 1)] == self.anchor)) if len(repeated) else np.zeros(0, np.int64)
+        mine = np.flatnonzero(_among(self.anchor, repeated)) if len(repeated) else np.zeros(0, np.int64)
         data, tail = self.bytes.tobytes(), self.least - 1
         number: dict[tuple[int, bytes], int] = {}
         which = np.zeros(len(mine), np.int64)
@@ -253,85 +300,134 @@ class Chunk:
         return mine, which, first, list(number)
 
 
-def _chunked(docs: DataFrame, least: int, chunk_bytes: int) -> DataFrame:
-    """(chunk, blob): whole documents, about chunk_bytes in each chunk."""
-    spark = docs.sparkSession
-    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    chunks = max(1, -(-total // chunk_bytes))
+def _among(x: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Whether each of x is one of the sorted values."""
+    at = np.minimum(np.searchsorted(known, x), len(known) - 1)
+    return known[at] == x
 
-    def blob(rows):
+
+def _window_hashes(b: np.ndarray, starts: np.ndarray, least: int) -> np.ndarray:
+    """Hashes of the windows of `least` bytes at these places, some at a time."""
+    out = np.empty(len(starts), U)
+    for a in range(0, len(starts), 1 << 16):
+        h = np.zeros(len(starts[a : a + (1 << 16)]), U)
+        for k in range(least):
+            h = h * U(BASE) + (b[starts[a : a + (1 << 16)] + k].astype(U) + U(1))
+        h ^= h >> U(32)
+        h *= U(MIX)
+        out[a : a + (1 << 16)] = h ^ (h >> U(29))
+    return out
+
+
+def _chunked(docs: DataFrame, chunk_bytes: int) -> DataFrame:
+    """(chunk, blob, rest): whole documents, about chunk_bytes in each chunk; rest holds their other columns."""
+
+    def put(chunk: int, held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        rows = pa.Table.from_batches(held).combine_chunks()
+        keys, text = rows.column("doc_id").to_pylist(), rows.column("text").to_pylist()
         # ascending keys; rows without a key are last
-        keys = np.array([NO_KEY if k is None else k for k, _ in rows], np.int64)
-        none = np.array([k is None for k, _ in rows])
-        lens = np.array([len(t) for _, t in rows], "<i8")
-        return pack(keys, none, lens, np.frombuffer(b"".join(t for _, t in rows), np.uint8))
+        order = sorted(range(len(keys)), key=lambda i: (keys[i] is None, keys[i] or 0, text[i]))
+        key = np.array([NO_KEY if keys[i] is None else keys[i] for i in order], np.int64)
+        none = np.array([keys[i] is None for i in order])
+        lens = np.array([len(text[i]) for i in order], "<i8")
+        blob = pack(key, none, lens, np.frombuffer(b"".join(text[i] for i in order), np.uint8))
+        rest = pa.Table.from_arrays([rows.column("rest").take(pa.array(order, pa.int64()))], ["rest"])
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, rest.schema) as w:
+            w.write_table(rest)
+        return pa.RecordBatch.from_pydict({"chunk": pa.array([chunk], pa.int64()), "blob": [blob], "rest": [zstandard.compress(sink.getvalue().to_pybytes(), 1)]})
 
     def run(batches):
-        now, rows = None, []
+        chunk, held, size = TaskContext.get().partitionId() << 32, [], 0
         for batch in batches:
-            for c, k, t in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                if c != now and rows:
-                    yield pa.RecordBatch.from_pydict({"chunk": pa.array([now], pa.int64()), "blob": [blob(rows)]})
-                    rows = []
-                now = c
-                rows.append((k, t))
-        if rows:
-            yield pa.RecordBatch.from_pydict({"chunk": pa.array([now], pa.int64()), "blob": [blob(rows)]})
+            sizes = np.array(pa.compute.binary_length(batch.column("text")).to_pylist(), np.int64)
+            a = 0
+            while a < batch.num_rows:
+                e = a + max(1, int(np.searchsorted(np.cumsum(sizes[a:]), chunk_bytes - size, "left")) + 1)
+                held.append(batch.slice(a, e - a))
+                size, a = size + int(sizes[a:e].sum()), e
+                if size >= chunk_bytes:
+                    yield put(chunk, held)
+                    chunk, held, size = chunk + 1, [], 0
+        if held:
+            yield put(chunk, held)
+
+    return docs.mapInArrow(run, "chunk long, blob binary, rest binary")
 
-    dealt = docs.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).alias("chunk"), "doc_id", F.col("text").cast("binary").alias("text"))
-    return dealt.repartition(min(chunks, 4 * deals(spark)), "chunk").sortWithinPartitions("chunk", F.col("doc_id").asc_nulls_last(), "text").mapInArrow(run, "chunk long, blob binary")
 
+def _send_anchors(own: pa.Table, hot: pa.Table | None, least: int, gram: int, buckets: int):
+    for chunk, blob in zip(own.column("chunk").to_pylist(), own.column("blob").to_pylist(), strict=True):
+        c = Chunk(blob, least, gram)
+        if hot is not None:
+            c.refine(_answered(c, hot, buckets, "hot"))
+        for k, h, several, size in c.anchors(buckets, hot is not None):
+            h = h // U(buckets)
+            sent = h.astype("<u4").tobytes() + (h >> U(32)).astype("<u4").tobytes() + np.packbits(several).tobytes() + np.packbits(size & 1).tobytes() + np.packbits(size >> 1).tobytes()
+            yield pa.RecordBatch.from_pydict({"bucket": pa.array([k], pa.int64()), "chunk": pa.array([chunk], pa.int64()), "n": [len(h)], "sent": [sent]})
 
-def _send_anchors(batches, least: int, gram: int, buckets: int):
-    for batch in batches:
-        for chunk, blob in zip(batch.column("chunk").to_pylist(), batch.column("blob").to_pylist(), strict=True):
-            for k, h, several in Chunk(blob, least, gram).anchors(buckets):
-                h = h // U(buckets)
-                sent = h.astype("<u4").tobytes() + (h >> U(32)).astype("<u2").tobytes() + np.packbits(several).tobytes()
-                yield pa.RecordBatch.from_pydict({"bucket": pa.array([k], pa.int64()), "chunk": pa.array([chunk], pa.int64()), "n": [len(h)], "sent": [sent]})
 
+ANCHORS = "bucket long, chunk long, n long, sent binary"
+ANSWERS = "chunk long, bucket long, answer binary, hot binary"
 
-def _answer_anchors(table: pa.Table) -> pa.Table:
+
+def _answer_anchors(table: pa.Table, limit: int) -> pa.Table:
     rows = table.to_pylist()
-    hashes, several = [], []
+    hashes, several, size = [], [], []
     for r in rows:
         n, raw = r["n"], r["sent"]
-        hashes.append(np.frombuffer(raw, "<u4", n).astype(U) | (np.frombuffer(raw, "<u2", n, 4 * n).astype(U) << U(32)))
-        several.append(np.unpackbits(np.frombuffer(raw, np.uint8, offset=6 * n))[:n].astype(bool))
+        m = -(-n // 8)
+        bits = [np.unpackbits(np.frombuffer(raw, np.uint8, m, 8 * n + j * m))[:n] for j in range(3)]
+        hashes.append(np.frombuffer(raw, "<u4", n).astype(U) | (np.frombuffer(raw, "<u4", n, 4 * n).astype(U) << U(32)))
+        several.append(bits[0].astype(bool))
+        size.append(COUNTED_AS[bits[1] + 2 * bits[2]])
     every = np.concatenate(hashes)
     _, back, count = np.unique(every, return_inverse=True, return_counts=True)
     marked = np.zeros(len(count), bool)
     marked[back[np.concatenate(several)]] = True
     shared = (marked | (count > 1))[back]
-    at, out = 0, []
+    hot = (np.bincount(back, np.concatenate(size)) > limit)[back] & shared
+    at, out, hots = 0, [], []
     for h in hashes:
         out.append(np.packbits(shared[at : at + len(h)]).tobytes())
+        own = hot[at : at + len(h)]
+        hots.append(np.packbits(own).tobytes() if own.any() else None)
         at += len(h)
-    return pa.table({"chunk": pa.array([r["chunk"] for r in rows], pa.int64()), "bucket": pa.array([r["bucket"] for r in rows], pa.int64()), "answer": pa.array(out, pa.binary())})
+    return pa.table({"chunk": pa.array([r["chunk"] for r in rows], pa.int64()), "bucket": pa.array([r["bucket"] for r in rows], pa.int64()), "answer": pa.array(out, pa.binary()), "hot": pa.array(hots, pa.binary())})
 
 
-def _repeated_anchors(chunk: Chunk, answers: list[dict], buckets: int) -> np.ndarray:
-    got = {r["bucket"]: np.unpackbits(np.frombuffer(r["answer"], np.uint8)) for r in answers}
-    found = [h[got[k][: len(h)].astype(bool)] for k, h, _ in chunk.anchors(buckets) if k in got]
+def _answered(chunk: Chunk, answers: pa.Table, buckets: int, column: str, fine: bool = False) -> np.ndarray:
+    """The chunk's anchors that the buckets say yes to, sorted."""
+    got = {r["bucket"]: np.unpackbits(np.frombuffer(r[column], np.uint8)) for r in answers.select(["bucket", column]).to_pylist() if r[column] is not None}
+    found = [h[got[k][: len(h)].astype(bool)] for k, h, *_ in chunk.anchors(buckets, fine) if k in got] if got else []
     return np.sort(np.concatenate(found)) if found else np.zeros(0, U)
 
 
+def _ready(blob: bytes, answers: pa.Table, least: int, gram: int, buckets: int) -> tuple[Chunk, np.ndarray]:
+    """The chunk with its hot anchors told apart, and the anchors that repeat."""
+    chunk = Chunk(blob, least, gram)
+    kind = answers.column("kind").to_numpy() if len(answers) else np.zeros(0, np.int64)
+    coarse, fine = (answers.filter(pa.array(kind == k)) for k in (0, 1))
+    repeated, hot = (_answered(chunk, coarse, buckets, c) for c in ("answer", "hot"))
+    if len(hot):
+        chunk.refine(hot)
+        repeated = np.sort(np.concatenate([repeated[~_among(repeated, hot)], _answered(chunk, fine, buckets, "answer", True)]))
+    return chunk, repeated
+
+
 def _send_stretches(chunks: pa.Table, answers: pa.Table, least: int, gram: int, buckets: int) -> pa.Table:
     out: list[tuple] = []
     for row in chunks.to_pylist():
-        chunk = Chunk(row["blob"], least, gram)
-        repeated = _repeated_anchors(chunk, answers.to_pylist(), buckets)
+        chunk, repeated = _ready(row["blob"], answers, least, gram, buckets)
         mine, _, first, different = chunk.shared(repeated, buckets)
         docs = chunk.keys[chunk.doc[mine[first]]] if len(first) else np.zeros(0, np.int64)
         bucket = np.array([k for k, _ in different], np.int64)
         order = np.argsort(bucket, kind="stable")
         cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
-        for k in range(buckets):
+        for k in np.unique(bucket).tolist():
             own = order[cuts[k] : cuts[k + 1]]
-            if len(own):
-                parts = [different[i][1] for i in own.tolist()]
-                sent = pack(docs[own], np.array([len(p) for p in parts], "<i4"), np.frombuffer(b"".join(parts), np.uint8))
-                out.append((k, row["chunk"], sent))
+            parts = [different[i][1] for i in own.tolist()]
+            sent = pack(docs[own], np.array([len(p) for p in parts], "<i4"), np.frombuffer(b"".join(parts), np.uint8))
+            out.append((k, row["chunk"], sent))
     return pa.table({"bucket": pa.array([r[0] for r in out], pa.int64()), "chunk": pa.array([r[1] for r in out], pa.int64()), "sent": pa.array([r[2] for r in out], pa.binary())})
 
 
@@ -357,21 +453,22 @@ def _answer_stretches(table: pa.Table, least: int) -> pa.Table:
     return pa.table({"chunk": pa.array([r["chunk"] for r in rows], pa.int64()), "bucket": pa.array([r["bucket"] for r in rows], pa.int64()), "answer": pa.array(out, pa.binary())})
 
 
-def _cut(chunks: pa.Table, anchors: pa.Table, windows: pa.Table, least: int, gram: int, buckets: int, give: Callable, empty: pa.Table) -> pa.Table:
+def _cut(chunks: pa.Table, answers: pa.Table, least: int, gram: int, buckets: int, give: Callable) -> list[pa.Table]:
     out = []
+    kind = answers.column("kind").to_numpy() if len(answers) else np.zeros(0, np.int64)
+    windows = answers.filter(pa.array(kind == 2))
     for row in chunks.to_pylist():
-        chunk = Chunk(row["blob"], least, gram)
-        repeated = _repeated_anchors(chunk, anchors.to_pylist(), buckets)
+        chunk, repeated = _ready(row["blob"], answers, least, gram, buckets)
         mine, which, first, different = chunk.shared(repeated, buckets)
         cover = np.zeros(len(chunk.bytes) + 1, np.int64)
         if len(mine):
             bucket = np.array([k for k, _ in different], np.int64)
             sizes = np.array([len(p) for _, p in different], np.int64) - least + 1
             order = np.argsort(bucket, kind="stable")
-            bits, got = [], {r["bucket"]: r["answer"] for r in windows.to_pylist()}
+            bits, got = [], {r["bucket"]: r["answer"] for r in windows.select(["bucket", "answer"]).to_pylist()}
+            wanted = np.bincount(bucket, sizes, buckets).astype(np.int64)
             for k in np.unique(bucket).tolist():
-                n = int(sizes[bucket == k].sum())
-                bits.append(np.unpackbits(np.frombuffer(zstandard.decompress(got[k]), np.uint8))[:n])
+                bits.append(np.unpackbits(np.frombuffer(zstandard.decompress(got[k]), np.uint8))[: wanted[k]])
             bits = np.concatenate(bits).astype(bool)
             base = np.zeros(len(different), np.int64)
             base[order] = np.cumsum(sizes[order]) - sizes[order]
@@ -382,13 +479,12 @@ def _cut(chunks: pa.Table, anchors: pa.Table, windows: pa.Table, least: int, gra
             inside = np.arange(int(ends[-1])) - np.repeat(ends - count, count)
             flag = np.repeat(later, count) | bits[np.repeat(base[which], count) + inside]
             at = (np.repeat(chunk.first[mine], count) + inside)[flag]
-            np.add.at(cover, at, 1)
-            np.add.at(cover, at + least, -1)
-        out.append(give(chunk, np.cumsum(cover)[:-1] > 0))
-    return pa.concat_tables(out) if out else empty
+            cover += np.bincount(at, minlength=len(cover)) - np.bincount(at + least, minlength=len(cover))
+        out.append(give(chunk, np.cumsum(cover)[:-1] > 0, row.get("rest")))
+    return out
 
 
-def _digest(chunk: Chunk, gone: np.ndarray) -> pa.Table:
+def _digest(chunk: Chunk, gone: np.ndarray, _) -> pa.Table:
     rows = []
     for a, z in zip(chunk.bounds[:-1].tolist(), chunk.bounds[1:].tolist(), strict=True):
         g = gone[a:z]
@@ -398,53 +494,65 @@ def _digest(chunk: Chunk, gone: np.ndarray) -> pa.Table:
     return pa.table({"doc_id": pa.array(chunk.keys, mask=chunk.none), "n_bytes": pa.array(n_bytes, pa.int64()), "n_removed": pa.array(removed, pa.int64()), "n_spans": pa.array(spans, pa.int64()), "kept_sha256": pa.array(sha, pa.string())})
 
 
-def _kept(chunk: Chunk, gone: np.ndarray) -> pa.Table:
-    """Row keys, sizes and remaining text; a character of which a part is removed goes whole."""
+def _kept(chunk: Chunk, gone: np.ndarray, rest: bytes) -> pa.Table:
+    """The rows with their remaining text; a character of which a part is removed goes whole.
+    A row that had text and has none left goes."""
+    other = pa.ipc.open_stream(zstandard.decompress(rest)).read_all().combine_chunks().column("rest").chunk(0)
     text = [chunk.bytes[a:z][~gone[a:z]].tobytes().decode("utf-8", "ignore") for a, z in zip(chunk.bounds[:-1].tolist(), chunk.bounds[1:].tolist(), strict=True)]
-    before = [hashlib.sha256(chunk.bytes[a:z].tobytes()).hexdigest() for a, z in zip(chunk.bounds[:-1].tolist(), chunk.bounds[1:].tolist(), strict=True)]
-    return pa.table({"_key": pa.array(chunk.keys, mask=chunk.none), "_sha": pa.array(before, pa.string()), "_text": pa.array(text, pa.string())}).group_by(["_key", "_sha"]).aggregate([("_text", "min")]).rename_columns(["_key", "_sha", "_text"])
+    null, has = other.field(0).to_pylist(), np.diff(chunk.bounds) > 0
+    stays = pa.array(~has | np.array([bool(t) for t in text]))
+    cols = [other.field(i) for i in range(1, other.type.num_fields)]
+    table = pa.table([pa.array([None if z else t for t, z in zip(text, null, strict=True)], pa.string()), *cols], [f"k{i}" for i in range(1 + len(cols))])
+    return table.filter(stays)
 
 
 DIGEST = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
-KEPT = "_key long, _sha string, _text string"
 
 
-def _removed(docs: DataFrame, give: Callable, schema: str, least: int, gram: int, chunk_bytes: int) -> DataFrame:
+def _removed(docs: DataFrame, key: str, text: str, rest: list, give: Callable, schema, empty: pa.Table, least: int, gram: int, chunk_bytes: int, hot: int) -> DataFrame:
     spark = docs.sparkSession
-    buckets = deals(spark)
-    small_batches(spark, 64)
-    chunks = materialize(_chunked(docs, least, chunk_bytes), "chunks")
-    free_shuffles(spark)
-    sent = chunks.mapInArrow(partial(_send_anchors, least=least, gram=gram, buckets=buckets), "bucket long, chunk long, n long, sent binary")
-    anchors = materialize(sent.groupBy("bucket").applyInArrow(lambda table: _answer_anchors(table), "chunk long, bucket long, answer binary"), "anchors")
+    bounded_batches(spark)
+    own = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary").alias("text"), F.struct(F.col(text).isNull().alias("null"), *(F.col(c).alias(f"c{i}") for i, c in enumerate(rest))).alias("rest"))
+    total = own.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    size = max(chunk_bytes, math.isqrt(total * MESSAGE) if chunk_bytes >= CHUNK else 0)
+    buckets = max(1, -(-total // size))
+    chunks = materialize(_chunked(own, size), "chunks")
+    texts = chunks.select("chunk", "blob")
+    sent = texts.mapInArrow(lambda batches: (r for b in batches for r in _send_anchors(b, None, least, gram, buckets)), ANCHORS)
+    answer = lambda t: _answer_anchors(t, hot)
+    anchors = materialize(sent.groupBy("bucket").applyInArrow(answer, ANSWERS).withColumn("kind", F.lit(0)), "anchors")
     free_shuffles(spark)
-    pieces = chunks.groupBy("chunk").cogroup(anchors.groupBy("chunk")).applyInArrow(lambda own, got: _send_stretches(own, got, least, gram, buckets), "bucket long, chunk long, sent binary")
-    windows = materialize(pieces.groupBy("bucket").applyInArrow(lambda table: _answer_stretches(table, least), "chunk long, bucket long, answer binary"), "windows")
+    told = [anchors]
+    if not anchors.where("hot is not null").isEmpty():
+        some = texts.join(anchors.where("hot is not null").select("chunk").distinct(), "chunk", "left_semi")
+        split = some.groupBy("chunk").cogroup(anchors.where("hot is not null").groupBy("chunk")).applyInArrow(lambda a, b: pa.Table.from_batches(list(_send_anchors(a, b, least, gram, buckets)), pa.schema([("bucket", pa.int64()), ("chunk", pa.int64()), ("n", pa.int64()), ("sent", pa.binary())])), ANCHORS)
+        told.append(materialize(split.groupBy("bucket").applyInArrow(answer, ANSWERS).withColumn("hot", F.lit(None).cast("binary")).withColumn("kind", F.lit(1)), "anchors"))
+        free_shuffles(spark)
+    known = told[0] if len(told) == 1 else told[0].union(told[1])
+    pieces = texts.groupBy("chunk").cogroup(known.groupBy("chunk")).applyInArrow(partial(_send_stretches, least=least, gram=gram, buckets=buckets), "bucket long, chunk long, sent binary")
+    windows = materialize(pieces.groupBy("bucket").applyInArrow(lambda t: _answer_stretches(t, least), "chunk long, bucket long, answer binary"), "windows")
     free_shuffles(spark)
-    answers = anchors.select("chunk", F.lit(0).alias("kind"), "bucket", "answer").union(windows.select("chunk", F.lit(1), "bucket", "answer"))
+    answers = known.union(windows.select("chunk", "bucket", "answer", F.lit(None).cast("binary").alias("hot"), F.lit(2).alias("kind")))
 
     def last(own, got):
-        kind = got.column("kind").to_numpy() if len(got) else np.zeros(0)
-        fields = [pa.field(p.split()[0], pa.string() if p.endswith("string") else pa.int64()) for p in schema.split(", ")]
-        return _cut(own, got.filter(pa.array(kind == 0)), got.filter(pa.array(kind == 1)), least, gram, buckets, give, pa.schema(fields).empty_table())
-
-    return chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(last, schema)
-
+        out = _cut(own, got, least, gram, buckets, give)
+        return pa.concat_tables(out) if out else empty
 
-def _own(docs: DataFrame, key: str, text: str) -> DataFrame:
-    return docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
+    return (chunks if give is _kept else texts).groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(last, schema)
 
 
-def digests(docs: DataFrame, key: str = "doc_id", text: str = "text", least: int = LEAST, gram: int = GRAM, chunk_bytes: int = CHUNK) -> DataFrame:
+def digests(docs: DataFrame, key: str = "doc_id", text: str = "text", least: int = LEAST, gram: int = GRAM, chunk_bytes: int = CHUNK, hot: int = HOT) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and the sha256 of the remaining bytes, for every row."""
-    return _removed(_own(docs, key, text), _digest, DIGEST, least, gram, chunk_bytes)
+    kinds = [(n, pa.string() if n == "kept_sha256" else pa.int64()) for n in (p.split()[0] for p in DIGEST.split(", "))]
+    return _removed(docs, key, text, [], _digest, DIGEST, pa.schema(kinds).empty_table(), least, gram, chunk_bytes, hot)
 
 
-def clean(docs: DataFrame, key: str = "doc_id", text: str = "text", least: int = LEAST, gram: int = GRAM, chunk_bytes: int = CHUNK) -> DataFrame:
+def clean(docs: DataFrame, key: str = "doc_id", text: str = "text", least: int = LEAST, gram: int = GRAM, chunk_bytes: int = CHUNK, hot: int = HOT) -> DataFrame:
     """The rows of docs with the remaining text; rows that had text and have none left are dropped."""
-    kept = _removed(_own(docs, key, text), _kept, KEPT, least, gram, chunk_bytes)
-    sha = F.sha2(F.coalesce(docs[text].cast("string"), F.lit("")).cast("binary"), 256)
-    joined = docs.join(kept, docs[key].cast("long").eqNullSafe(kept["_key"]) & (sha == kept["_sha"]), "left")
-    had = F.length(F.coalesce(docs[text].cast("string"), F.lit(""))) > 0
-    joined = joined.where(~had | (F.length("_text") > 0))
-    return joined.select(*(F.when(docs[text].isNotNull(), F.col("_text")).alias(text) if c == text else docs[c] for c in docs.columns))
+    rest = [c for c in docs.columns if c != text]
+    kinds = [docs.schema[text], *(docs.schema[c] for c in rest)]
+    schema = StructType([StructField(f"k{i}", f.dataType if i else StringType()) for i, f in enumerate(kinds)])
+    blank = docs.sparkSession.createDataFrame([], schema).toArrow()
+    out = _removed(docs, key, text, rest, _kept, schema, blank, least, gram, chunk_bytes, hot)
+    place = {c: i for i, c in enumerate([text, *rest])}
+    return out.select(*(F.col(f"k{place[c]}").alias(c) for c in docs.columns))

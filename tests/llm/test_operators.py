@@ -296,7 +296,7 @@ def test_media(spark):
 
 
 def test_pipeline(spark):
-    import corpus_pipeline as C
+    from motionloom.llm import pipeline as C
 
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     for name, stage in C.STAGES[:-1]:
