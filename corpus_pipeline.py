@@ -1,60 +1,7 @@
-"""Training-data pipeline: five stages, each over all rows that the one before kept."""
+"""Training-data pipeline over `documents`: see motionloom.llm.pipeline."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+from motionloom.llm.pipeline import COLUMNS, ORACLE_SQL, STAGES, run
 
-from motionloom.llm import decontam, packing, quality, shingles, suffix
-from motionloom.llm.common import materialize, read
-
-COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-
-
-def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier accepts."""
-    return quality.keep_good(docs.select(*COLUMNS), read(spark, sf_dir, "labels"))
-
-
-def one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of 5-word Jaccard similarity 0.8 or more: the least by doc_id (null last), then by its text and other columns."""
-    rows = shingles.prints(docs.select(*COLUMNS))
-    order = F.struct(F.col("doc_id").isNull().alias("unkeyed"), "doc_id", F.xxhash64("text").alias("own"), F.xxhash64(*COLUMNS).alias("all"), "row")
-    firsts = rows.select("row", order.alias("place")).join(shingles.classes(rows), "row").groupBy("class").agg(F.min("place").alias("place"))
-    return rows.join(firsts.select("place.row"), "row", "left_semi").select(*COLUMNS)
-
-
-def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without passages that a document with a smaller doc_id has."""
-    return suffix.clean(docs.select(*COLUMNS)).withColumn("n_chars", F.length("text").cast("long"))
-
-
-def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that overlap no benchmark item."""
-    return decontam.clean(docs.select(*COLUMNS), read(spark, sf_dir, "benchmark"))
-
-
-def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents in sequences of 1024 tokens."""
-    return packing.pack_documents(docs)
-
-
-STAGES = [
-    ("quality", good_quality),
-    ("near_duplicates", one_of_near_duplicates),
-    ("repeats", without_repeats),
-    ("decontamination", without_benchmark),
-    ("packing", packed),
-]
-
-#: Trained models, suffix arrays and tokenizers are beyond SQL; the tests hold each stage against a brute-force version.
-ORACLE_SQL = None
-
-
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents")
-    for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k + 1 < len(STAGES):
-            docs = materialize(docs, name)
-    return docs
+__all__ = ["COLUMNS", "ORACLE_SQL", "STAGES", "run"]
