@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, FloatType
 
 # Spellings of skill labels, and how tasks merge them.
-ALIASES = {"beginner": "novice", "adv_beginner": "advanced_beginner", "advancedbeginner": "advanced_beginner", "advanced": "advanced_beginner"}
+ALIASES = {"beginner": "novice", "advancedbeginner": "advanced_beginner", "proficient_and_expert": "expert", "proficient_expert": "expert"}
 THREE_CLASSES = {"novice": "novice", "advanced_beginner": "advanced_beginner", "competent": "advanced_beginner", "expert": "expert"}
 TWO_CLASSES = {"novice": "novice", "expert": "expert"}
 INSTRUMENTS = ("violin", "clarinet")

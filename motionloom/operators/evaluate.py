@@ -10,14 +10,17 @@ from motionloom.functions import scalars as S
 from motionloom.operators import stats
 
 # Columns that are no features, features known to stand still, and the sets of features by configuration.
-NOT_FEATURES = {"participant_id", "condition", "block", "instrument", "file", "status", "error", "n_rows", "trial_duration_seconds", "mean_block_duration_seconds", "n_trials", "Skill Level", "skill_level", "skill_group", "Num Level", "Age", "Sex", "ID", "Instrument"}
+NOT_FEATURES = {"participant_id", "condition", "block", "instrument", "file", "status", "error", "n_rows", "trial_duration_seconds", "mean_block_duration_seconds", "n_trials", "Skill Level", "skill_level", "skill_group", "Num Level", "Age", "Sex", "ID", "Instrument", "excluded"}
 STILL = {"ROM_RElbowAngles_X", "ROM_RElbowAngles_Z", "ROM_LElbowAngles_X", "ROM_LElbowAngles_Z", "ROM_rate_RElbowAngles_X", "ROM_rate_RElbowAngles_Z", "ROM_rate_LElbowAngles_X", "ROM_rate_LElbowAngles_Z", "ROM_rate_Spine4Angles_X", "ROM_Spine4Angles_Y"}
 SHARED = {"PCA16_lower_body_mean_sd", "PCA16_trunk_head_mean_sd", "PCA16_upper_body_mean_sd", "PCA12a_PM1_rms", "PCA12a_PM2_rms", "PCA12a_PM7_rms"}
 OWN = {
     "clarinet": {"PCA11b_within_participant_consistency", "PCA12a_PM4_rms", "SPARC_window_median_LWrist", "LDJ_stroke_mean_LWrist", "LDJ_stroke_sd_LWrist"},
     "violin": {"PCA12a_PM6_rms", "SPARC_window_bow_elbow_all_median"},
 }
-CONFIGS = ("baseline", "shared_pca", "instrument_specific")
+POSTURE = {"clarinet": {"WEISS_knee_angle_sd", "WEISS_arm_angle_sd"}}
+CONFIGS = ("baseline", "shared_pca", "instrument_specific", "instrument_specific_weiss")
+SEPARATE = ("instrument_specific", "instrument_specific_weiss")
+COMPARED = ["rank", "score", "mutual_info", "p"]
 FEATURE_SETS = {"raw_only": lambda n: not n.endswith("_z"), "z_only": lambda n: n.endswith("_z"), "all": lambda n: True}
 
 
@@ -38,8 +41,35 @@ def model_features(df: DataFrame, config: str, instrument: str | None = None) ->
     """Sorted columns that a model reads; an instrument's own ones join only where one instrument is modelled alone."""
     if config not in CONFIGS:
         raise ValueError(f"no such feature configuration: {config}")
-    extra = set() if config == "baseline" else SHARED | (OWN.get(instrument, set()) if config == "instrument_specific" and instrument else set())
-    return sorted({n for n in _numeric(df) if n not in STILL and not n.endswith("_z") and (_baseline(n) or n in extra)})
+    extra = set() if config == "baseline" else SHARED
+    if config in SEPARATE and instrument:
+        extra = extra | OWN.get(instrument, set()) | (POSTURE.get(instrument, set()) if config == "instrument_specific_weiss" else set())
+    return sorted({n for n in _numeric(df) if n not in STILL and not n.endswith(("_z", "_valid_frames")) and (_baseline(n) or n in extra)})
+
+
+def supported_features(df: DataFrame, features: list[str], instrument: str = "instrument", least: int = 2) -> list[str]:
+    """Features that every instrument has `least` values of: a constant put for the others would tell the instrument."""
+    if not features:
+        return []
+    few = df.groupBy(instrument).agg(*(F.count(S.number(S.c(f))).alias(f"n{i}") for i, f in enumerate(features)))
+    n = few.agg(*(F.min(f"n{i}").alias(f"n{i}") for i in range(len(features)))).first()
+    return [f for i, f in enumerate(features) if (n[i] or 0) >= least]
+
+
+def model_rows(df: DataFrame, target: str, task: str, one_label: bool = False) -> DataFrame:
+    """Rows that a model of the task reads: successful ones with a class and an instrument; `label` holds the class.
+
+    With `one_label` a participant of several classes is an error.
+    """
+    if "status" in df.columns:
+        df = df.where("status = 'ok'")
+    df = df.withColumn("label", S.task_label(S.c(S.find_column(df.columns, target)), task))
+    df = df.where("label is not null and instrument is not null").withColumns({"instrument": S.condition(F.col("instrument")), "participant_id": S.participant(F.col("participant_id"))})
+    if one_label:
+        from motionloom.operators.learn import require_one_label
+
+        require_one_label(df, "participant_id", "label")
+    return df
 
 
 def support(long: DataFrame, scope: list[str] | None = None, least: int = 2) -> DataFrame:
@@ -92,39 +122,77 @@ def skill_duration_tails(report: DataFrame) -> DataFrame:
     return report.sparkSession.createDataFrame(out, fields)
 
 
-def redundancy_by(df: DataFrame, scope: list[str], features: list[str], least: int = 5, limit: float = 0.90) -> DataFrame:
+def redundancy_by(df: DataFrame, scope: str, features: list[str], least: int = 5, limit: float = 0.90) -> DataFrame:
     """Pearson r of feature pairs in each group of the scope, complete pairs only, in one pass."""
-    pairs = [(a, b) for i, a in enumerate(features) for b in features[i + 1 :]]
-    aggs = []
-    for k, (a, b) in enumerate(pairs):
-        x, y = (F.when(S.c(a).isNotNull() & S.c(b).isNotNull(), S.c(n)) for n in (a, b))
-        aggs.append(F.struct(F.lit(a).alias("feature_1"), F.lit(b).alias("feature_2"), F.count(x).alias("n_participants"), stats.pearson(x, y).alias("r")).alias(f"p{k}"))
-    rows = df.groupBy(*scope).agg(*aggs).select(*scope, F.explode(F.array(*(f"p{k}" for k in range(len(pairs))))).alias("e")).select(*scope, "e.*")
-    return rows.where((F.col("n_participants") >= least) & F.col("r").isNotNull()).withColumn("flag", F.abs("r") >= limit)
+    kind = df.schema[scope].dataType.simpleString()
+    rows = [r for r in stats.pair_correlations(df, features, least, scope) if r[4] is not None]
+    out = df.sparkSession.createDataFrame(rows, f"{scope} {kind}, feature_1 string, feature_2 string, n_participants long, r double")
+    return out.withColumn("flag", F.abs("r") >= limit)
 
 
-def bundle(df: DataFrame, ids: list[str], features: list[str], label: str, instrument: str, instruments: list[str], per_instrument: bool = True) -> dict[str, DataFrame]:
-    """The diagnostic tables by name; the column `scope` tells overall rows from those of one instrument."""
+def discriminative(long: DataFrame, label: str, least: int = 10) -> DataFrame:
+    """ANOVA, Kruskal-Wallis and mutual information over labels, of features with `least`
+    values and two classes of two rows or more; `significant` tells p under 0.05."""
     from motionloom.operators.features import mutual_information
 
+    v = long.where(F.col("value").isNotNull() & F.col(label).isNotNull())
+    sizes = v.groupBy("feature", label).agg(F.count(F.lit(1)).alias("c")).groupBy("feature").agg(F.sum("c").alias("n_valid"), F.count_if(F.col("c") >= 2).alias("k"))
+    # a row for each feature: few
+    fit = F.broadcast(sizes.where((F.col("n_valid") >= least) & (F.col("k") >= 2)).select("feature", "n_valid"))
+    v = v.join(fit.select("feature"), "feature", "left_semi")
+    f = stats.with_tails(stats.anova(v, label)).select("feature", "f", "p", "eta_squared")
+    h = stats.with_tails(stats.kruskal(v, label)).select("feature", "h", F.col("p").alias("h_p"))
+    out = fit.join(f, "feature", "left").join(h, "feature", "left").join(mutual_information(v, label), "feature", "left")
+    return out.withColumn("significant", F.coalesce(F.col("p") < 0.05, F.lit(False)))
+
+
+def bundle(df: DataFrame, ids: list[str], features: list[str], label: str, instrument: str, instruments: list[str], per_instrument: bool = True) -> dict[str, DataFrame]:
+    """The diagnostic tables by name; the column `scope` tells overall rows from those of one instrument.
+
+    `comparison` holds the instruments' ranks, scores and tests of a feature side by side.
+    """
     tables: dict[str, DataFrame] = {}
     for scope in ["overall", *(instruments if per_instrument else [])]:
         d = df if scope == "overall" else df.where(F.col(instrument) == scope)
         long = stats.long_form(d, [*dict.fromkeys([*ids, label, instrument])], features)
         summary, detail = stats.outliers(long, ids)
-        power = stats.with_tails(stats.anova(long, label)).select("feature", "f", "p", "eta_squared").join(stats.kruskal(long, label).select("feature", "h"), "feature", "left").join(mutual_information(long, label), "feature", "left")
+        power = discriminative(long, label)
         confounds = stats.with_tails(stats.anova(long, instrument)).select("feature", F.col("f").alias("instrument_f"), F.col("p").alias("instrument_p"), (F.col("p") < 0.05).alias("confounded")) if scope == "overall" else None
-        r = stats.missingness(long).join(stats.distributions(long), "feature", "left").join(summary.select("feature", "pct_iqr"), "feature", "left").join(power, "feature", "left").withColumn("significant", F.col("p") < 0.05)
-        r = r.join(confounds.select("feature", "confounded"), "feature", "left") if confounds is not None else r.withColumn("confounded", F.lit(False))
-        own = {"missingness": stats.missingness(long), "distributions": stats.distributions(long), "outlier_summary": summary, "outlier_detail": detail, "discriminative": power, "correlations": stats.correlations(d, features), "redundancy": stats.redundant(d, features).where("flag"), "ranking": stats.composite(r)}
+        r = ranking(stats.missingness(long), stats.distributions(long), summary, power, confounds)
+        own = {"missingness": stats.missingness(long), "distributions": stats.distributions(long), "outlier_summary": summary, "outlier_detail": detail, "discriminative": power, "correlations": stats.correlations(d, features), "redundancy": stats.redundant(d, features).where("flag"), "ranking": r}
         if confounds is not None:
             own["confounds"] = confounds
         for name, t in own.items():
             t = t.withColumn("scope", F.lit(scope))
             tables[name] = tables[name].unionByName(t) if name in tables else t
+    if per_instrument and instruments:
+        tables["comparison"] = compared(tables["ranking"], instruments)
     return tables
 
 
+def ranking(missing: DataFrame, spread: DataFrame, outliers: DataFrame, power: DataFrame, confounds: DataFrame | None) -> DataFrame:
+    """All inputs by feature, scored and ranked; what an input lacks of a feature is null or false."""
+    r = missing.join(spread, "feature", "left").join(outliers.select("feature", "pct_iqr"), "feature", "left").join(power.drop("n_valid"), "feature", "left")
+    r = r.join(confounds.select("feature", "confounded"), "feature", "left") if confounds is not None else r.withColumn("confounded", F.lit(False))
+    return stats.composite(r)
+
+
+def compared(ranked: DataFrame, scopes: list[str]) -> DataFrame:
+    """One row a feature with each scope's rank, score and tests as columns; a feature of one scope only stays."""
+    out = None
+    for s in scopes:
+        t = ranked.where(F.col("scope") == s).select("feature", *(F.col(x).alias(f"{s}_{x}") for x in COMPARED))
+        out = t if out is None else out.join(t, "feature", "full")
+    return out
+
+
+def correlation_matrix(pairs: DataFrame, features: list[str]) -> DataFrame:
+    """A labelled square matrix, one row a feature, from pairs of each two; the diagonal is 1."""
+    both = pairs.select("feature_1", "feature_2", "r").union(pairs.select("feature_2", "feature_1", "r"))
+    own = pairs.sparkSession.createDataFrame([(f, f, 1.0) for f in features], "feature_1 string, feature_2 string, r double")
+    return both.union(own).groupBy(F.col("feature_1").alias("feature")).pivot("feature_2", features).agg(F.first("r"))
+
+
 def bundle_summary(tables: dict[str, DataFrame]) -> DataFrame:
     """What the console shows of a bundle: one row of counts for each scope."""
     flags = lambda t, c, n: tables[t].groupBy("scope").agg(F.sum(F.coalesce(F.col(c).cast("long"), F.lit(0))).alias(n))

@@ -2,13 +2,28 @@
 
 from __future__ import annotations
 
+import json
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
+from motionloom.functions.scalars import c
 from motionloom.operators import kernels as K
 
-STROKE = {"violin": (0.10, 3.0, 0.02), "clarinet": (0.10, 3.0, 0.01), "default": (0.05, 1e9, 0.0)}
+# By instrument, the shortest stroke (seconds, millimetres of path), the hands whose strokes are
+# measured, and the signals and name of the smoothness feature; the joints and axes whose range is measured.
+STROKE = {"violin": (0.15, 40.0), "clarinet": (0.10, 8.0), "default": (0.15, 20.0)}
+HANDS = {"violin": ["RWrist"], "clarinet": ["RWrist", "LWrist"], "default": ["RWrist"]}
+SMOOTH = {
+    "violin": (["RElbowAngles_Y (deg)"], "SPARC_window_bow_elbow_all_median", "QC_SPARC_window_bow_elbow_all_n"),
+    "clarinet": (["LWristPositions_X (mm)", "LWristPositions_Y (mm)", "LWristPositions_Z (mm)"], "SPARC_window_median_LWrist", "QC_SPARC_window_n_LWrist"),
+}
+JOINTS = ["Spine1Angles", "Spine2Angles", "Spine3Angles", "Spine4Angles", "NeckAngles", "HeadAngles", "RWristAngles", "RElbowAngles", "RShoulderAngles", "RClavicleAngles", "LWristAngles", "LElbowAngles", "LShoulderAngles", "LClavicleAngles"]
+AXES = "XYZ"
+POINT = "{}Positions_{} (mm)"
 
 
 def _grouped(df: DataFrame, key: list[str], one, schema: str) -> DataFrame:
@@ -27,6 +42,44 @@ def _grouped(df: DataFrame, key: list[str], one, schema: str) -> DataFrame:
     return df.groupBy(*key).applyInPandas(run, f"{kinds}, {schema}, status string, error string")
 
 
+def _strokes(got, instrument: str) -> list[float]:
+    v, fs = got
+    return [j for a, z in K.strokes(v, fs, *STROKE[instrument]) if (j := K.log_jerk(v[a:z], fs)) is not None]
+
+
+def movement(df: DataFrame, key: list[str], time: str, instrument: str, cutoff: float = 10.0) -> DataFrame:
+    """Smoothness and stroke features of each trial, by what its instrument asks for.
+
+    The clarinet's smoothness is of the left wrist's path, the violin's of the bow
+    elbow's angle, others have none; signals a trial lacks give nulls and counts of 0.
+    """
+    wanted = [x for cols, *_ in SMOOTH.values() for x in cols] + [POINT.format(h, x) for h in ("RWrist", "LWrist") for x in AXES]
+    have = [x for x in dict.fromkeys(wanted) if x in df.columns]
+    names = {x: f"s{i}" for i, x in enumerate(have)}
+    few = df.select(*key, F.col(time).alias("_t"), F.col(instrument).alias("_kind"), *(c(x).alias(n) for x, n in names.items()))
+
+    def speed(pdf, cols):
+        if not all(x in names for x in cols):
+            return None
+        return K.speed(pdf["_t"].to_numpy(float), pdf[[names[x] for x in cols]].to_numpy(float), cutoff)
+
+    def one(pdf):
+        kind, out = pdf["_kind"].iloc[0], {}
+        kind = kind if kind in STROKE else "default"
+        if kind in SMOOTH:
+            cols, name, count = SMOOTH[kind]
+            got = speed(pdf, cols)
+            out[name], out[count] = K.window_sparc(*got) if got else (None, 0)
+        for hand in HANDS[kind]:
+            got = speed(pdf, [POINT.format(hand, x) for x in AXES])
+            x = _strokes(got, kind) if got else []
+            out |= {f"LDJ_stroke_mean_{hand}": float(np.mean(x)) if x else None, f"LDJ_stroke_sd_{hand}": float(np.std(x, ddof=1)) if len(x) > 1 else None, f"QC_LDJ_stroke_n_{hand}": len(x)}
+        return out
+
+    schema = [f"{name} double, {count} int" for _, name, count in SMOOTH.values()] + [f"LDJ_stroke_mean_{h} double, LDJ_stroke_sd_{h} double, QC_LDJ_stroke_n_{h} int" for h in ("RWrist", "LWrist")]
+    return _grouped(few, key, one, ", ".join(schema))
+
+
 def smoothness(df: DataFrame, key: list[str], time: str, signals: list[str], cutoff: float = 10.0) -> DataFrame:
     """Median window SPARC and the number of windows, of a point or an angle."""
 
@@ -40,6 +93,22 @@ def smoothness(df: DataFrame, key: list[str], time: str, signals: list[str], cut
     return _grouped(df.select(*key, time, *signals), key, one, "sparc double, n_windows int")
 
 
+def window_smoothness(df: DataFrame, key: list[str], time: str, speed: str) -> DataFrame:
+    """Median window SPARC of a column that holds speeds already, at a uniform rate."""
+
+    def one(pdf):
+        pdf = pdf.sort_values(time, kind="stable")
+        m, n = K.window_sparc(pdf[speed].to_numpy(float), 1 / float(np.median(np.diff(pdf[time].to_numpy(float)))))
+        return {"sparc": m, "n_windows": n}
+
+    return _grouped(df.select(*key, time, speed), key, one, "sparc double, n_windows int")
+
+
+def whole_jerk(df: DataFrame, key: list[str], order: str, speed: str, fs: float = 50.0) -> DataFrame:
+    """Logarithmic dimensionless jerk of a group's speeds as one stroke."""
+    return _grouped(df.select(*key, order, speed), key, lambda pdf: {"ldj": K.log_jerk(pdf.sort_values(order, kind="stable")[speed].to_numpy(float), fs)}, "ldj double")
+
+
 def stroke_jerk(df: DataFrame, key: list[str], time: str, signals: list[str], instrument: str = "default", cutoff: float = 10.0) -> DataFrame:
     """Mean, SD and number of stroke LDJ values."""
 
@@ -47,8 +116,7 @@ def stroke_jerk(df: DataFrame, key: list[str], time: str, signals: list[str], in
         got = K.speed(pdf[time].to_numpy(float), pdf[signals].to_numpy(float), cutoff)
         if got is None:
             return {"n_strokes": 0}
-        v, fs = got
-        x = [j for a, z in K.strokes(v, fs, *STROKE[instrument]) if (j := K.log_jerk(v[a:z], fs)) is not None]
+        x = _strokes(got, instrument)
         return {"ldj_mean": float(np.mean(x)) if x else None, "ldj_sd": float(np.std(x, ddof=1)) if len(x) > 1 else None, "n_strokes": len(x)}
 
     return _grouped(df.select(*key, time, *signals), key, one, "ldj_mean double, ldj_sd double, n_strokes int")
@@ -67,6 +135,47 @@ def filtered(df: DataFrame, key: list[str], order: str, cutoffs: dict[str, float
     return df.groupBy(*key).applyInPandas(run, df.schema)
 
 
+def cleaned(df: DataFrame, key: list[str], order: str, cutoffs: dict[str, float], gap: int = 5, fs: float = 50.0, log: str = "_log") -> DataFrame:
+    """Gap-filled and filtered trials, each with one row more that holds its log as JSON.
+
+    Signals are filled by place, at most `gap` deep, and filtered if no gap remains and
+    the trial is long enough. A trial that fails gives a log row with the error only.
+    """
+    signals = list(cutoffs)
+
+    names = df.columns
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        first = dict(zip(key, pdf[key].iloc[0].tolist(), strict=True))
+        note = {"n_rows": len(pdf), "nan_before": 0, "nan_after": 0, "skipped_nan": 0, "skipped_short": 0, "cutoffs": [], "error": None}
+        try:
+            pdf = pdf.sort_values(order, kind="stable", na_position="last").copy()
+            has = [x for x in signals if pdf[x].notna().any()]
+            note["nan_before"] = int(pdf[has].isna().sum().sum())
+            x = pdf[has].astype(float)
+            if note["nan_before"]:
+                x = x.interpolate(method="linear", limit=gap, limit_direction="both")
+            note["nan_after"] = int(x.isna().sum().sum())
+            whole = [n for n in has if not x[n].isna().any()]
+            note["skipped_nan"] = len(has) - len(whole)
+            done = []
+            for hz in sorted({cutoffs[n] for n in whole}):
+                cols = [n for n in whole if cutoffs[n] == hz]
+                if len(x) > 15:
+                    x[cols] = K.zero_phase(x[cols].to_numpy(float), hz, fs)
+                    done.append(hz)
+                else:
+                    note["skipped_short"] += len(cols)
+            note["cutoffs"] = done
+            pdf[has] = x
+        except Exception as e:
+            pdf, note["error"] = pdf.iloc[:0].copy(), f"{type(e).__name__}: {e}"
+        pdf[log] = None
+        return pd.concat([pdf, pd.DataFrame([first | {log: json.dumps(note)}])], ignore_index=True)[[*names, log]]
+
+    return df.groupBy(*key).applyInPandas(run, StructType([*(StructField(f.name, f.dataType) for f in df.schema), StructField(log, StringType())]))
+
+
 def mutual_information(long: DataFrame, label: str, seed: int = 42) -> DataFrame:
     """(feature, mutual_info) from (feature, value, label); a report table of trials."""
 

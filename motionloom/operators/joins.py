@@ -40,16 +40,29 @@ def unmatched(left: DataFrame, right: DataFrame, key: list[str]) -> DataFrame:
     return l.join(r, key, "left_anti").withColumn("side", F.lit("left")).union(r.join(l, key, "left_anti").withColumn("side", F.lit("right")))
 
 
-def merged_block_features(trials: DataFrame, tables: list[DataFrame]) -> tuple[DataFrame, list[DataFrame]]:
-    """Left joins of block tables on (participant_id, condition, block), and the rows without a match."""
-    keys, out, missing = ["participant_id", "condition", "block"], standard_keys(trials), []
-    for t in tables:
+def merged_block_features(trials: DataFrame, tables: dict[str, DataFrame], wanted: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """Left joins of block tables on (participant_id, condition, block), and the unmatched rows with their table's name.
+
+    `wanted` names the features to take, each from the first table that has it; one that
+    none has is an error, as are repeated keys and a table without blocks.
+    """
+    keys, out, missing = ["participant_id", "condition", "block"], standard_keys(trials), None
+    clash = [x for x in wanted or [] if x in out.columns]
+    if clash:
+        raise ValueError(f"the trials have these columns already: {clash}")
+    for name, t in tables.items():
         if "block" not in t.columns:
-            raise ValueError("a table without block would leak participant averages into trials")
+            raise ValueError(f"{name}: a table without block would leak participant averages into trials")
+        fresh = [x for x in t.columns if x not in keys and x not in out.columns and (wanted is None or x in wanted)]
+        if not fresh:
+            continue
         t = standard_keys(t)
-        fresh = [x for x in t.columns if x in keys or x not in out.columns]
-        missing.append(out.join(t, keys, "left_anti"))
-        out = many_to_one(out, t.select(*fresh), keys, matched=None)
+        lost = out.join(t, keys, "left_anti").select(F.lit(name).alias("table"), *keys)
+        missing = lost if missing is None else missing.union(lost)
+        out = many_to_one(out, t.select(*keys, *fresh), keys, matched=None)
+    lack = [x for x in wanted or [] if x not in out.columns]
+    if lack:
+        raise ValueError(f"no table has {lack}")
     return out, missing
 
 
@@ -82,3 +95,9 @@ def require_disjoint(a: DataFrame, b: DataFrame, what: str) -> None:
 def lookup(left: DataFrame, table: DataFrame, key: str, how: str = "left") -> DataFrame:
     """Dictionary lookup; the planner broadcasts the table where its size allows."""
     return left.join(table, key, how)
+
+
+def only_within(df: DataFrame, group: str, columns: dict[str, list[str]]) -> DataFrame:
+    """Columns that belong to one group are missing outside of it: {group: its columns}."""
+    own = {x: F.when(condition(F.col(group)) == g, F.col(x)) for g, cols in columns.items() for x in cols if x in df.columns}
+    return df.withColumns(own) if own else df

@@ -25,13 +25,31 @@ def _steady(b: np.ndarray, a: np.ndarray) -> np.ndarray:
     return np.linalg.solve(np.eye(n) - companion.T, b[1:] - a[1:] * b[0])
 
 
-def _run(b: np.ndarray, a: np.ndarray, x: np.ndarray, state: np.ndarray) -> np.ndarray:
-    """Transposed direct form over rows of x (all columns together)."""
+def _run(b: np.ndarray, a: np.ndarray, x: np.ndarray, state: np.ndarray, block: int = 64) -> np.ndarray:
+    """The filter over rows of x (all columns together), BLOCK rows at a time.
+
+    In state form s' = A s + B x, y = C s + D x. Over a block the output is what the
+    state alone gives (C A^i s) and the impulse response against the block's rows.
+    """
+    n = len(a) - 1
+    step = np.zeros((n, n))
+    step[:-1, 1:] = np.eye(n - 1)
+    step[:, 0] -= a[1:]
+    enter = b[1:] - a[1:] * b[0]
+    powers = [np.eye(n)]
+    for _ in range(block):
+        powers.append(step @ powers[-1])
+    free = np.stack([m[0] for m in powers[:block]])
+    response = np.concatenate([[b[0]], free[:-1] @ enter])
+    lag = np.arange(block)[:, None] - np.arange(block)
+    driven = np.where(lag >= 0, response[np.maximum(lag, 0)], 0.0)
+    enters = np.stack([m @ enter for m in powers[:block]], axis=1)
     y, s = np.empty_like(x), state.copy()
-    for i in range(len(x)):
-        y[i] = b[0] * x[i] + s[0]
-        s[:-1] = s[1:] + b[1:-1, None] * x[i] - a[1:-1, None] * y[i]
-        s[-1] = b[-1] * x[i] - a[-1] * y[i]
+    for i in range(0, len(x), block):
+        part = x[i : i + block]
+        m = len(part)
+        y[i : i + m] = free[:m] @ s + driven[:m, :m] @ part
+        s = powers[m] @ s + enters[:, :m][:, ::-1] @ part
     return y
 
 
@@ -54,8 +72,8 @@ def zero_phase(x: np.ndarray, cutoff: float, fs: float, order: int = 4) -> np.nd
     return out.reshape(x.shape)
 
 
-def uniform(t: np.ndarray, x: np.ndarray, least: int = 4):
-    """Signal columns on a uniform grid of the median step: grid, values, rate; None if it can't be."""
+def uniform(t: np.ndarray, x: np.ndarray, least: int = 8):
+    """Signal columns on a uniform grid of the median step, up to half a step beyond the last time: grid, values, rate; None if it can't be."""
     x = np.asarray(x, np.float64).reshape(len(t), -1)
     ok = np.isfinite(t) & np.isfinite(x).all(axis=1)
     t, x = np.asarray(t, np.float64)[ok], x[ok]
@@ -63,12 +81,12 @@ def uniform(t: np.ndarray, x: np.ndarray, least: int = 4):
     t, x = t[order], x[order]
     keep = np.concatenate([[True], np.diff(t) > 0]) if len(t) else np.zeros(0, bool)
     t, x = t[keep], x[keep]
-    if len(t) < least:
+    if min(len(t), int(keep.sum())) < least:
         return None
     step = float(np.median(np.diff(t)))
     if not step > 0:
         return None
-    grid = t[0] + step * np.arange(int(np.floor((t[-1] - t[0]) / step + 1e-9)) + 1)
+    grid = np.arange(t[0], t[-1] + 0.5 * step, step)
     return grid, np.stack([np.interp(grid, t, x[:, j]) for j in range(x.shape[1])], axis=1), 1 / step
 
 
@@ -83,30 +101,44 @@ def speed(t: np.ndarray, x: np.ndarray, cutoff: float = 10.0):
 
 def sparc(v: np.ndarray, fs: float, top: float = 10.0, floor: float = 0.05) -> float | None:
     """Spectral arc length of a speed profile, the smoother the nearer to 0."""
-    v = np.asarray(v, np.float64)
-    if len(v) < 4 or not np.isfinite(v).all() or not np.any(v):
-        return None
-    size = int(2 ** np.ceil(np.log2(len(v))) + 4)
-    f, m = np.arange(size) * fs / size, np.abs(np.fft.fft(v, size))
-    if not m.max() > 0:
-        return None
-    m = m / m.max()
+    x = float(arc_lengths(np.asarray(v, np.float64)[None], fs, top, floor)[0])
+    return x if np.isfinite(x) else None
+
+
+def arc_lengths(windows: np.ndarray, fs: float, top: float = 10.0, floor: float = 0.05) -> np.ndarray:
+    """Spectral arc lengths of rows of speeds, NaN where there is none: one transform for all rows."""
+    n, length = windows.shape
+    out = np.full(n, np.nan)
+    if length < 4:
+        return out
+    size = int(2 ** np.ceil(np.log2(length)) + 4)
+    f = np.arange(size) * fs / size
     low = f <= top
-    f, m = f[low], m[low]
-    above = np.flatnonzero(m >= floor)
-    if len(above) < 2:
-        return None
-    f, m = f[above[0] : above[-1] + 1], m[above[0] : above[-1] + 1]
-    if f[-1] == f[0]:
-        return None
-    return float(-np.sqrt((np.diff(f) / (f[-1] - f[0])) ** 2 + np.diff(m) ** 2).sum())
+    rows = np.flatnonzero(np.isfinite(windows).all(axis=1) & windows.any(axis=1))
+    for a in range(0, len(rows), 4096):
+        at = rows[a : a + 4096]
+        m = np.abs(np.fft.fft(windows[at], size, axis=1))
+        most = m.max(axis=1)
+        m = m[:, low] / np.where(most > 0, most, 1)[:, None]
+        up = m >= floor
+        first, last = up.argmax(axis=1), up.shape[1] - 1 - up[:, ::-1].argmax(axis=1)
+        span = f[last] - f[first]
+        good = (most > 0) & up.any(axis=1) & (last > first)
+        k = np.arange(m.shape[1] - 1)
+        inside = (k >= first[:, None]) & (k < last[:, None])
+        arcs = np.sqrt((fs / size / np.where(span > 0, span, 1))[:, None] ** 2 + np.diff(m, axis=1) ** 2)
+        out[at] = np.where(good, -(arcs * inside).sum(axis=1), np.nan)
+    return out
 
 
 def window_sparc(v: np.ndarray, fs: float, size_s: float = 2.0, hop_s: float = 0.1) -> tuple[float | None, int]:
     """Median over full sliding windows, and their number."""
-    size, hop = max(4, round(size_s * fs)), max(1, round(hop_s * fs))
-    got = [s for i in range(0, len(v) - size + 1, hop) if (s := sparc(v[i : i + size], fs)) is not None]
-    return (float(np.median(got)), len(got)) if got else (None, 0)
+    size, hop = round(size_s * fs), max(1, round(hop_s * fs))
+    if size < 1 or len(v) < size:
+        return None, 0
+    got = arc_lengths(np.lib.stride_tricks.sliding_window_view(np.asarray(v, np.float64), size)[::hop], fs)
+    got = got[np.isfinite(got)]
+    return (float(np.median(got)), len(got)) if len(got) else (None, 0)
 
 
 def peaks(x: np.ndarray, distance: int) -> np.ndarray:
@@ -128,11 +160,13 @@ def peaks(x: np.ndarray, distance: int) -> np.ndarray:
     return at[keep]
 
 
-def strokes(v: np.ndarray, fs: float, least_s: float = 0.1, longest_s: float = 5.0, least_path: float = 0.0) -> list[tuple[int, int]]:
-    """Ranges between speed minima that last and travel enough."""
+def strokes(v: np.ndarray, fs: float, least_s: float = 0.1, least_path: float = 0.0) -> list[tuple[int, int]]:
+    """Ranges between speed minima that last and travel enough; none in a profile shorter than the shortest stroke."""
+    if len(v) < int(least_s * fs) + 2:
+        return []
     low = peaks(-np.asarray(v), max(1, int(0.10 * fs)))
     bounds = np.unique(np.concatenate([[0], low, [len(v) - 1]])).astype(int)
-    return [(int(a), int(z)) for a, z in zip(bounds[:-1], bounds[1:], strict=True) if least_s <= (z - a) / fs <= longest_s and v[a:z].sum() / fs >= least_path]
+    return [(int(a), int(z)) for a, z in zip(bounds[:-1], bounds[1:], strict=True) if (z - a) / fs >= least_s and v[a:z].sum() / fs >= least_path]
 
 
 def log_jerk(v: np.ndarray, fs: float) -> float | None:
@@ -244,10 +278,13 @@ class Recurrent:
                 mask = (self.rng.random(out.shape) >= self.dropout) / (1 - self.dropout)
             tape.append((seq, steps, mask))
             seq = out * mask if mask is not None else out
-        return h @ self.p["O"] + self.p["o"], h, tape
+        if train and self.dropout:
+            drop = (self.rng.random(h.shape) >= self.dropout) / (1 - self.dropout)
+            return (h * drop) @ self.p["O"] + self.p["o"], (h, drop), tape
+        return h @ self.p["O"] + self.p["o"], (h, None), tape
 
     def gradients(self, x, lens, y, weight):
-        logits, last, tape = self.forward(x, lens, train=True)
+        logits, (last, drop), tape = self.forward(x, lens, train=True)
         q = np.exp(logits - logits.max(axis=1, keepdims=True))
         q /= q.sum(axis=1, keepdims=True)
         w = weight[y]
@@ -255,10 +292,10 @@ class Recurrent:
         d = q.copy()
         d[np.arange(len(y)), y] -= 1
         d *= (w / w.sum())[:, None]
-        g = {"O": last.T @ d, "o": d.sum(axis=0)}
+        g = {"O": (last if drop is None else last * drop).T @ d, "o": d.sum(axis=0)}
         h_n, n = self.hidden, x.shape[1]
         above = np.zeros((len(y), n, h_n))
-        final = d @ self.p["O"].T
+        final = d @ self.p["O"].T * (1 if drop is None else drop)
         for k in reversed(range(self.layers)):
             seq, steps, mask = tape[k]
             u = self.p[f"U{k}"]

@@ -6,6 +6,7 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -42,11 +43,36 @@ def normalized(df: DataFrame, key: list[str], row: str, vector: str) -> DataFram
     return long.join(means, [*key, "signal"]).join(scale, key).select(*key, row, "signal", ((F.col("value") - F.col("_m")) / F.col("_sd")).alias("value"))
 
 
+def gram(df: DataFrame, vector: str, n: int, by: str | None = None) -> DataFrame:
+    """(by, pos, sum): sums of products of the vectors' cells, each vector with a 1 at its end.
+
+    Each Arrow batch gives one (n + 1) by (n + 1) matrix for each value of `by` in it, row after row.
+    """
+
+    def run(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x = batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(-1, n)
+            x = np.concatenate([x, np.ones((len(x), 1))], axis=1)
+            which = np.array(batch.column(1).to_pylist())
+            kinds = np.unique(which)
+            yield pa.RecordBatch.from_pydict({"by": pa.array(kinds, pa.int32()), "g": pa.array([(x[which == k].T @ x[which == k]).ravel() for k in kinds], pa.list_(pa.float64()))})
+
+    rows = df.select(F.col(vector).cast("array<double>"), (F.col(by) if by else F.lit(0)).cast("int").alias("by"))
+    return rows.mapInArrow(run, "by int, g array<double>").select("by", F.posexplode("g").alias("pos", "x")).groupBy("by", "pos").agg(F.sum("x").alias("sum"))
+
+
 def covariance(long: DataFrame, key: list[str], row: str, n: int) -> DataFrame:
-    """(i, j, cov) of the signals over all frames, with population weight: sums of products in one aggregate per frame vector."""
+    """(i, j, cov) of the signals over all frames, with population weight, from one matrix of sums a batch."""
     vec = long.groupBy(*key, row).agg(F.array_sort(F.collect_list(F.struct("signal", "value"))).alias("v")).select(F.transform("v", lambda s: s["value"]).alias("v"))
-    cells = vec.select(F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("i"), "v").select("i", F.posexplode(F.slice("v", F.col("i") + 1, F.lit(n))).alias("o", "b"), F.col("v")[F.col("i")].alias("a"))
-    return cells.groupBy("i", (F.col("i") + F.col("o")).alias("j")).agg(F.covar_pop("a", "b").alias("cov"))
+    g = gram(vec, "v", n)
+    # (n + 1)^2 numbers, in one row
+    one = g.agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "sum"))), lambda s: s["sum"]).alias("g"))
+    cells = one.select("g", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("i")).select("g", "i", F.explode(F.sequence("i", F.lit(n - 1))).alias("j"))
+    at = lambda i, j: F.get("g", i * (n + 1) + j)
+    i, j, count = F.col("i"), F.col("j"), F.get("g", F.lit((n + 1) ** 2 - 1))
+    return cells.select("i", "j", (at(i, j) / count - at(i, F.lit(n)) / count * at(j, F.lit(n)) / count).alias("cov")).where("cov is not null")
 
 
 def shared_components(cov: DataFrame, means: np.ndarray | None, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -69,13 +95,24 @@ def components_needed(share: np.ndarray, target: float) -> int:
     return int(np.searchsorted(np.cumsum(share), target - 1e-12) + 1)
 
 
-def usage(long: DataFrame, key: list[str], row: str, vec: np.ndarray, most: int = 25) -> DataFrame:
-    """(key, pm, rms): root mean square score of each block on the leading components."""
+def scores(long: DataFrame, key: list[str], row: str, vec: np.ndarray, most: int = 25) -> DataFrame:
+    """(key, row, pm, score) of each frame on the leading components; blocks are centred, so means are 0."""
     kept = [[float(x) for x in v] for v in vec[:most]]
-    frames = long.groupBy(*key, row).agg(F.array_sort(F.collect_list(F.struct("signal", "value"))).alias("v")).select(*key, F.transform("v", lambda s: s["value"]).alias("v"))
+    frames = long.groupBy(*key, row).agg(F.array_sort(F.collect_list(F.struct("signal", "value"))).alias("v")).select(*key, row, F.transform("v", lambda s: s["value"]).alias("v"))
     table = F.array(*(F.array(*(F.lit(x) for x in v)) for v in kept))
-    scores = frames.select(*key, F.posexplode(F.transform(table, lambda w: F.aggregate(F.zip_with("v", w, lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x))).alias("pm", "score"))
-    return scores.groupBy(*key, (F.col("pm") + 1).alias("pm")).agg(F.sqrt(F.avg(F.col("score") * F.col("score"))).alias("rms"))
+    out = frames.select(*key, row, F.posexplode(F.transform(table, lambda w: F.aggregate(F.zip_with("v", w, lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x))).alias("pm", "score"))
+    return out.withColumn("pm", F.col("pm") + 1)
+
+
+def usage(long: DataFrame, key: list[str], row: str, vec: np.ndarray, most: int = 25) -> DataFrame:
+    """(key, pm, rms): root mean square score of each block on the leading components."""
+    return scores(long, key, row, vec, most).groupBy(*key, "pm").agg(F.sqrt(F.avg(F.col("score") * F.col("score"))).alias("rms"))
+
+
+def summary(spark, share: np.ndarray, n_signals: int, n_blocks: int, detail: int = 25, shown: int = 7) -> DataFrame:
+    """One row: signals, blocks, components for 90 and 95 % of the variance, saved and shown components."""
+    row = (n_signals, n_blocks, components_needed(share, 0.90), components_needed(share, 0.95), min(detail, len(share)), min(shown, len(share)))
+    return spark.createDataFrame([row], "n_curated_signals int, n_blocks int, n_pm_90 int, n_pm_95 int, n_pm_detail_saved int, n_pm_primary_evaluation int")
 
 
 def dot(a: Column, b: Column) -> Column:

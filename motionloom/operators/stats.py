@@ -4,21 +4,23 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from motionloom.operators.windows import ranked
+from motionloom.functions.scalars import c, number
+from motionloom.operators.windows import ranked, value_ranks
 
 
 def long_form(df: DataFrame, ids: list[str], features: list[str]) -> DataFrame:
-    """(ids, feature, value): the table that all diagnostics read."""
-    values = F.array(*(F.struct(F.lit(f).alias("feature"), F.col(f"`{f}`").cast("double").alias("value")) for f in features))
+    """(ids, feature, value): the table that all diagnostics read; what is no number is missing."""
+    values = F.array(*(F.struct(F.lit(f).alias("feature"), number(c(f)).alias("value")) for f in features))
     return df.select(*ids, F.explode(values).alias("_e")).select(*ids, "_e.feature", "_e.value")
 
 
 def duration(time: str, rate: float = 50.0) -> Column:
-    """Seconds between first and last time; rows over rate where there is no time."""
-    return F.when(F.count(time) >= 2, F.max(time) - F.min(time)).when(F.count(time) == 0, F.count(F.lit(1)) / rate)
+    """Seconds between first and last time; rows over rate where times tell nothing; null under two rows."""
+    return F.when((F.count(time) >= 2) & (F.max(time) > F.min(time)), F.max(time) - F.min(time)).when(F.count(F.lit(1)) >= 2, F.count(F.lit(1)) / rate)
 
 
 def range_of_motion(df: DataFrame, key: list[str], time: str, signals: list[str]) -> DataFrame:
@@ -57,11 +59,19 @@ def distributions(long: DataFrame, least_variance: float = 1e-8) -> DataFrame:
 def _bounds(long: DataFrame, least: int) -> DataFrame:
     """Fences and moments of each feature with at least `least` values.
 
-    Quartiles are exact where a feature's different values are few or many: they are counted first.
+    Quartiles are exact: different values are counted, ranked in ranges of values, and
+    the two beside each quartile's place are found by their running counts.
     """
-    b = long.groupBy("feature").agg(F.count("value").alias("n"), F.percentile("value", F.array(F.lit(0.25), F.lit(0.75))).alias("q"), F.avg("value").alias("_m"), F.stddev_samp("value").alias("_s")).where(F.col("n") >= least)
-    iqr = F.col("q")[1] - F.col("q")[0]
-    return b.select("feature", "n", (F.col("q")[0] - 1.5 * iqr).alias("lower"), (F.col("q")[1] + 1.5 * iqr).alias("upper"), "_m", "_s")
+    v = long.where(F.col("value").isNotNull())
+    moments = v.groupBy("feature").agg(F.count("value").alias("n"), F.avg("value").alias("_m"), F.stddev_samp("value").alias("_s")).where(F.col("n") >= least)
+    ranks = value_ranks(v.groupBy("feature", "value").agg(F.count(F.lit(1)).alias("t")), ["feature"], "value", "t").join(F.broadcast(moments), "feature")
+    at = lambda q: (F.col("n") - 1) * q
+    beside = [F.min(F.when(F.col("upto") > side(at(q)), F.col("value"))).alias(f"_{name}{k}") for k, q in (("1", 0.25), ("3", 0.75)) for name, side in (("a", F.floor), ("b", F.ceil))]
+    b = ranks.groupBy("feature").agg(F.first("n").alias("n"), F.first("_m").alias("_m"), F.first("_s").alias("_s"), *beside)
+    quartile = lambda k, q: F.col(f"_a{k}") + (F.col(f"_b{k}") - F.col(f"_a{k}")) * (at(q) - F.floor(at(q)))
+    b = b.withColumns({"_q1": quartile("1", 0.25), "_q3": quartile("3", 0.75)})
+    iqr = F.col("_q3") - F.col("_q1")
+    return b.select("feature", "n", (F.col("_q1") - 1.5 * iqr).alias("lower"), (F.col("_q3") + 1.5 * iqr).alias("upper"), "_m", "_s")
 
 
 def outliers(long: DataFrame, ids: list[str], least: int = 4, z: float = 3.0) -> tuple[DataFrame, DataFrame]:
@@ -69,18 +79,19 @@ def outliers(long: DataFrame, ids: list[str], least: int = 4, z: float = 3.0) ->
     b = _bounds(long, least)
     # a row for each feature: few
     marked = long.where("value is not null").join(F.broadcast(b), "feature").withColumns({"is_iqr": (F.col("value") < F.col("lower")) | (F.col("value") > F.col("upper")), "is_z": F.coalesce(F.abs(F.try_divide(F.col("value") - F.col("_m"), F.when(F.col("_s") > 0, F.col("_s")))) > z, F.lit(False))})
-    summary = marked.groupBy("feature").agg(F.count(F.lit(1)).alias("n_valid"), F.sum(F.col("is_iqr").cast("long")).alias("n_iqr"), F.sum(F.col("is_z").cast("long")).alias("n_z"), F.first("lower").alias("lower"), F.first("upper").alias("upper")).withColumn("pct_iqr", F.col("n_iqr") / F.col("n_valid"))
+    summary = marked.groupBy("feature").agg(F.count(F.lit(1)).alias("n_valid"), F.sum(F.col("is_iqr").cast("long")).alias("n_iqr"), F.sum(F.col("is_z").cast("long")).alias("n_z"), F.first("lower").alias("lower"), F.first("upper").alias("upper")).withColumns({"pct_iqr": F.col("n_iqr") / F.col("n_valid"), "pct_z": F.col("n_z") / F.col("n_valid")})
     return summary, marked.where("is_iqr or is_z").select(*ids, "feature", "value", "is_iqr", "is_z")
 
 
 def anova(long: DataFrame, label: str, scope: list[str] | None = None) -> DataFrame:
     """One-way F, its degrees of freedom and eta squared of each feature over a label, from sums.
 
-    Sums of squares are taken about the feature's mean, for precision.
+    Sums of squares are taken about the feature's mean, for precision. Classes of
+    under two rows are left out.
     """
     by = [*(scope or []), "feature"]
     v = long.where(F.col("value").isNotNull() & F.col(label).isNotNull())
-    g = v.groupBy(*by, label).agg(F.count("value").alias("n"), F.avg("value").alias("m"), F.var_pop("value").alias("v"))
+    g = v.groupBy(*by, label).agg(F.count("value").alias("n"), F.avg("value").alias("m"), F.var_pop("value").alias("v")).where("n >= 2")
     t = g.groupBy(*by).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("k"), (F.sum(F.col("n") * F.col("m")) / F.sum("n")).alias("mean"), F.sum(F.col("n") * F.col("v")).alias("within"))
     between = g.alias("g").join(t.select(*by, "mean"), by).groupBy(*by).agg(F.sum(F.col("g.n") * (F.col("m") - F.col("mean")) ** 2).alias("between"))
     out = t.join(between, by)
@@ -90,14 +101,16 @@ def anova(long: DataFrame, label: str, scope: list[str] | None = None) -> DataFr
 
 
 def kruskal(long: DataFrame, label: str) -> DataFrame:
-    """H with tie correction. Ranks come from counts of each different value: the values are
-    pre-aggregated, so the ordered pass reads one row for each, not one for each row."""
+    """H with tie correction, over classes of at least two rows. Ranks come from counts of
+    each different value, ranked in ranges of values, so no task orders a whole feature."""
     v = long.where(F.col("value").isNotNull() & F.col(label).isNotNull())
     counts = v.groupBy("feature", "value", label).agg(F.count(F.lit(1)).alias("c"))
+    # a row for each feature and class: few
+    kept = counts.groupBy("feature", label).agg(F.sum("c").alias("_n")).where("_n >= 2").select("feature", label)
+    counts = counts.join(F.broadcast(kept), ["feature", label], "left_semi")
     each = counts.groupBy("feature", "value").agg(F.sum("c").alias("t"))
-    w = Window.partitionBy("feature").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
-    each = each.withColumn("rank", F.sum("t").over(w) - (F.col("t") - 1) / 2.0)
-    sums = counts.join(each, ["feature", "value"]).groupBy("feature", label).agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.col("rank")).alias("r"))
+    each = value_ranks(each, ["feature"], "value", "t").withColumn("rank", F.col("upto") - (F.col("t") - 1) / 2.0)
+    sums = counts.join(each.select("feature", "value", "rank"), ["feature", "value"]).groupBy("feature", label).agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.col("rank")).alias("r"))
     n = F.col("N").cast("double")
     total = sums.groupBy("feature").agg(F.sum("n").alias("N"), F.count(F.lit(1)).alias("k"), F.sum(F.col("r") * F.col("r") / F.col("n")).alias("s"))
     ties = each.groupBy("feature").agg(F.sum(F.col("t").cast("double") ** 3 - F.col("t")).alias("ties"))
@@ -112,22 +125,43 @@ def residualized(df: DataFrame, value: str, by: str, out: str = "residual") -> D
     return df.withColumn("_one", F.lit(1)).join(F.broadcast(fit), "_one").drop("_one").withColumn(out, F.col(value) - F.col("_a") - F.col("_b") * F.col(by)).drop("_a", "_b")
 
 
-def pearson(x: Column, y: Column) -> Column:
-    """r of an aggregate, null where either stands still; corr() divides by zero there in ANSI mode. Both hold the same rows' values."""
-    return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
+def pair_correlations(df: DataFrame, features: list[str], least: int = 5, group: str | None = None) -> list[tuple]:
+    """(group, feature_1, feature_2, n, r) of feature pairs with `least` complete rows; r is null where either stands still.
+
+    One matrix of sums a batch holds values about their means, their presence and their
+    squares, so pairs of many columns need no expression each.
+    """
+    from motionloom.operators.pca import gram
+
+    size = len(features)
+    m = df.agg(*(F.avg(c(f)).alias(f"m{i}") for i, f in enumerate(features))).first() if features else []
+    groups = [r[0] for r in df.select(group).distinct().collect()] if group else [None]
+    x = [c(f).cast("double") - F.lit(float(v)) if v is not None else F.lit(None).cast("double") for f, v in zip(features, m, strict=True)]
+    cells = [F.coalesce(v, F.lit(0.0)) for v in x] + [v.isNotNull().cast("double") for v in x] + [F.coalesce(v * v, F.lit(0.0)) for v in x]
+    number_of = F.array_position(F.array(*map(F.lit, groups)), F.col(group)).cast("int") if group and None not in groups else F.lit(1)
+    if group and None in groups:  # rows without a group are left out
+        groups = [g for g in groups if g is not None]
+        df = df.where(F.col(group).isNotNull())
+        number_of = F.array_position(F.array(*map(F.lit, groups)), F.col(group)).cast("int")
+    sums: dict[int, np.ndarray] = {}
+    for r in gram(df.select(F.array(*cells).alias("v"), number_of.alias("g")), "v", 3 * size, "g").collect() if size else []:
+        sums.setdefault(r["by"], np.zeros((3 * size + 1) ** 2))[r["pos"]] = r["sum"]
+    out = []
+    for g, s in sorted(sums.items()):
+        s = s.reshape(3 * size + 1, 3 * size + 1)
+        n, one, two = s[size : 2 * size, size : 2 * size], s[:size, size : 2 * size], s[2 * size : 3 * size, size : 2 * size]
+        var = n * two - one * one
+        var[var <= 1e-12 * np.maximum(n * two, 1e-300)] = 0
+        both = n * s[:size, :size] - one * one.T
+        with np.errstate(divide="ignore", invalid="ignore"):
+            r = both / np.sqrt(var * var.T)
+        out += [(groups[g - 1], features[i], features[j], int(n[i, j]), float(r[i, j]) if np.isfinite(r[i, j]) else None) for i in range(size) for j in range(i + 1, size) if n[i, j] >= least]
+    return out
 
 
 def correlations(df: DataFrame, features: list[str], least: int = 5) -> DataFrame:
-    """Pairwise-complete Pearson r of feature pairs, in one pass: an aggregate for each pair of columns."""
-    aggs, names = [], []
-    for i, a in enumerate(features):
-        for b in features[i + 1 :]:
-            both = F.col(a).isNotNull() & F.col(b).isNotNull()
-            aggs.append(F.struct(F.lit(a).alias("feature_1"), F.lit(b).alias("feature_2"), F.count(F.when(both, 1)).alias("n"), pearson(F.when(both, F.col(a)), F.when(both, F.col(b))).alias("r")).alias(f"p{len(names)}"))
-            names.append(f"p{len(names)}")
-    one = df.agg(*aggs)
-    rows = one.select(F.explode(F.array(*names)).alias("e")).select("e.*")
-    return rows.where(F.col("n") >= least)
+    """Pairwise-complete Pearson r of feature pairs, in one pass over the table."""
+    return df.sparkSession.createDataFrame([r[1:] for r in pair_correlations(df, features, least)], "feature_1 string, feature_2 string, n long, r double")
 
 
 def redundant(df: DataFrame, features: list[str], limit: float = 0.90) -> DataFrame:
@@ -169,12 +203,12 @@ def metrics(matrix: DataFrame, truth: str, predicted: str, scope: list[str] | No
     zero = lambda a, b: F.coalesce(F.try_divide(a, b), F.lit(0.0))
     j = t.join(p, [*scope, "class"]).withColumn("precision", zero(F.col("hits"), F.col("said"))).withColumn("recall", zero(F.col("hits"), F.col("support")))
     f1 = zero(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall"))
-    return j.withColumn("f1", f1).select(*scope, "class", "support", "precision", "recall", "f1")
+    return j.withColumn("f1", f1).select(*scope, "class", "support", "said", "precision", "recall", "f1")
 
 
 def overall(per_class: DataFrame, scope: list[str] | None = None) -> DataFrame:
-    """Balanced accuracy over classes that occur, macro and weighted F1."""
-    return per_class.groupBy(*(scope or [])).agg(F.avg(F.when(F.col("support") > 0, F.col("recall"))).alias("balanced_accuracy"), F.avg("f1").alias("macro_f1"), (F.sum(F.col("f1") * F.col("support")) / F.sum("support")).alias("weighted_f1"))
+    """Balanced accuracy over classes that occur, macro F1 over those that occur or are predicted, weighted F1."""
+    return per_class.groupBy(*(scope or [])).agg(F.avg(F.when(F.col("support") > 0, F.col("recall"))).alias("balanced_accuracy"), F.avg(F.when(F.col("support") + F.col("said") > 0, F.col("f1"))).alias("macro_f1"), (F.sum(F.col("f1") * F.col("support")) / F.sum("support")).alias("weighted_f1"))
 
 
 def _beta_fraction(a: float, b: float, x: float) -> float:

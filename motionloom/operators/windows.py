@@ -47,9 +47,9 @@ def sampling_step(df: DataFrame, key: list[str], time: str) -> DataFrame:
 
 
 def resampled(df: DataFrame, key: list[str], time: str, value: str, step: float) -> DataFrame:
-    """Linear interpolation by time at first time + j * step, up to the last time."""
+    """Linear interpolation by time at first time + j * step, up to half a step beyond the last time, where the last value is held."""
     span = df.where(F.col(value).isNotNull()).groupBy(*key).agg(F.min(time).alias("_a"), F.max(time).alias("_z"))
-    grid = span.select(*key, F.explode(F.sequence(F.lit(0), F.floor((F.col("_z") - F.col("_a")) / step).cast("int"))).alias("j"), "_a").select(*key, "j", (F.col("_a") + F.col("j") * step).alias("t"), F.lit(None).cast("double").alias("v"))
+    grid = span.select(*key, F.explode(F.sequence(F.lit(0), F.ceil((F.col("_z") - F.col("_a")) / step + 0.5).cast("int") - 1)).alias("j"), "_a").select(*key, "j", (F.col("_a") + F.col("j") * step).alias("t"), F.lit(None).cast("double").alias("v"))
     known = df.where(F.col(value).isNotNull()).select(*key, F.lit(None).cast("int").alias("j"), F.col(time).alias("t"), F.col(value).alias("v"))
     sample = F.when(F.col("v").isNotNull(), F.struct("t", "v"))
     w = _trial(key).orderBy("t", F.col("j").isNotNull())
@@ -100,9 +100,38 @@ def duplicated(key: list[str]) -> Column:
     return F.count("*").over(_trial(key)) > 1
 
 
-def cumulative(df: DataFrame, order: str, value: str, out: str = "cumulative") -> DataFrame:
-    """Running sum over a few rows (components of a model)."""
-    return df.withColumn(out, F.sum(value).over(Window.orderBy(order).rowsBetween(Window.unboundedPreceding, 0)))
+def numbered(df: DataFrame, by: list[str], buckets: list[Column], order: list[Column | str], out: str = "n") -> DataFrame:
+    """Row number from 1 within `by`, in the order of (buckets, order), without sorting a whole group in one task.
+
+    A bucket's rows are sorted by themselves; what comes before it is known from the
+    counts of buckets, of which there are few.
+    """
+    names = [f"_b{i}" for i in range(len(buckets))]
+    df = df.withColumns(dict(zip(names, buckets, strict=True)))
+    counts = df.groupBy(*by, *names).agg(F.count(F.lit(1)).alias("_c"))
+    before = F.sum("_c").over(_trial(by).orderBy(*names)) - F.col("_c")
+    places = counts.select(*by, *names, before.alias("_before"))
+    keyed = [*by, *names]
+    numbers = df.withColumn("_own", F.row_number().over(_trial(keyed).orderBy(*order)))
+    right = places.select(*(F.col(k).alias(f"_r{i}") for i, k in enumerate(keyed)), "_before")
+    on = F.lit(True)
+    for i, k in enumerate(keyed):
+        on = on & numbers[k].eqNullSafe(right[f"_r{i}"])
+    joined = numbers.join(right, on)
+    return joined.withColumn(out, F.col("_own") + F.col("_before")).drop("_own", "_before", *names, *(f"_r{i}" for i in range(len(keyed))))
+
+
+def value_ranks(counts: DataFrame, by: list[str], value: str, weight: str, out: str = "upto", parts: int = 64) -> DataFrame:
+    """Running sum of weights over the values of a group, one row per value, in `parts` ranges of values.
+
+    The ranges come from approximate quantiles; they decide only what a task sorts.
+    """
+    cuts = counts.groupBy(*by).agg(F.percentile_approx(value, [i / parts for i in range(1, parts)], 1000).alias("_cuts"))
+    part = F.size(F.filter("_cuts", lambda x: x < F.col(value)))
+    placed = counts.join(cuts, by).withColumn("_part", part).drop("_cuts")
+    sums = placed.groupBy(*by, "_part").agg(F.sum(weight).alias("_w")).withColumn("_before", F.sum("_w").over(_trial(by).orderBy("_part")) - F.col("_w")).drop("_w")
+    own = F.sum(weight).over(_trial([*by, "_part"]).orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
+    return placed.withColumn("_own", own).join(sums, [*by, "_part"]).withColumn(out, F.col("_own") + F.col("_before")).drop("_part", "_own", "_before")
 
 
 def ranked(df: DataFrame, score: str, tie: str, out: str = "rank") -> DataFrame:
@@ -110,5 +139,7 @@ def ranked(df: DataFrame, score: str, tie: str, out: str = "rank") -> DataFrame:
     return df.withColumn(out, F.row_number().over(Window.orderBy(F.col(score).desc_nulls_last(), tie)))
 
 
-def top(df: DataFrame, score: str, tie: str, n: int = 10, best: bool = True) -> DataFrame:
-    return df.orderBy(F.col(score).desc_nulls_last() if best else F.col(score).asc_nulls_last(), tie).limit(n)
+def top(df: DataFrame, score: str, tie: str, n: int = 10, best: bool = True, absolute: bool = False) -> DataFrame:
+    """The n best (or worst) rows by score, or by its absolute value; ties by `tie`."""
+    by = F.abs(score) if absolute else F.col(score)
+    return df.orderBy(by.desc_nulls_last() if best else by.asc_nulls_last(), tie).limit(n)

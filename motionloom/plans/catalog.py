@@ -60,7 +60,7 @@ def _r(x, n: int = 6):
 
 FRAMES = "e AS (SELECT event_id, user_id, event_type, value, date_diff('microsecond', TIMESTAMP '2024-01-01', ts) / 1e6 AS time_s FROM events)"
 META = "m AS (SELECT c_custkey AS user_id, lower(c_mktsegment) AS instrument, (['Novice','Advanced Beginner','Competent','Expert'])[c_custkey % 4 + 1] AS skill_level, c_acctbal FROM customer)"
-ROM = "r AS (SELECT user_id, count(*) AS n_rows, CASE WHEN count(time_s) >= 2 THEN max(time_s) - min(time_s) WHEN count(time_s) = 0 THEN count(*) / 50.0 END AS duration, max(value) - min(value) AS rom FROM e GROUP BY user_id)"
+ROM = "r AS (SELECT user_id, count(*) AS n_rows, CASE WHEN count(time_s) >= 2 AND max(time_s) > min(time_s) THEN max(time_s) - min(time_s) WHEN count(*) >= 2 THEN count(*) / 50.0 END AS duration, max(value) - min(value) AS rom FROM e GROUP BY user_id)"
 CELLS = "b AS (SELECT label AS participant, vec_id % 3 AS block, vec_id, unnest(embedding)::DOUBLE AS value, generate_subscripts(embedding, 1) - 1 AS signal FROM embeddings)"
 LONG = "l AS (UNPIVOT (SELECT l_orderkey, l_linenumber, l_quantity, l_extendedprice, l_discount, l_tax FROM lineitem) ON l_quantity, l_extendedprice, l_discount, l_tax INTO NAME feature VALUE value)"
 
@@ -142,7 +142,7 @@ def sampling_step(spark, d):
 
 
 GRID = f"""span AS (SELECT user_id, min(time_s) AS a, max(time_s) AS z FROM e GROUP BY user_id),
-grid AS (SELECT user_id, unnest(range(CAST(floor((z - a) / {STEP}) AS BIGINT) + 1)) AS j, a FROM span),
+grid AS (SELECT user_id, unnest(range(CAST(ceil((z - a) / {STEP} + 0.5) AS BIGINT))) AS j, a FROM span),
 u AS (SELECT user_id, NULL::BIGINT AS j, time_s AS t, value AS v FROM e UNION ALL SELECT user_id, j, a + j * {STEP}, NULL FROM grid),
 pq AS (SELECT *, last_value(CASE WHEN v IS NOT NULL THEN t END IGNORE NULLS) OVER a AS pt, last_value(v IGNORE NULLS) OVER a AS pv, first_value(CASE WHEN v IS NOT NULL THEN t END IGNORE NULLS) OVER z AS qt, first_value(v IGNORE NULLS) OVER z AS qv FROM u WINDOW a AS (PARTITION BY user_id ORDER BY t, j IS NOT NULL ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), z AS (PARTITION BY user_id ORDER BY t, j IS NULL ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
 s AS (SELECT user_id, j::INTEGER AS j, CASE WHEN qt IS NULL OR pt = qt THEN pv WHEN pt IS NULL THEN qv ELSE pv + (qv - pv) * (t - pt) / (qt - pt) END AS v FROM pq WHERE j IS NOT NULL)"""
@@ -257,23 +257,29 @@ def missingness(spark, d):
     return stats.missingness(stats.long_form(li, [], ["l_quantity", "l_tax"])).withColumn("pct_missing", _r("pct_missing"))
 
 
-@query(f"WITH {LONG}, m AS (SELECT feature, avg(value) AS mu, stddev_pop(value) AS sp FROM l GROUP BY feature) SELECT l.feature, count(value) AS n_valid, round(avg(value), 6) AS mean, round(stddev_samp(value), 6) AS sd, min(value) AS min, max(value) AS max, round(avg(pow((value - mu) / sp, 3)), 6) AS skewness, round(kurtosis_pop(value), 6) AS kurtosis, round(var_pop(value), 4) AS variance, var_pop(value) < 1e-8 AS flag_near_zero_variance FROM l JOIN m USING (feature) GROUP BY l.feature")
+@query(f"WITH {LONG}, m AS (SELECT feature, avg(value) AS mu, stddev_pop(value) AS sp FROM l GROUP BY feature) SELECT l.feature, count(value) AS n_valid, round(avg(value), 6) AS mean, round(stddev_samp(value), 6) AS sd, min(value) AS min, max(value) AS max, round(avg(pow((value - mu) / sp, 3)), 6) AS skewness, round(kurtosis_pop(value), 6) AS kurtosis, round(sqrt(var_pop(value)), 4) AS population_sd, var_pop(value) < 1e-8 AS flag_near_zero_variance FROM l JOIN m USING (feature) GROUP BY l.feature")
 def distributions(spark, d):
-    return stats.distributions(_long(spark, d)).withColumns({c: _r(c) for c in ("mean", "sd", "skewness", "kurtosis")}).withColumn("variance", _r("variance", 4))
+    return stats.distributions(_long(spark, d)).withColumns({c: _r(c) for c in ("mean", "sd", "skewness", "kurtosis")}).withColumn("population_sd", _r(F.sqrt("variance"), 4)).drop("variance")
 
 
 BOUNDS = "q AS (SELECT feature, quantile_cont(value, 0.25) AS a, quantile_cont(value, 0.75) AS z, avg(value) AS m, stddev_samp(value) AS s FROM l GROUP BY feature HAVING count(value) >= 4), k AS (SELECT l.*, a - 1.5 * (z - a) AS lower, z + 1.5 * (z - a) AS upper, value < a - 1.5 * (z - a) OR value > z + 1.5 * (z - a) AS is_iqr, coalesce(abs((value - m) / nullif(s, 0)) > 3, false) AS is_z FROM l JOIN q USING (feature))"
 
 
-@query(f"WITH {LONG}, {BOUNDS} SELECT feature, count(*) AS n_valid, sum(is_iqr::BIGINT)::BIGINT AS n_iqr, sum(is_z::BIGINT)::BIGINT AS n_z, round(any_value(lower), 4) AS lower, round(any_value(upper), 4) AS upper, round(sum(is_iqr::BIGINT) / count(*), 6) AS pct_iqr FROM k GROUP BY feature")
+@query(f"WITH {LONG}, {BOUNDS} SELECT feature, count(*) AS n_valid, sum(is_iqr::BIGINT)::BIGINT AS n_iqr, sum(is_z::BIGINT)::BIGINT AS n_z, round(any_value(lower), 4) AS lower, round(any_value(upper), 4) AS upper, round(sum(is_iqr::BIGINT) / count(*), 6) AS pct_iqr, round(sum(is_z::BIGINT) / count(*), 6) AS pct_z FROM k GROUP BY feature")
 def outlier_summary(spark, d):
     s, _ = stats.outliers(_long(spark, d), ["l_orderkey", "l_linenumber"])
-    return s.withColumns({"lower": _r("lower", 4), "upper": _r("upper", 4), "pct_iqr": _r("pct_iqr")})
+    return s.withColumns({"lower": _r("lower", 4), "upper": _r("upper", 4), "pct_iqr": _r("pct_iqr"), "pct_z": _r("pct_z")})
 
 
-@query(f"WITH {LONG}, {BOUNDS} SELECT l_orderkey, l_linenumber, feature, value, is_iqr, is_z FROM k WHERE is_iqr OR is_z")
+STEEP = LONG.replace("l_extendedprice, l_discount, l_tax FROM", "(l_extendedprice * l_extendedprice * l_extendedprice) * (l_extendedprice * l_extendedprice * l_extendedprice) AS l_extendedprice, l_discount, l_tax FROM")
+
+
+@query(f"WITH {STEEP}, {BOUNDS} SELECT l_orderkey, l_linenumber, feature, value, is_iqr, is_z FROM k WHERE is_iqr OR is_z")
 def outlier_detail(spark, d):
-    return stats.outliers(_long(spark, d), ["l_orderkey", "l_linenumber"])[1]
+    """Of sixth powers of prices, whose upper tail lies outside of the fences."""
+    price = F.col("l_extendedprice")
+    li = _read(spark, d, "lineitem").withColumn("l_extendedprice", (price * price * price) * (price * price * price))
+    return stats.outliers(stats.long_form(li, ["l_orderkey", "l_linenumber"], SIGNALS), ["l_orderkey", "l_linenumber"])[1]
 
 
 def _labelled(spark, d):
@@ -282,7 +288,7 @@ def _labelled(spark, d):
 
 
 OL = "v AS (SELECT o_orderpriority AS g, 'price' AS feature, o_totalprice AS x FROM orders UNION ALL SELECT o_orderpriority, 'day', day(o_orderdate) FROM orders)"
-ANOVA = "a AS (SELECT feature, g, count(*) AS n, avg(x) AS m, var_pop(x) AS v FROM v GROUP BY ALL), t AS (SELECT feature, sum(n) AS n, count(*) AS k, sum(n * m) / sum(n) AS mean, sum(n * v) AS w FROM a GROUP BY feature), b AS (SELECT feature, sum(a.n * (m - mean) * (m - mean)) AS b FROM a JOIN t USING (feature) GROUP BY feature)"
+ANOVA = "a AS (SELECT feature, g, count(*) AS n, avg(x) AS m, var_pop(x) AS v FROM v GROUP BY ALL HAVING count(*) >= 2), t AS (SELECT feature, sum(n) AS n, count(*) AS k, sum(n * m) / sum(n) AS mean, sum(n * v) AS w FROM a GROUP BY feature), b AS (SELECT feature, sum(a.n * (m - mean) * (m - mean)) AS b FROM a JOIN t USING (feature) GROUP BY feature)"
 
 
 @query(f"WITH {OL}, {ANOVA} SELECT feature, t.n::BIGINT AS n, k, round((b / (k - 1)) / (w / (t.n - k)), 6) AS f, round(b / (b + w), 9) AS eta_squared FROM t JOIN b USING (feature)")
@@ -347,10 +353,14 @@ def impute_median(spark, d):
     return train.unionByName(test).withColumn("l_quantity", _r("l_quantity"))
 
 
-@query()
+PRUNED = ["l_discount", "l_extendedprice", "l_quantity", "l_tax", "l_twice"]
+NEAR = "[" + ", ".join("list_filter([" + ", ".join(f"CASE WHEN abs(corr({a}, {b})) >= 0.9 THEN '{a}' END" for a in PRUNED[:i]) + "], lambda x: x IS NOT NULL)" if i else "[]::VARCHAR[]" for i, b in enumerate(PRUNED)) + "]"
+
+
+@query(f"WITH RECURSIVE f AS (SELECT {PRUNED} AS names, {NEAR} AS near FROM (SELECT *, l_quantity * 2 + l_tax AS l_twice FROM lineitem)), k AS (SELECT 0 AS i, []::VARCHAR[] AS kept UNION ALL SELECT i + 1, CASE WHEN len(list_intersect(kept, near[i + 1])) > 0 THEN kept ELSE list_append(kept, names[i + 1]) END FROM k, f WHERE i < {len(PRUNED)}) SELECT unnest(kept) AS feature FROM k WHERE i = {len(PRUNED)}")
 def correlation_prune(spark, d):
     li = _read(spark, d, "lineitem").select(*SIGNALS, (F.col("l_quantity") * 2 + F.col("l_tax")).alias("l_twice"))
-    return spark.createDataFrame([(f,) for f in learn.pruned(li, [*SIGNALS, "l_twice"])], "feature string")
+    return spark.createDataFrame([(f,) for f in learn.pruned(li, PRUNED)], "feature string")
 
 
 def _judged(spark, d):
@@ -368,7 +378,7 @@ def confusion_matrix(spark, d):
 
 @query(f"WITH {CONFUSION}, {PER} SELECT fold, class, support::BIGINT AS support, round(pr, 6) AS \"precision\", round(re, 6) AS recall, round(f1, 6) AS f1 FROM y")
 def class_metrics(spark, d):
-    m = stats.metrics(confusion_matrix(spark, d), "quality", "predicted", ["fold"])
+    m = stats.metrics(confusion_matrix(spark, d), "quality", "predicted", ["fold"]).drop("said")
     return m.withColumns({c: _r(c) for c in ("precision", "recall", "f1")})
 
 
@@ -413,32 +423,16 @@ def average_ranks(spark, d):
     return o.select("n_name", "o_orderkey", W.average_rank("o_totalprice", ["c_nationkey"]).alias("r"))
 
 
-@query()
-def butter_filtfilt(spark, d):
-    df = W.indexed(_frames(spark, d), ["user_id"], ["time_s", "event_id"])
-    return FE.filtered(df.select("user_id", "i", "value"), ["user_id"], "i", {"value": 6.0})
-
-
-@query()
-def sparc_window(spark, d):
-    df = _frames(spark, d).withColumn("t", F.col("time_s") / 1e6 * 50)
-    return FE.smoothness(df, ["user_id"], "t", ["value"], cutoff=0.01)
-
-
-@query()
-def stroke_ldj(spark, d):
-    return FE.stroke_jerk(_frames(spark, d).withColumn("t", F.col("time_s") / 86400), ["user_id"], "t", ["value"], cutoff=0.3)
-
-
 @query()
 def mutual_info(spark, d):
     o = _read(spark, d, "orders")
     return FE.mutual_information(stats.long_form(o, ["o_orderstatus"], ["o_totalprice", "o_custkey"]), "o_orderstatus")
 
 
-@query()
+# five classes: with 4 and m degrees of freedom the tail is x^(m/2) * (1 + m/2 * (1 - x)), x = m / (m + 4 F)
+@query(f"WITH {OL}, {ANOVA}, s AS (SELECT feature, t.n - t.k AS m, (b / (t.k - 1)) / (w / (t.n - t.k)) AS f FROM t JOIN b USING (feature)) SELECT feature, round(pow(m / (m + 4 * f), m / 2) * (1 + m / 2 * (1 - m / (m + 4 * f))), 6) AS p FROM s")
 def tail_p(spark, d):
-    return stats.with_tails(stats.anova(_labelled(spark, d), "o_orderpriority"))
+    return stats.with_tails(stats.anova(_labelled(spark, d), "o_orderpriority")).select("feature", _r("p").alias("p"))
 
 
 SD = "v AS (SELECT o_orderstatus AS instrument, o_orderpriority AS g, o_custkey::DOUBLE AS d, 'price' AS feature, o_totalprice AS x FROM orders UNION ALL SELECT o_orderstatus, o_orderpriority, o_custkey, 'day', day(o_orderdate) FROM orders)"
@@ -457,7 +451,7 @@ def skill_duration_evaluation(spark, d):
 
 @query("SELECT * FROM (" + " UNION ALL ".join(f"SELECT l_returnflag, '{a}' AS feature_1, '{b}' AS feature_2, count(*) AS n_participants, round(corr({a}, {b}), 6) AS r, abs(corr({a}, {b})) >= 0.9 AS flag FROM lineitem GROUP BY 1 HAVING count(*) >= 5" for i, a in enumerate(SIGNALS) for b in SIGNALS[i + 1 :]) + ")")
 def redundancy_by_instrument(spark, d):
-    return evaluate.redundancy_by(_read(spark, d, "lineitem"), ["l_returnflag"], SIGNALS).withColumn("r", _r("r"))
+    return evaluate.redundancy_by(_read(spark, d, "lineitem"), "l_returnflag", SIGNALS).withColumn("r", _r("r"))
 
 
 @query("WITH c AS (SELECT l_returnflag, unnest(['l_quantity', 'l_tax']) AS feature, unnest([count(CASE WHEN l_returnflag <> 'A' THEN l_quantity END), count(l_tax)]) AS n FROM lineitem GROUP BY 1) SELECT feature, min(n) AS least_valid, min(n) >= 2 AS kept FROM c GROUP BY feature")
@@ -505,7 +499,7 @@ def svm_cv(spark, d):
 
 @query()
 def forest_cv(spark, d):
-    return _cv(spark, d, "forest", trees=40)
+    return _cv(spark, d, "forest")
 
 
 @query()
@@ -517,8 +511,11 @@ def rnn_cv(spark, d):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    from motionloom.plans import study_queries  # noqa: F401  it registers its queries
+
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    queries()
     return dict(SQL)

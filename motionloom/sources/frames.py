@@ -10,13 +10,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
-from motionloom.functions.scalars import c, instrument, nulls_for_nan, participant
+from motionloom.functions.scalars import c, canonical_label, condition, nulls_for_nan, participant
 
 # The nominal width and rate of a trial, columns that are no signals, and cutoffs (Hz) by name pattern.
 WIDTH, RATE, DEFAULT_CUTOFF = 199, 50.0, 6.0
-NOT_SIGNALS = {"time_s", "participant_id", "condition", "block", "Timestamp", "Frame", "Sub Frame"}
+NOT_SIGNALS = {"n_placeholders", "time_s", "participant_id", "condition", "block", "Timestamp", "Frame", "Sub Frame"}
 REQUIRED = ["ID", "Instrument", "Skill Level", "Num Level", "Age", "Sex"]
 TRIAL_NAME = r"^(P\d+)_([a-zA-Z]+)_(\d+)"
+CUTOFFS = [
+    (r"(?i)wrist|hand|finger|thumb", 9.0),
+    (r"(?i)toe", 8.0),
+    (r"(?i)elbow|forearm", 8.0),
+    (r"(?i)shoulder|clavicle|arm", 8.0),
+    (r"(?i)hip|pelvis|thigh|knee|ankle|foot", 6.0),
+    (r"(?i)frontal plane (knee|projection) angle|\(deg\)\.1|\(ratio\)\.1", 6.0),
+    (r"(?i)spine|trunk|chest|neck|head|nose|ear|centerofgravity", 2.0),
+]
 
 
 def header_names(line: str) -> list[str]:
@@ -51,7 +60,8 @@ def read_trials(spark: SparkSession, folder: str, pattern: str = "*.csv") -> Dat
         raw = spark.read.schema(", ".join(f"c{i} string" for i in range(len(names)))).option("header", True).option("enforceSchema", True).csv(r["paths"]).withColumn("path", F.input_file_name())
         keep = [(i, n) for i, n in enumerate(names) if n != "Annotations" and not re.match(r"^\(.*\)$", n)]
         text = {"participant_id", "condition", "block", "Timestamp"}
-        df = raw.select("path", *((F.col(f"c{i}") if n in text else F.col(f"c{i}").try_cast("double")).alias(n) for i, n in keep))
+        notes = [F.lit("Annotations" in names).alias("had_annotations"), F.lit(sum(bool(re.match(r"^\(.*\)$", n)) for n in names)).alias("n_placeholders")]
+        df = raw.select("path", *notes, *((F.col(f"c{i}") if n in text else F.col(f"c{i}").try_cast("double")).alias(n) for i, n in keep))
         out = df if out is None else out.unionByName(df, allowMissingColumns=True)
     return nulls_for_nan(out) if out is not None else None
 
@@ -60,19 +70,14 @@ def signal_columns(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema if re.search("Position|Angle", f.name) and isinstance(f.dataType, NumericType) and f.name not in NOT_SIGNALS]
 
 
-def present_columns(df: DataFrame, key: list[str]) -> DataFrame:
-    """Per trial, names of the columns that aren't all null, their number, and a message if it is unusual."""
-    names = [n for n in df.columns if n not in key]
-    a = df.groupBy(*key).agg(F.count(F.lit(1)).alias("n_rows"), F.filter(F.array(*(F.when(F.count(c(n)) > 0, n) for n in names)), lambda x: x.isNotNull()).alias("columns"))
-    return a.withColumn("n_columns", F.size("columns")).withColumn("warnings", F.when(F.col("n_columns") != WIDTH, F.array(F.concat(F.lit("column count mismatch: "), "n_columns"))).otherwise(F.array().cast("array<string>")))
-
-
-def cutoff_map(path: str | None) -> list[tuple[str, float]]:
-    """Ordered (pattern, Hz) from JSON."""
-    if not path:
-        return []
-    with open(path) as f:
-        return [(k, float(v)) for k, v in json.load(f).items()]
+def cutoff_map(given: str | dict | None) -> list[tuple[str, float]]:
+    """Ordered (pattern, Hz) from a JSON file or a mapping; the usual joint groups if there is none."""
+    if not given:
+        return CUTOFFS
+    if isinstance(given, str):
+        with open(given) as f:
+            given = json.load(f)
+    return [(k, float(v)) for k, v in given.items()]
 
 
 def cutoff(name: str, table: list[tuple[str, float]], default: float = DEFAULT_CUTOFF) -> float:
@@ -106,14 +111,18 @@ def metadata(df: DataFrame) -> DataFrame:
 
 
 def tolerant_metadata(df: DataFrame | None, spark: SparkSession) -> DataFrame:
-    """(participant_id, instrument, skill): columns found by parts of their names; an absent table is empty."""
+    """(participant_id, instrument, skill): columns found by parts of their names; an absent table is empty.
+
+    instrument is as written, in lower case; skill is the canonical label.
+    """
     if df is None:
         return spark.createDataFrame([], "participant_id string, instrument string, skill string")
-    low = {x.lower(): x for x in df.columns}
+    low = {x.strip().lower(): x for x in df.columns}
     find = lambda part: next((x for k, x in low.items() if part in k), None)
     key, inst, skill = low.get("id", df.columns[0]), find("instrument"), find("skill")
     none = F.lit(None).cast("string")
-    return df.select(participant(c(key)).alias("participant_id"), instrument(c(inst) if inst else none).alias("instrument"), (c(skill).cast("string") if skill else none).alias("skill")).dropDuplicates(["participant_id"])
+    m = df.select(participant(c(key)).alias("participant_id"), condition(c(inst) if inst else none).alias("instrument"), (canonical_label(c(skill)) if skill else none).alias("skill"))
+    return m.where("participant_id <> ''").groupBy("participant_id").agg(F.min(F.struct("instrument", "skill")).alias("m")).select("participant_id", "m.*")
 
 
 def write_report(df: DataFrame, folder: str, scope: str | None = None, as_csv: bool = False) -> None:
@@ -122,13 +131,20 @@ def write_report(df: DataFrame, folder: str, scope: str | None = None, as_csv: b
         df = df.withColumn("scope", F.lit(scope))
     df.write.mode("overwrite").parquet(folder)
     if as_csv:
-        df.write.mode("overwrite").option("header", True).csv(folder.rstrip("/") + "_csv")
+        flat = [F.to_json(c(f.name)).alias(f.name) if f.dataType.typeName() in ("array", "map", "struct") else c(f.name) for f in df.schema]
+        df.sparkSession.read.parquet(folder).select(*flat).coalesce(1).write.mode("overwrite").option("header", True).csv(folder.rstrip("/") + "_csv")
 
 
 def write_json(df: DataFrame, folder: str) -> None:
+    """One JSON object a row."""
     df.select(F.to_json(F.struct(*df.columns)).alias("value")).write.mode("overwrite").text(folder)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
 def require_other_folder(source: str, target: str) -> None:
     norm = lambda p: re.sub(r"^file:/+", "/", p).rstrip("/")
     if norm(source) == norm(target):

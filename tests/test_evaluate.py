@@ -48,7 +48,7 @@ def test_bundle_scopes(spark):
     rows = [(i, float(i % 3 + rng.normal()), 1.0, str(i % 3), "ab"[i % 2]) for i in range(60)]
     tables = evaluate.bundle(spark.createDataFrame(rows, "id long, x double, still double, y string, inst string"), ["id"], ["x", "still"], "y", "inst", ["a", "b"])
     s = {r["scope"]: r for r in evaluate.bundle_summary(tables).collect()}
-    assert set(s) == {"overall", "a", "b"} and len(tables) == 9
+    assert set(s) == {"overall", "a", "b"} and len(tables) == 10
     assert all(r["n_features"] == 2 and r["n_near_zero_variance"] == 1 and r["n_high_missing"] == 0 for r in s.values())
     first = tables["ranking"].where("rank = 1").collect()
     assert {(r["scope"], r["feature"]) for r in first} == {(k, "x") for k in s}

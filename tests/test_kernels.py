@@ -110,7 +110,7 @@ def test_guards(spark):
     with pytest.raises(ValueError):
         learn.clipped_splits(one, "v", 5)
     with pytest.raises(ValueError):
-        joins.merged_block_features(spark.createDataFrame([("p", "c", 1)], "participant_id string, condition string, block int"), [one])
+        joins.merged_block_features(spark.createDataFrame([("p", "c", 1)], "participant_id string, condition string, block int"), {"one": one})
 
 
 def test_trial_files(spark, tmp_path):
