@@ -36,6 +36,15 @@ def _folder(spark: SparkSession, path: str):
     return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
 
 
+def scratch(spark: SparkSession, tag: str) -> str:
+    """A new path in the shared folder; what is written there goes at the end of the driver, if not before."""
+    path = f"{shared_dir(spark)}/motionloom/{tag}-{uuid.uuid4().hex}"
+    files, p = _folder(spark, path)
+    files.deleteOnExit(p)
+    WRITTEN.append(path)
+    return path
+
+
 def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Write df to the shared folder and return the reread table (lineage is cut).
 
@@ -43,11 +52,8 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     unless discard() or delete() took it before.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/motionloom/{tag}-{uuid.uuid4().hex}"
+    path = scratch(spark, tag)
     df.write.option("compression", "zstd").parquet(path)
-    files, p = _folder(spark, path)
-    files.deleteOnExit(p)
-    WRITTEN.append(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._motionloom_path = path
     return out

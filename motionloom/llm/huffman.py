@@ -6,6 +6,10 @@ canonical code of at most MAX_BITS bits (package-merge). Each block is coded by
 itself, with the bit offset of every STEP-th id, so a reader starts anywhere and
 decodes all stretches of a block side by side with one table.
 
+The files are a folder of two Parquet tables: `code`, the code length of each id, from
+which the canonical code follows, and `blocks`, the coded blocks with their documents'
+keys. A reader needs nothing but the folder.
+
 Cases: null or empty text: only the end id; null keys come first; repeated rows
 are coded each; empty table: no blocks, no rows; other columns are not read.
 """
@@ -18,11 +22,11 @@ import zlib
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from motionloom.llm import tokens as T
-from motionloom.llm.common import bulks, column, deals, discard, free_shuffles, materialize, bounded_batches, texts
+from motionloom.llm.common import bounded_batches, bulks, column, deals, discard, free_shuffles, materialize, scratch, texts
 
 MAX_BITS, STEP, BLOCK_IDS = 18, 256, 1 << 20
 MAGIC = b"MLHUF001"
@@ -122,6 +126,7 @@ def decode_block(data: bytes, table: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return out.T.reshape(-1)[:n], lens
 
 
+CODED = "shard int, block int, doc_ids binary, no_id binary, n_docs long, n_tokens long, coded binary"
 BLOCKS = "shard int, block int, doc_ids binary, no_id binary, n_docs long, n_tokens long, ids binary"
 
 
@@ -176,10 +181,11 @@ def _counted(blocks: DataFrame) -> DataFrame:
     return blocks.select("ids", "n_docs").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
 
 
-def write_ids(docs: DataFrame, path: str | None = None, end_id: int = 2) -> tuple[DataFrame, np.ndarray]:
-    """Tokenize and code all documents; the written table of blocks, and the code lengths by id."""
+def write_ids(docs: DataFrame, folder: str | None = None, path: str | None = None, end_id: int = 2) -> str:
+    """Tokenize and code all documents into a folder, and return it: a new one in the shared folder, if none is named."""
     spark = docs.sparkSession
     bounded_batches(spark)
+    folder = folder or scratch(spark, "coded-ids")
     blocks = materialize(_tokenized(docs, path or T.default_path(), end_id), "ids")
     free_shuffles(spark)
     counts = {r["id"]: r["n"] for r in _counted(blocks).collect()}  # as many rows as the vocabulary has at most
@@ -188,6 +194,8 @@ def write_ids(docs: DataFrame, path: str | None = None, end_id: int = 2) -> tupl
         dense[k] = n
     lengths = code_lengths(dense)
     codes = canonical(lengths)
+    used = np.flatnonzero(lengths)
+    spark.createDataFrame(pa.table({"id": pa.array(used, pa.int64()), "bits": pa.array(lengths[used].astype(np.int32))})).coalesce(1).write.mode("overwrite").parquet(f"{folder}/code")
 
     def run(batches):
         for batch in batches:
@@ -197,14 +205,19 @@ def write_ids(docs: DataFrame, path: str | None = None, end_id: int = 2) -> tupl
                 data = encode_block(np.frombuffer(raw, "<u4", offset=8 * row["n_docs"]), lens, lengths, codes)
                 yield pa.RecordBatch.from_pydict({k: pa.array([v], pa.int32() if k in ("shard", "block") else None) for k, v in row.items()} | {"coded": [data]})
 
-    bounded_batches(spark)
-    coded = materialize(blocks.mapInArrow(run, BLOCKS.replace("ids binary", "coded binary", 2).replace("doc_coded", "doc_ids")), "coded")
+    blocks.mapInArrow(run, CODED).write.mode("overwrite").option("compression", "zstd").parquet(f"{folder}/blocks")
     discard(blocks)
-    return coded, lengths
+    return folder
 
 
-def read_ids(coded: DataFrame, lengths: np.ndarray) -> DataFrame:
+def read_ids(spark: SparkSession, folder: str) -> DataFrame:
     """One row per document of the coded files: where its ids begin, how many, and their crc32."""
+    bounded_batches(spark)
+    code = spark.read.parquet(f"{folder}/code").collect()  # as many rows as the vocabulary has at most
+    lengths = np.zeros(max((r["id"] for r in code), default=0) + 1, np.uint8)
+    for r in code:
+        lengths[r["id"]] = r["bits"]
+    coded = spark.read.schema(CODED).parquet(f"{folder}/blocks")
     sizes = coded.select("shard", "block", "n_tokens")
     shards = sizes.groupBy("shard").agg(F.sum("n_tokens").alias("all")).withColumn("before", F.sum("all").over(Window.orderBy("shard")) - F.col("all"))
     places = sizes.join(shards, "shard").select("shard", "block", (F.col("before") + F.sum("n_tokens").over(Window.partitionBy("shard").orderBy("block")) - F.col("n_tokens")).alias("start"))

@@ -23,6 +23,11 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read(spark, sf_dir, "documents"))
 
 
+def packed_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op3's operator on whole conversations: tokens, turns and loss-bearing tokens are limited at once."""
+    return packing.pack_conversations(read(spark, sf_dir, "conversations"))
+
+
 def op4_license(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     return license_scan.scan(docs, license_scan.train(docs))
@@ -38,8 +43,7 @@ def op6_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    coded, lengths = huffman.write_ids(read(spark, sf_dir, "documents"))
-    return huffman.read_ids(coded, lengths)
+    return huffman.read_ids(spark, huffman.write_ids(read(spark, sf_dir, "documents")))
 
 
 def op8_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,7 +64,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_decontamination, op2_simhash, op3_packing, op4_license, op5_quality, op6_html, op7_token_ids, op8_suffix, op9_lm, op10_media, pipeline)
+    own = (op1_decontamination, op2_simhash, op3_packing, op4_license, op5_quality, op6_html, op7_token_ids, op8_suffix, op9_lm, op10_media, pipeline, packed_conversations)
     return {f.__name__: f for f in own}
 
 

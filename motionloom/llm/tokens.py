@@ -5,10 +5,15 @@ between two non-space characters, whatever stands around it. So a text is cut
 there, each distinct part is encoded once by the library, and ids are put together
 by index. Other white space is never cut at and stays inside a part. A mark after
 a letter is a piece of its own, so such a part is its stem's ids and the mark's.
+
+This holds for vocabularies that declare the byte-level pre-tokenizer with its usual
+pattern, no normalizer, and added tokens without white space. What a file declares is
+compared on load; texts go whole to the library where it declares anything else.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from functools import lru_cache
@@ -36,12 +41,24 @@ def default_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def obeys_the_rule(file: dict) -> bool:
+    """Whether a tokenizer file declares what the cut rule is made for."""
+    before, model = file.get("pre_tokenizer") or {}, file.get("model") or {}
+    plain = before.get("type") == "ByteLevel" and before.get("use_regex") is True and before.get("add_prefix_space") is False
+    added = all(not t["lstrip"] and not t["rstrip"] and not t["single_word"] and not re.search(r"\s", t["content"]) for t in file.get("added_tokens") or [])
+    vocabulary = model.get("vocab") or {}
+    return plain and added and file.get("normalizer") is None and model.get("type") == "BPE" and not model.get("dropout") and not model.get("continuing_subword_prefix") and not model.get("end_of_word_suffix") and all(m in vocabulary for m in ",.;:!?")
+
+
 class PartEncoder:
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
+        self.whole = not obeys_the_rule(json.loads(self.library.to_str()))
+        if self.whole:
+            return
         # the vocabulary writes each byte of a token as one character
         vocabulary = self.library.get_vocab(with_added_tokens=True)
         self.bytes_of = np.zeros(max(vocabulary.values()) + 1, np.int64)
@@ -119,6 +136,9 @@ class PartEncoder:
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids one after another, and each text's number of ids."""
+        if self.whole:
+            each = [e.ids for e in self.library.encode_batch_fast(texts.to_pylist(), add_special_tokens=False)]
+            return np.fromiter(chain.from_iterable(each), np.uint32), np.fromiter(map(len, each), np.int64, len(each))
         if len(self.entry) > CACHE_PARTS:
             self.reset()
         texts = texts.cast(pa.large_string()) if texts.type != pa.large_string() else texts

@@ -132,6 +132,50 @@ def test_packing(spark, odd, empty, library):
     assert packing.pack_documents(empty).count() == 0
 
 
+@pytest.mark.parametrize(("segments", "loss"), [(4, None), (8, 700)])
+def test_packing_limits_bind(spark, segments, loss):
+    rng = np.random.default_rng(2)
+    docs = [(int(k), " ".join(f"w{x}" for x in rng.integers(0, 999, int(n)))) for k, n in enumerate([*rng.integers(1, 12, 200), *rng.integers(20, 900, 40)])]
+    p = packing.pack_documents(spark.createDataFrame(docs, SCHEMA).coalesce(1), segments=segments, loss=loss).toPandas()
+    assert (p.groupby("doc_id")["length"].sum() == p.groupby("doc_id")["doc_tokens"].first()).all()
+    g = p.groupby("sequence_id").agg(n=("length", "size"), tokens=("length", "sum"))
+    assert g["n"].max() == segments and g["tokens"].max() <= 1024
+    assert loss is None or (g["tokens"] - g["n"]).max() <= loss
+    room = g["tokens"].where((g["tokens"] & (g["tokens"] - 1)) == 0, 1024)
+    assert g["tokens"].sum() / room.sum() > 0.6
+
+
+def test_packed_conversations(spark, library):
+    turns = spark.read.parquet(f"{SF}/conversations.parquet").unionByName(spark.createDataFrame([(10**6, 0, "assistant", None), (10**6, 1, None, "a b"), (None, 0, "user", "x")], "conv_id long, turn long, role string, text string"))
+    rows = turns.toPandas()
+    rows["n"] = [len(library.encode(t or "", add_special_tokens=False).ids) + 1 for t in rows["text"]]
+    want = rows.assign(loss=rows["n"].where(rows["role"] == "assistant", 0)).groupby("conv_id", dropna=False).agg(tokens=("n", "sum"), segments=("n", "size"), loss_tokens=("loss", "sum"))
+    p = packing.pack_conversations(turns).toPandas().merge(want, left_on="example", right_index=True)
+    assert len(p) == len(want)
+    small = p[~p["oversize"]].groupby("sequence_id")[["tokens", "segments", "loss_tokens"]].sum()
+    assert (small <= list(packing.INSTRUCTION_LIMITS)).all().all()
+    over = (want > list(packing.INSTRUCTION_LIMITS)).any(axis=1)
+    assert p["oversize"].sum() == over.sum()
+
+
+def test_unknown_vocabulary_goes_whole(tmp_path, library):
+    import json
+
+    import pyarrow as pa
+
+    file = json.loads(library.to_str())
+    assert T.obeys_the_rule(file)
+    file["pre_tokenizer"]["add_prefix_space"] = True
+    assert not T.obeys_the_rule(file)
+    (tmp_path / "t.json").write_text(json.dumps(file))
+    texts = ["one two, three.", "", " x  y"]
+    ids, lens = T.PartEncoder(str(tmp_path / "t.json")).encode(pa.array(texts))
+    from tokenizers import Tokenizer
+
+    other = Tokenizer.from_file(str(tmp_path / "t.json"))
+    assert ids.tolist() == [i for t in texts for i in other.encode(t, add_special_tokens=False).ids] and lens.sum() == len(ids)
+
+
 def test_packing_vectors(spark):
     rng = np.random.default_rng(0)
     rows = [(i, int(a), int(b), int(c)) for i, (a, b, c) in enumerate(zip(rng.integers(1, 900, 400), rng.integers(1, 4, 400), rng.integers(0, 500, 400), strict=True))] + [(400, 5000, 1, 1), (401, None, 1, None)]
@@ -156,7 +200,7 @@ def test_huffman_blocks():
 
 
 def test_huffman(spark, odd, empty, library):
-    r = huffman.read_ids(*huffman.write_ids(odd)).toPandas().sort_values("start")
+    r = huffman.read_ids(spark, huffman.write_ids(odd)).toPandas().sort_values("start")
     assert (r["n_tokens"].cumsum() - r["n_tokens"] == r["start"]).all()
     keys = [k if k == k else None for k in r["doc_id"].astype(object).where(r["doc_id"].notna(), None)]
     assert keys == sorted((k for k, _ in ODD), key=lambda k: (k is not None, k))
@@ -165,7 +209,7 @@ def test_huffman(spark, odd, empty, library):
         texts[k].append(np.array([*library.encode(t or "", add_special_tokens=False).ids, 2], "<u4"))
     for k, c in zip(keys, r["ids_crc32"], strict=True):
         assert c in {zlib.crc32(x) for x in texts[k]}
-    assert huffman.read_ids(*huffman.write_ids(empty)).count() == 0
+    assert huffman.read_ids(spark, huffman.write_ids(empty)).count() == 0
 
 
 def removed(rows):
@@ -195,8 +239,8 @@ def test_suffix(spark, odd, empty):
     rows = [(int(k), " ".join(passages[i][int(rng.integers(0, 80)) :] if rng.random() < 0.6 else f"own {rng.integers(1 << 40)} text" for i in rng.integers(0, 5, 6))) for k in rng.permutation(120)]
     rows += [(k, t) for k, t in ODD if t != LONG] + [(5, LONG[:900]), (5, LONG[:900]), (200, LONG[100:700] + "ab" * 100), (201, "ab" * 60)]
     df = spark.createDataFrame(rows, SCHEMA).repartition(4)
-    for chunk in (700, suffix.CHUNK):
-        got = sorted((tuple(None if v != v else int(v) if isinstance(v, float) else v for v in r) for r in suffix.digests(df, chunk_bytes=chunk).toPandas().itertuples(index=False)), key=str)
+    for chunk, hot in ((700, 1), (700, suffix.HOT), (suffix.CHUNK, 1)):
+        got = sorted((tuple(None if v != v else int(v) if isinstance(v, float) else v for v in r) for r in suffix.digests(df, chunk_bytes=chunk, hot=hot).toPandas().itertuples(index=False)), key=str)
         assert got == removed(rows)
     assert suffix.digests(empty).count() == 0
     kept = suffix.clean(odd)
@@ -254,6 +298,30 @@ def test_html(spark):
     assert got[4]["text"] == ("Long plain words. " * 20).strip() + "\n\n" + ("More of it here. " * 15).strip()
     assert all(len(r["text"]) == r["n_chars"] for r in got.values())
     assert html_extract.extract(pages.limit(0)).count() == 0
+    twice = html_extract.extract(pages.unionByName(pages).withColumnRenamed("url", "URL").withColumn("text", pages["html"]), url="URL").collect()
+    assert sorted((r["page_id"], r["text"]) for r in twice) == sorted((k, r["text"]) for k, r in got.items() for _ in range(2))
+
+
+@pytest.mark.parametrize("name", ["content no-sidebar", "main-content has-sidebar", "entry-header", "post comments-open", "story legal", "page-header"])
+def test_html_names_are_no_veto(name):
+    body = "".join(f"<p>{'Plain words of an article, number %d. ' % i * 6}</p>" for i in range(6))
+    got = html_extract.main_text(f"<body><nav><a href=x>Menu</a></nav><div class='{name}'>{body}</div><div class=footer>f</div></body>")
+    assert got.count("number") == 36 and "Menu" not in got and not got.endswith("f")
+    got = html_extract.main_text(f"<body><article><p>Teaser of another story.</p></article><div id=x>{body}</div></body>")
+    assert got.count("number") == 36
+    got = html_extract.main_text(f"<body><article><h1>Title</h1>{body}</article><section id=comments>{body * 3}</section></body>")
+    assert got.startswith("Title") and got.count("number") == 36
+
+
+def test_html_clusters_decide(monkeypatch):
+    body = "".join(f"<p>{'Plain words of an article, number %d. ' % i * 6}</p>" for i in range(6))
+    page = f"<body><div class=a>{'<span>Ten</span> <b>short</b> <i>words</i>.<br>' * 6}</div><div class=b><h2>Title</h2>{body}</div><div class=c><ul>{'<li><a href=x>one</a>' * 5}</ul></div></body>"
+    got = html_extract.main_text(page)
+    assert got.startswith("Title") and got.endswith("5.") and "Ten" not in got and "one" not in got
+    monkeypatch.setattr(html_extract, "upper_lines", lambda ratio: np.ones(len(ratio), bool))
+    assert "Ten" in html_extract.main_text(page)
+    deep = "<div>" * 20_000 + "x" + "</span>" * 20_000
+    assert html_extract.main_text(deep) == "x"
 
 
 def test_license(spark, odd, empty):
