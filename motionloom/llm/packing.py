@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from motionloom.llm import tokens as T
 from motionloom.llm.common import bulks, column, bounded_batches, texts
 
-POOL, SEGMENTS = 1024, 32
+POOL, SEGMENTS = 1024, 6
 #: Limits of a sequence of instruction data: tokens, turns, loss-bearing tokens.
 INSTRUCTION_LIMITS = (1024, 16, 768)
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"

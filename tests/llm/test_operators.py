@@ -327,13 +327,20 @@ def test_html_clusters_decide(monkeypatch):
 def test_license(spark, odd, empty):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     s = license_scan.train(docs)
-    assert s.held_out_accuracy > 0.9
+    assert s.held_out_accuracy > 0.6  # of templates that the measured model hasn't seen
     rows = [(1, "x\nReleased under the MIT License.\ny"), (2, "Licensed under the Apache License, Version 2.0."), (3, "ordinary words of no licence"), (4, None), (5, "")]
     got = {r["doc_id"]: r for r in license_scan.scan(spark.createDataFrame(rows, SCHEMA), s).collect()}
     assert (got[1]["family"], got[1]["confirmed"], got[1]["paragraph"]) == ("mit", True, 1) and got[2]["family"] == "apache"
     assert not got[3]["confirmed"] and got[4]["family"] is None and got[5]["n_paragraphs"] == 0
     assert license_scan.scan(odd, s).count() == len(ODD) and license_scan.scan(empty, s).count() == 0
     license_scan.train(empty)
+    mit = "Permission is hereby granted, free of charge, to any person\nobtaining a copy of this software and associated documentation\nfiles (the \"Software\"), to deal in the Software without restriction."
+    bsd = "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following\nconditions are met:"
+    gpl = "Released under the GNU GPL version 3."
+    rows = [(1, "some words\n" + mit + "\nmore"), (2, bsd), (3, mit + "\n\n" + gpl), (4, "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"), (5, "This program and the accompanying materials are made available under the Eclipse Public License"), (6, "any person obtaining\n\na copy of this software")]
+    got = {r["doc_id"]: r for r in license_scan.scan(spark.createDataFrame(rows, SCHEMA), s).collect()}
+    assert got[1]["families"] == ["mit"] and got[2]["families"] == ["bsd"] and got[3]["families"] == ["gpl", "mit"]
+    assert not got[4]["families"] and not got[5]["families"] and not got[6]["families"] and got[4]["family"] is got[5]["family"] is None
 
 
 def test_lm(spark, odd, empty):
