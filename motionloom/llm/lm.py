@@ -2,33 +2,43 @@
 
 A window network predicts every word from REACH words on both sides: embeddings,
 one table for each place, are summed, pass a tanh layer, and a two-level softmax (a group
-of words, then the word in it) gives the conditional probability. The score of a
-document is the sum of all its words' conditional log-probabilities.
+of symbols, then the symbol in it) gives the conditional probability of the word's
+symbol. The score of a document is the sum of all its words' conditional log-probabilities.
 
-Word counts are taken over the whole corpus; its most frequent words have symbols
-of their own, others share symbols by hash. Training starts on at most WARM
-documents (in the order of a hash of their key), and the output layers, a convex
-problem over the embeddings so found, go on over every word of the corpus: each
-partition runs through its own rows, and the networks are averaged by words.
+Words are counted over the whole corpus, and the counts are kept as a table. The
+number of symbols grows with the corpus: as many as the square of SIDE times the
+sixth root of its words. The most frequent words have symbols of their own; the others
+share symbols by hash, and a word's probability within a shared symbol is its part of
+the symbol's count, which scoring gets by a join with the table of counts. Each shared
+symbol holds back the count of its words seen once (Good and Turing) for unseen words,
+which are spelled: every byte, and the end, is one of 257.
+
+The network starts at the symbols' frequencies. In each of ROUNDS rounds every
+partition runs its whole rows through it, embeddings and all, and the networks are
+averaged by words, in the order of the partitions.
 
 Cases: null or empty text: no words, log-likelihood 0 and a null mean; null keys
-and repeated rows are scored each; empty table: no rows; other columns are not
-read. Words are runs of bytes between white space, A-Z in lower case.
+and repeated rows are scored each; empty table: no rows, and a model trained on one
+spells every word; other columns are not read. Ties of counts are broken by the word's
+hash. Words are runs of bytes between white space, A-Z in lower case. Networks depend
+on how rows lie in partitions, by less than the models differ between rounds.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from motionloom.llm import words as W
-from motionloom.llm.common import bulks, column, bounded_batches, texts
+from motionloom.llm.common import bulks, column, bounded_batches, deals, materialize, texts
 
-GROUPS, MEMBERS, OWN, WIDTH, REACH = 32, 32, 768, 16, 2
-SYMBOLS, PAD = GROUPS * MEMBERS, GROUPS * MEMBERS
-BATCH, WARM, RATE = 16384, 1500, 0.5
+SIDE, WIDTH, REACH = 2.0, 16, 2
+BATCH, ROUNDS, RATE = 4096, 2, 1.0
 
 
 def word_hashes(b: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -38,19 +48,36 @@ def word_hashes(b: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return W.hashes(low, starts, ends), np.searchsorted(starts, bounds)
 
 
-def symbols(h: np.ndarray, known: np.ndarray, number: np.ndarray) -> np.ndarray:
-    """Symbols of words; known: sorted hashes of the words with symbols of their own."""
-    rare = OWN + (h % np.uint64(SYMBOLS - OWN)).astype(np.int64)
-    if not len(known):
-        return rare.astype(np.int16)
-    at = np.minimum(np.searchsorted(known, h), len(known) - 1)
-    return np.where(known[at] == h, number[at], rare).astype(np.int16)
+@dataclass
+class Vocabulary:
+    """Symbols of words: `side` groups of `side`; the first `own` symbols are words, the rest are shared by hash."""
+
+    side: int
+    known: np.ndarray  # sorted hashes of the words with symbols of their own
+    number: np.ndarray  # their symbols
+
+    @property
+    def pad(self) -> int:
+        return self.side**2
+
+    @property
+    def own(self) -> int:
+        return self.pad * 3 // 4
 
+    def symbols(self, h: np.ndarray) -> np.ndarray:
+        # 16-bit numbers are sorted by radix
+        kind = np.uint16 if self.pad < 1 << 16 else np.int32
+        shared = self.own + ((h >> np.uint64(1)) % np.uint64(self.pad - self.own)).astype(np.int64)
+        if not len(self.known):
+            return shared.astype(kind)
+        at = np.minimum(np.searchsorted(self.known, h), len(self.known) - 1)
+        return np.where(self.known[at] == h, self.number[at], shared).astype(kind)
 
-def contexts(s: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """The REACH symbols before and after each word; PAD beyond the text."""
+
+def contexts(s: np.ndarray, bounds: np.ndarray, pad: int) -> np.ndarray:
+    """The REACH symbols before and after each word; `pad` beyond the text."""
     n, doc = len(s), np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
-    out = np.full((n, 2 * REACH), PAD, np.int16)
+    out = np.full((n, 2 * REACH), pad, s.dtype)
     for j, k in enumerate([*range(-REACH, 0), *range(1, REACH + 1)]):
         if k < 0:
             ok = doc[-k:] == doc[:k]
@@ -64,10 +91,14 @@ def contexts(s: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 class Network:
     """Embeddings of the left and right neighbours (L and R), a tanh layer, and the two-level output."""
 
-    def __init__(self, seed: int = 1):
+    def __init__(self, counts: np.ndarray, seed: int = 1):
+        """counts: of every symbol; the untrained network gives their frequencies."""
         rng = np.random.default_rng(seed)
         normal = lambda *s: (0.1 * rng.standard_normal(s)).astype(np.float32)
-        self.p = {"E": normal(2 * REACH, SYMBOLS + 1, WIDTH), "b": np.zeros(WIDTH, np.float32), "G": normal(WIDTH, GROUPS), "g": np.zeros(GROUPS, np.float32), "M": normal(GROUPS, WIDTH, MEMBERS), "m": np.zeros((GROUPS, MEMBERS), np.float32)}
+        self.side = side = int(round(len(counts) ** 0.5))
+        n = np.log(counts.reshape(side, side) + 0.5)
+        top = np.log(np.exp(n).sum(axis=1))
+        self.p = {"E": normal(2 * REACH, side * side + 1, WIDTH), "b": np.zeros(WIDTH, np.float32), "G": normal(WIDTH, side) / 10, "g": (top - top.max()).astype(np.float32), "M": normal(side, WIDTH, side) / 10, "m": (n - n.max(axis=1, keepdims=True)).astype(np.float32)}
 
     def _hidden(self, c: np.ndarray) -> np.ndarray:
         x = np.take(self.p["E"][0], c[:, 0], axis=0)
@@ -76,15 +107,14 @@ class Network:
         x += self.p["b"]
         return np.tanh(x, out=x)
 
-    def _run(self, c: np.ndarray, s: np.ndarray, rate: float = 0.0, deep: bool = False) -> np.ndarray:
-        """Log-probabilities of symbols s in contexts c; with a rate, moves the output
-        layers along their gradient, and if `deep`, the embeddings too."""
-        p, n = self.p, len(s)
+    def _run(self, c: np.ndarray, s: np.ndarray, rate: float = 0.0) -> np.ndarray:
+        """Log-probabilities of symbols s in contexts c; with a rate, moves all layers along their gradient."""
+        p, n, side = self.p, len(s), self.side
         order = np.argsort(s, kind="stable")
         c, s = c[order], s[order].astype(np.int64)
         hidden = self._hidden(c)
-        group, member = s // MEMBERS, s % MEMBERS
-        cuts = np.searchsorted(group, np.arange(GROUPS + 1))
+        group, member = s // side, s % side
+        cuts = np.searchsorted(group, np.arange(side + 1))
         rows = np.arange(n)
         z = hidden @ p["G"] + p["g"]
         own = z[rows, group]
@@ -94,10 +124,10 @@ class Network:
         if rate:
             z *= (-1 / total)[:, None]
             z[rows, group] += 1
-            back = z @ p["G"].T if deep else None
+            back = z @ p["G"].T
             p["G"] += np.float32(rate / n) * (hidden.T @ z)
             p["g"] += np.float32(rate / n) * z.sum(axis=0)
-        for k in range(GROUPS):
+        for k in range(side):
             a, e = int(cuts[k]), int(cuts[k + 1])
             if a == e:
                 continue
@@ -110,12 +140,11 @@ class Network:
             if rate:
                 z *= (-1 / total)[:, None]
                 z[i, member[a:e]] += 1
-                if deep:
-                    back[a:e] += z @ p["M"][k].T
+                back[a:e] += z @ p["M"][k].T
                 scale = np.float32(rate / max(e - a, 64))
                 p["M"][k] += scale * (part.T @ z)
                 p["m"][k] += scale * z.sum(axis=0)
-        if rate and deep:
+        if rate:
             back *= 1 - hidden * hidden
             p["b"] += np.float32(rate / n) * back.sum(axis=0)
             for j in range(c.shape[1]):
@@ -126,14 +155,19 @@ class Network:
         out[order] = got
         return out
 
-    def learn(self, c: np.ndarray, s: np.ndarray, rate: float, deep: bool) -> None:
+    def learn(self, c: np.ndarray, s: np.ndarray, rate: float) -> None:
         for i in range(0, len(s), BATCH):
-            self._run(c[i : i + BATCH], s[i : i + BATCH], rate, deep)
+            self._run(c[i : i + BATCH], s[i : i + BATCH], rate)
 
     def log_probabilities(self, c: np.ndarray, s: np.ndarray) -> np.ndarray:
         out = [self._run(c[i : i + 4 * BATCH], s[i : i + 4 * BATCH]) for i in range(0, len(s), 4 * BATCH)]
         return np.concatenate(out).astype(np.float64) if out else np.zeros(0)
 
+    def copy(self) -> Network:
+        other = object.__new__(Network)
+        other.side, other.p = self.side, {k: v.copy() for k, v in self.p.items()}
+        return other
+
     def to_bytes(self) -> bytes:
         return b"".join(v.tobytes() for v in self.p.values())
 
@@ -156,75 +190,112 @@ def count_words(docs: DataFrame) -> DataFrame:
     return texts(docs).select("text").mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def train(docs: DataFrame, warm: int = WARM) -> tuple[Network, np.ndarray, np.ndarray]:
-    """The network, and the hashes (sorted) and symbols of the words that have their own."""
+@dataclass
+class Model:
+    """The network, the symbols, the table (word, n) of the corpus, and by symbol the
+    logarithms of its count with what it holds back, and of what it holds back."""
+
+    net: Network
+    vocabulary: Vocabulary
+    counts: DataFrame
+    whole: np.ndarray
+    held: np.ndarray
+
+
+def train(docs: DataFrame) -> Model:
+    """Counts all words of all rows and trains the network on all of them."""
     spark = docs.sparkSession
     bounded_batches(spark)
-    top = [r["word"] for r in count_words(docs).orderBy(F.desc("n"), "word").limit(OWN).collect()]
-    known = np.array(top, np.int64).view(np.uint64)
+    counts = materialize(count_words(docs), "words")
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    side = max(2, int(np.ceil(SIDE * total ** (1 / 6))))
+    top = counts.orderBy(F.desc("n"), "word").limit(Vocabulary(side, np.zeros(0), np.zeros(0)).own).collect()
+    known = np.array([r["word"] for r in top], np.int64).view(np.uint64)
     number = np.argsort(known, kind="stable")
-    known = known[number]
-    few = texts(docs)
-    ids = few.select("doc_id").where("doc_id is not null").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(warm)
-    rows = few.join(F.broadcast(ids), "doc_id").select("doc_id", "text").collect()
-    rows.sort(key=lambda r: (r[0], r[1]))
-    net = Network()
-
-    def prepared(text: pa.Array):
-        h, bounds = word_hashes(*W.flat(text))
-        s = symbols(h, known, number)
-        return contexts(s, bounds), s, bounds
-
-    c, s, _ = prepared(pa.array([r["text"] for r in rows], pa.large_string()))
-    rng = np.random.default_rng(2)
-    for epoch in range(3):
-        order = rng.permutation(len(s))
-        net.learn(c[order], s[order], RATE / (1 + epoch), deep=True)
-    start = net.p
+    v = Vocabulary(side, known[number], number)
+
+    def by_symbol(batches):
+        for batch in batches:
+            s = v.symbols(batch.column("word").to_numpy().view(np.uint64)).astype(np.int64)
+            n = batch.column("n").to_numpy()
+            kinds, at = np.unique(s, return_inverse=True)
+            yield pa.RecordBatch.from_arrays([pa.array(kinds), pa.array(np.bincount(at, n, len(kinds)).astype(np.int64)), pa.array(np.bincount(at, n == 1, len(kinds)).astype(np.int64))], ["symbol", "n", "once"])
+
+    size, once = np.zeros(v.pad), np.zeros(v.pad)
+    for r in counts.mapInArrow(by_symbol, "symbol long, n long, once long").groupBy("symbol").agg(F.sum("n").alias("n"), F.sum("once").alias("once")).collect():
+        size[r["symbol"]], once[r["symbol"]] = r["n"], r["once"]
+    net = Network(size)
+    rows = texts(docs).select("text")
+    for epoch in range(ROUNDS):
+        net = _round(rows, net, v, RATE / (1 + epoch))
+    return Model(net, v, counts, np.log(size + once + 1), np.log(once + 1))
+
+
+def _round(rows: DataFrame, start: Network, v: Vocabulary, rate: float) -> Network:
+    """The average of the networks that the partitions make of `start`."""
 
     def run(batches):
-        own, seen = Network(), 0
-        own.p = {k: v.copy() for k, v in start.items()}
+        own, seen = start.copy(), 0
         for table in bulks(batches):
-            c, s, _ = prepared(column(table, "text"))
-            order = np.arange(len(s)).reshape(-1) if len(s) < BATCH else np.argsort(np.arange(len(s)) % -(-len(s) // BATCH), kind="stable")
-            own.learn(c[order], s[order], RATE / 4, deep=False)
+            h, bounds = word_hashes(*W.flat(column(table, "text")))
+            s = v.symbols(h)
+            c = contexts(s, bounds, v.pad)
+            # a batch takes words from all over the bulk
+            order = np.argsort(np.arange(len(s)) % max(1, -(-len(s) // BATCH)), kind="stable")
+            own.learn(c[order], s[order], rate)
             seen += len(s)
         if seen:
-            yield pa.RecordBatch.from_pydict({"part": pa.array([0], pa.int64()), "seen": pa.array([seen], pa.int64()), "net": [own.to_bytes()]})
+            yield pa.RecordBatch.from_pydict({"part": pa.array([TaskContext.get().partitionId()], pa.int64()), "seen": pa.array([seen], pa.int64()), "net": [own.to_bytes()]})
 
-    def averaged(batches):
-        total, seen = None, 0
+    def summed(batches):
+        total, seen, part = None, 0, 0
         for batch in batches:
-            for n, raw in zip(batch.column("seen").to_pylist(), batch.column("net").to_pylist(), strict=True):
-                v = np.frombuffer(raw, np.float32).astype(np.float64) * n
-                total, seen = v if total is None else total + v, seen + n
+            for p, n, raw in zip(*(batch.column(k).to_pylist() for k in ("part", "seen", "net")), strict=True):
+                x = np.frombuffer(raw, np.float32).astype(np.float64) * n
+                total, seen, part = x if total is None else total + x, seen + n, p
         if seen:
-            yield pa.RecordBatch.from_pydict({"part": pa.array([0], pa.int64()), "seen": pa.array([seen], pa.int64()), "net": [(total / seen).astype(np.float32).tobytes()]})
+            yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int64()), "seen": pa.array([seen], pa.int64()), "net": [total.tobytes()]})
 
     schema = "part long, seen long, net binary"
-    nets = few.select("text").mapInArrow(run, schema)
-    # averages of averages: a task takes about 8 networks, the driver gets the last few
-    nets = nets.repartition(8).mapInArrow(averaged, schema)
-    got = nets.collect()
-    if got:
-        seen = sum(r["seen"] for r in got)
-        net.from_vector(sum(np.frombuffer(r["net"], np.float32).astype(np.float64) * (r["seen"] / seen) for r in sorted(got, key=lambda r: bytes(r["net"]))))
-    return net, known, number
+    # no more networks than the session's partitions, however many the table has; sums of sums: the driver gets 8
+    few = rows.coalesce(deals(rows.sparkSession, 64)).mapInArrow(run, schema)
+    got = few.repartition(8, "part").sortWithinPartitions("part").mapInArrow(summed, schema).collect()
+    if not got:
+        return start
+    seen = sum(r["seen"] for r in got)
+    return start.copy().from_vector(sum(np.frombuffer(r["net"], np.float64) for r in sorted(got, key=lambda r: r["part"])) / seen)
 
 
-def score(docs: DataFrame, model: tuple[Network, np.ndarray, np.ndarray]) -> DataFrame:
+def score(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, n_words, log_likelihood and mean_log_likelihood of every row."""
-    net, known, number = model
     bounded_batches(docs.sparkSession)
+    net, v, whole, held = model.net, model.vocabulary, model.whole, model.held
 
     def run(batches):
-        for table in bulks(batches, 4 << 20):
-            h, bounds = word_hashes(*W.flat(column(table, "text")))
-            s = symbols(h, known, number)
-            total = np.concatenate([[0.0], np.cumsum(net.log_probabilities(contexts(s, bounds), s))])[bounds]
+        at = TaskContext.get().partitionId() << 33
+        for table in bulks(batches):
+            b, ends = W.flat(column(table, "text"))
+            h, bounds = word_hashes(b, ends)
+            s = v.symbols(h)
+            got = net.log_probabilities(contexts(s, bounds, v.pad), s)
+            rare = np.flatnonzero(s >= v.own)
+            got[rare] -= whole[s[rare]]
+            total = np.concatenate([[0.0], np.cumsum(got)])[bounds]
             n = np.diff(bounds)
-            ll = np.where(n > 0, np.diff(total), 0.0)
-            yield pa.RecordBatch.from_arrays([column(table, "doc_id"), pa.array(n, pa.int64()), pa.array(ll), pa.array(ll / np.maximum(n, 1), mask=n == 0)], ["doc_id", "n_words", "log_likelihood", "mean_log_likelihood"])
-
-    return texts(docs).mapInArrow(run, "doc_id long, n_words long, log_likelihood double, mean_log_likelihood double")
+            starts, stops = W.runs(~((b == 32) | ((b >= 9) & (b <= 13))), ends)
+            spelled = held[s[rare]] - (stops[rare] - starts[rare] + 1) * np.log(257)
+            offsets = pa.array(np.searchsorted(rare, bounds).astype(np.int32))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(at + np.arange(len(n))), column(table, "doc_id"), pa.array(n, pa.int64()), pa.array(np.where(n > 0, np.diff(total), 0.0)), pa.ListArray.from_arrays(offsets, pa.array(h[rare].view(np.int64))), pa.ListArray.from_arrays(offsets, pa.array(spelled.astype(np.float32)))],
+                ["row", "doc_id", "n_words", "ll", "words", "spelled"],
+            )
+            at += len(n)
+
+    # the written table fixes the numbers of the rows
+    rows = materialize(texts(docs).mapInArrow(run, "row long, doc_id long, n_words long, ll double, words array<long>, spelled array<float>"), "scores")
+    words = rows.select("row", F.inline(F.arrays_zip("words", "spelled"))).withColumnRenamed("words", "word")
+    counted = words.join(model.counts, "word", "left").select("row", F.coalesce(F.log("n"), F.col("spelled").cast("double")).alias("x"))
+    # whole numbers: the sum doesn't depend on the order
+    shared = counted.groupBy("row").agg(F.sum(F.round(F.col("x") * 2**20).cast("long")).alias("x"))
+    ll = F.col("ll") + F.coalesce(F.col("x") / 2**20, F.lit(0.0))
+    return rows.select("row", "doc_id", "n_words", "ll").join(shared, "row", "left").select("doc_id", "n_words", ll.alias("log_likelihood"), F.when(F.col("n_words") > 0, ll / F.col("n_words")).alias("mean_log_likelihood"))

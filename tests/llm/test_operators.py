@@ -1,6 +1,7 @@
 """Operators against brute force, round trips and planted cases, with nulls, ties, empty and long texts."""
 
 import collections
+import dataclasses
 import hashlib
 import re
 import zlib
@@ -345,17 +346,32 @@ def test_license(spark, odd, empty):
 
 def test_lm(spark, odd, empty):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
-    model = lm.train(docs, warm=100)
+    model = lm.train(docs)
     p = lm.score(docs, model).toPandas()
-    assert (p["n_words"] == [len(t.split()) for t in docs.toPandas().set_index("doc_id").loc[p["doc_id"], "text"]]).mean() > 0.9
-    assert p["log_likelihood"].sum() / p["n_words"].sum() > -np.log(lm.SYMBOLS)
-    net = model[0]
-    c = np.full((1, 2 * lm.REACH), lm.PAD, np.int16)
-    every = [net.log_probabilities(c, np.array([s], np.int16))[0] for s in range(lm.SYMBOLS)]
-    assert np.exp(every).sum() == pytest.approx(1, abs=1e-3)
+    lower = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
+    words = {r["doc_id"]: re.findall(r"[^\x20\x09-\x0d]+", (r["text"] or "").translate(lower)) for r in docs.collect()}
+    assert p["n_words"].tolist() == [len(words[k]) for k in p["doc_id"]]
+    n = collections.Counter(w for t in words.values() for w in t)
+    total = sum(n.values())
+    assert model.counts.agg({"n": "sum"}).first()[0] == total and model.counts.count() == len(n)
+    # the neighbours tell more than the frequencies, at which the network starts
+    plain = dataclasses.replace(model, net=lm.Network(np.exp(model.whole) - np.exp(model.held)))
+    assert (p["log_likelihood"].sum() - lm.score(docs, plain).toPandas()["log_likelihood"].sum()) / total > 0.02
+    # all words and what is held back for unseen ones make a whole
+    net, v = model.net, model.vocabulary
+    c = np.full((v.pad, 2 * lm.REACH), v.pad, np.uint16)
+    every = np.exp(net.log_probabilities(c, np.arange(v.pad).astype(np.uint16)))
+    assert every.sum() == pytest.approx(1, abs=1e-3)
+    one = lm.score(spark.createDataFrame(list(enumerate(n)), SCHEMA), model).toPandas()
+    back = (every * np.exp(model.held - model.whole))[v.own :].sum()
+    assert np.exp(one["log_likelihood"]).sum() + back == pytest.approx(1, abs=1e-3)
+    # unseen words are unlikely, and the more so the longer
+    odds = lm.score(spark.createDataFrame([(1, "zqxjv"), (2, "zqxjvzqxjvzqxjv")], SCHEMA), model).toPandas().set_index("doc_id")["log_likelihood"]
+    assert odds[2] < odds[1] < one["log_likelihood"].min()
     o = lm.score(odd, model).toPandas()
-    assert len(o) == len(ODD) and o[o["n_words"] == 0]["mean_log_likelihood"].isna().all()
-    assert lm.score(empty, lm.train(empty)).count() == 0
+    assert len(o) == len(ODD) and o[o["n_words"] == 0]["mean_log_likelihood"].isna().all() and (o[o["n_words"] == 0]["log_likelihood"] == 0).all()
+    nothing = lm.train(empty)
+    assert lm.score(empty, nothing).count() == 0 and lm.score(odd, nothing).count() == len(ODD)
 
 
 def test_media(spark):
