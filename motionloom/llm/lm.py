@@ -9,7 +9,8 @@ Words are counted over the whole corpus, and the counts are kept as a table. The
 number of symbols grows with the corpus: as many as the square of SIDE times the
 sixth root of its words. The most frequent words have symbols of their own; the others
 share symbols by hash, and a word's probability within a shared symbol is its part of
-the symbol's count, which scoring gets by a join with the table of counts. Each shared
+the symbol's count. Scoring carries the counts of the NEAR most frequent words, at all
+sizes, and gets those of all others by a join with the table of counts. Each shared
 symbol holds back the count of its words seen once (Good and Turing) for unseen words,
 which are spelled: every byte, and the end, is one of 257.
 
@@ -38,7 +39,7 @@ from motionloom.llm import words as W
 from motionloom.llm.common import bulks, column, bounded_batches, deals, materialize, texts
 
 SIDE, WIDTH, REACH = 2.0, 16, 2
-BATCH, ROUNDS, RATE = 4096, 2, 1.0
+BATCH, ROUNDS, RATE, NEAR = 4096, 2, 1.0, 1 << 16
 
 
 def word_hashes(b: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -149,7 +150,9 @@ class Network:
             p["b"] += np.float32(rate / n) * back.sum(axis=0)
             for j in range(c.shape[1]):
                 by = np.argsort(c[:, j], kind="stable")
-                ids, first, count = np.unique(c[by, j], return_index=True, return_counts=True)
+                x = c[by, j]
+                first = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]]))
+                ids, count = x[first], np.diff(first, append=n)
                 p["E"][j][ids] += np.float32(rate) * np.add.reduceat(back[by], first, axis=0) / np.maximum(count, 32)[:, None].astype(np.float32)
         out = np.empty(n, np.float32)
         out[order] = got
@@ -193,13 +196,15 @@ def count_words(docs: DataFrame) -> DataFrame:
 @dataclass
 class Model:
     """The network, the symbols, the table (word, n) of the corpus, and by symbol the
-    logarithms of its count with what it holds back, and of what it holds back."""
+    logarithms of its count with what it holds back, and of what it holds back; `near`
+    has the sorted hashes and the logarithms of the counts of the most frequent words."""
 
     net: Network
     vocabulary: Vocabulary
     counts: DataFrame
     whole: np.ndarray
     held: np.ndarray
+    near: tuple[np.ndarray, np.ndarray]
 
 
 def train(docs: DataFrame) -> Model:
@@ -209,10 +214,13 @@ def train(docs: DataFrame) -> Model:
     counts = materialize(count_words(docs), "words")
     total = counts.agg(F.sum("n")).first()[0] or 0
     side = max(2, int(np.ceil(SIDE * total ** (1 / 6))))
-    top = counts.orderBy(F.desc("n"), "word").limit(Vocabulary(side, np.zeros(0), np.zeros(0)).own).collect()
+    own = Vocabulary(side, np.zeros(0), np.zeros(0)).own
+    top = counts.orderBy(F.desc("n"), "word").limit(max(own, NEAR)).collect()
     known = np.array([r["word"] for r in top], np.int64).view(np.uint64)
-    number = np.argsort(known, kind="stable")
+    number = np.argsort(known[:own], kind="stable")
     v = Vocabulary(side, known[number], number)
+    order = np.argsort(known, kind="stable")
+    near = known[order], np.log(np.array([r["n"] for r in top], np.float64))[order]
 
     def by_symbol(batches):
         for batch in batches:
@@ -228,7 +236,7 @@ def train(docs: DataFrame) -> Model:
     rows = texts(docs).select("text")
     for epoch in range(ROUNDS):
         net = _round(rows, net, v, RATE / (1 + epoch))
-    return Model(net, v, counts, np.log(size + once + 1), np.log(once + 1))
+    return Model(net, v, counts, np.log(size + once + 1), np.log(once + 1), near)
 
 
 def _round(rows: DataFrame, start: Network, v: Vocabulary, rate: float) -> Network:
@@ -269,7 +277,7 @@ def _round(rows: DataFrame, start: Network, v: Vocabulary, rate: float) -> Netwo
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, n_words, log_likelihood and mean_log_likelihood of every row."""
     bounded_batches(docs.sparkSession)
-    net, v, whole, held = model.net, model.vocabulary, model.whole, model.held
+    net, v, whole, held, (near, logs) = model.net, model.vocabulary, model.whole, model.held, model.near
 
     def run(batches):
         at = TaskContext.get().partitionId() << 33
@@ -280,6 +288,11 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             got = net.log_probabilities(contexts(s, bounds, v.pad), s)
             rare = np.flatnonzero(s >= v.own)
             got[rare] -= whole[s[rare]]
+            if len(near):
+                at_near = np.minimum(np.searchsorted(near, h[rare]), len(near) - 1)
+                there = near[at_near] == h[rare]
+                got[rare[there]] += logs[at_near[there]]
+                rare = rare[~there]
             total = np.concatenate([[0.0], np.cumsum(got)])[bounds]
             n = np.diff(bounds)
             starts, stops = W.runs(~((b == 32) | ((b >= 9) & (b <= 13))), ends)

@@ -365,6 +365,9 @@ def test_lm(spark, odd, empty):
     one = lm.score(spark.createDataFrame(list(enumerate(n)), SCHEMA), model).toPandas()
     back = (every * np.exp(model.held - model.whole))[v.own :].sum()
     assert np.exp(one["log_likelihood"]).sum() + back == pytest.approx(1, abs=1e-3)
+    # counts from the join and counts at hand are the same
+    far = lm.score(docs, dataclasses.replace(model, near=(model.near[0][:9], model.near[1][:9]))).toPandas()
+    assert far["log_likelihood"].to_numpy() == pytest.approx(p["log_likelihood"].to_numpy(), rel=1e-4)
     # unseen words are unlikely, and the more so the longer
     odds = lm.score(spark.createDataFrame([(1, "zqxjv"), (2, "zqxjvzqxjvzqxjv")], SCHEMA), model).toPandas().set_index("doc_id")["log_likelihood"]
     assert odds[2] < odds[1] < one["log_likelihood"].min()
