@@ -114,20 +114,22 @@ class Network:
         order = np.argsort(s, kind="stable")
         c, s = c[order], s[order].astype(np.int64)
         hidden = self._hidden(c)
+        # sums as products: much faster than sums along short rows
+        one, every = np.ones(side, np.float32), np.ones(n, np.float32)
         group, member = s // side, s % side
         cuts = np.searchsorted(group, np.arange(side + 1))
         rows = np.arange(n)
         z = hidden @ p["G"] + p["g"]
         own = z[rows, group]
         np.exp(z, out=z)
-        total = z.sum(axis=1)
+        total = z @ one
         got = own - np.log(total)
         if rate:
             z *= (-1 / total)[:, None]
             z[rows, group] += 1
             back = z @ p["G"].T
             p["G"] += np.float32(rate / n) * (hidden.T @ z)
-            p["g"] += np.float32(rate / n) * z.sum(axis=0)
+            p["g"] += np.float32(rate / n) * (every @ z)
         for k in range(side):
             a, e = int(cuts[k]), int(cuts[k + 1])
             if a == e:
@@ -136,7 +138,7 @@ class Network:
             z = part @ p["M"][k] + p["m"][k]
             own = z[i, member[a:e]]
             np.exp(z, out=z)
-            total = z.sum(axis=1)
+            total = z @ one
             got[a:e] += own - np.log(total)
             if rate:
                 z *= (-1 / total)[:, None]
@@ -144,16 +146,18 @@ class Network:
                 back[a:e] += z @ p["M"][k].T
                 scale = np.float32(rate / max(e - a, 64))
                 p["M"][k] += scale * (part.T @ z)
-                p["m"][k] += scale * z.sum(axis=0)
+                p["m"][k] += scale * (every[: e - a] @ z)
         if rate:
             back *= 1 - hidden * hidden
             p["b"] += np.float32(rate / n) * back.sum(axis=0)
+            sums = np.zeros((n + 1, WIDTH))
             for j in range(c.shape[1]):
                 by = np.argsort(c[:, j], kind="stable")
                 x = c[by, j]
                 first = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]]))
                 ids, count = x[first], np.diff(first, append=n)
-                p["E"][j][ids] += np.float32(rate) * np.add.reduceat(back[by], first, axis=0) / np.maximum(count, 32)[:, None].astype(np.float32)
+                np.cumsum(back[by], axis=0, out=sums[1:])
+                p["E"][j][ids] += np.float32(rate) * (sums[first + count] - sums[first]) / np.maximum(count, 32)[:, None]
         out = np.empty(n, np.float32)
         out[order] = got
         return out
