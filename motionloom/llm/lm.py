@@ -27,7 +27,9 @@ on how rows lie in partitions, by less than the models differ between rounds.
 
 from __future__ import annotations
 
+import ctypes
 from dataclasses import dataclass
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -49,6 +51,15 @@ def word_hashes(b: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return W.hashes(low, starts, ends), np.searchsorted(starts, bounds)
 
 
+def single_thread() -> None:
+    """One thread for numpy's own OpenBLAS, if it has one: these products are small, and more threads mostly wait."""
+    for path in (Path(np.__file__).parent.parent / "numpy.libs").glob("*openblas*"):
+        library = ctypes.CDLL(str(path))
+        for name in ("scipy_openblas_set_num_threads64_", "scipy_openblas_set_num_threads", "openblas_set_num_threads64_", "openblas_set_num_threads"):
+            if hasattr(library, name):
+                getattr(library, name)(1)
+
+
 @dataclass
 class Vocabulary:
     """Symbols of words: `side` groups of `side`; the first `own` symbols are words, the rest are shared by hash."""
@@ -247,6 +258,7 @@ def _round(rows: DataFrame, start: Network, v: Vocabulary, rate: float) -> Netwo
     """The average of the networks that the partitions make of `start`."""
 
     def run(batches):
+        single_thread()
         own, seen = start.copy(), 0
         for table in bulks(batches):
             h, bounds = word_hashes(*W.flat(column(table, "text")))
@@ -284,6 +296,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     net, v, whole, held, (near, logs) = model.net, model.vocabulary, model.whole, model.held, model.near
 
     def run(batches):
+        single_thread()
         at = TaskContext.get().partitionId() << 33
         for table in bulks(batches):
             b, ends = W.flat(column(table, "text"))
