@@ -56,8 +56,6 @@ def test_bundle_scopes(spark):
 
 def test_machines_reach_the_least_loss(spark):
     """Hinge, weights and an unbound bias: no weight and bias of a grid has less loss, and passes are few."""
-    import numpy as np
-
     from motionloom.operators import learn
 
     rng = np.random.default_rng(3)
@@ -74,3 +72,18 @@ def test_machines_reach_the_least_loss(spark):
         loss = lambda v, z, at=at, sign=sign: 0.5 * v * v + 0.3 * (weight[at] * np.maximum(0, 1 - sign * (x[at] * v + z))).sum()
         least = min(loss(v, z) for v in np.linspace(0, 4, 201) for z in np.linspace(-8, 4, 301))
         assert abs(w[0]) > 0.1 and loss(*w) <= least * 1.001
+
+
+def test_bundle_features_are_counted_in_slices(spark, monkeypatch):
+    """No task of the report's mutual information holds a whole feature, and its estimate is that of one task."""
+    from motionloom.operators import features as FE
+    from motionloom.operators import kernels as K
+
+    rng = np.random.default_rng(5)
+    y = rng.integers(0, 2, 900)
+    x = y + rng.normal(size=900)
+    long = spark.createDataFrame([("f", float(a), str(b)) for a, b in zip(x, y, strict=True)], "feature string, value double, label string")
+    whole = FE.mutual_information
+    monkeypatch.setattr(FE, "mutual_information", lambda df, label: whole(df, label, rows=200))
+    got = evaluate.discriminative(long, "label").first()["mutual_info"]
+    assert abs(got - K.mutual_information(x, y)) < 1e-9
