@@ -49,7 +49,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from motionloom.llm.common import bounded_batches, discard, free_shuffles, materialize
+from motionloom.llm.common import bounded_batches, discard, free_shuffles, materialize, trim
 
 LEAST, GRAM, CHUNK, SLAB = 50, 20, 4 << 20, 1 << 17
 #: Different surroundings from which on an anchor's windows are told apart; what they are counted as in a chunk, by its two bits.
@@ -349,6 +349,7 @@ def _chunked(docs: DataFrame, chunk_bytes: int) -> DataFrame:
                 if size >= chunk_bytes:
                     yield put(chunk, held)
                     chunk, held, size = chunk + 1, [], 0
+                    trim()
         if held:
             yield put(chunk, held)
 
@@ -364,6 +365,8 @@ def _send_anchors(own: pa.Table, hot: pa.Table | None, least: int, gram: int, bu
             h = h // U(buckets)
             sent = h.astype("<u4").tobytes() + (h >> U(32)).astype("<u4").tobytes() + np.packbits(several).tobytes() + np.packbits(size & 1).tobytes() + np.packbits(size >> 1).tobytes()
             yield pa.RecordBatch.from_pydict({"bucket": pa.array([k], pa.int64()), "chunk": pa.array([chunk], pa.int64()), "n": [len(h)], "sent": [sent]})
+        del c
+        trim()
 
 
 ANCHORS = "bucket long, chunk long, n long, sent binary"
@@ -392,7 +395,10 @@ def _answer_anchors(table: pa.Table, limit: int) -> pa.Table:
         own = hot[at : at + len(h)]
         hots.append(np.packbits(own).tobytes() if own.any() else None)
         at += len(h)
-    return pa.table({"chunk": pa.array([r["chunk"] for r in rows], pa.int64()), "bucket": pa.array([r["bucket"] for r in rows], pa.int64()), "answer": pa.array(out, pa.binary()), "hot": pa.array(hots, pa.binary())})
+    told = pa.table({"chunk": pa.array([r["chunk"] for r in rows], pa.int64()), "bucket": pa.array([r["bucket"] for r in rows], pa.int64()), "answer": pa.array(out, pa.binary()), "hot": pa.array(hots, pa.binary())})
+    del rows, hashes, several, size, every, back, count, marked, shared, hot
+    trim()
+    return told
 
 
 def _answered(chunk: Chunk, answers: pa.Table, buckets: int, column: str, fine: bool = False) -> np.ndarray:
@@ -428,6 +434,8 @@ def _send_stretches(chunks: pa.Table, answers: pa.Table, least: int, gram: int,
             parts = [different[i][1] for i in own.tolist()]
             sent = pack(docs[own], np.array([len(p) for p in parts], "<i4"), np.frombuffer(b"".join(parts), np.uint8))
             out.append((k, row["chunk"], sent))
+        del chunk, mine, different, docs
+        trim()
     return pa.table({"bucket": pa.array([r[0] for r in out], pa.int64()), "chunk": pa.array([r[1] for r in out], pa.int64()), "sent": pa.array([r[2] for r in out], pa.binary())})
 
 
@@ -446,11 +454,13 @@ def _answer_stretches(table: pa.Table, least: int) -> pa.Table:
             own.append(k)
         sent.append((docs.tolist(), own))
     found = repeated_windows(list(number), np.array(first, np.int64), least)
-    out = []
+    del rows, number
+    trim()
+    chunks, buckets, out = table.column("chunk"), table.column("bucket"), []
     for docs, own in sent:
         bits = [found[k] if d == first[k] else np.ones(len(found[k]), bool) for d, k in zip(docs, own, strict=True)]
         out.append(zstandard.compress(np.packbits(np.concatenate(bits)).tobytes(), 1))
-    return pa.table({"chunk": pa.array([r["chunk"] for r in rows], pa.int64()), "bucket": pa.array([r["bucket"] for r in rows], pa.int64()), "answer": pa.array(out, pa.binary())})
+    return pa.table({"chunk": chunks, "bucket": buckets, "answer": pa.array(out, pa.binary())})
 
 
 def _cut(chunks: pa.Table, answers: pa.Table, least: int, gram: int, buckets: int, give: Callable) -> list[pa.Table]:
@@ -460,7 +470,7 @@ def _cut(chunks: pa.Table, answers: pa.Table, least: int, gram: int, buckets: in
     for row in chunks.to_pylist():
         chunk, repeated = _ready(row["blob"], answers, least, gram, buckets)
         mine, which, first, different = chunk.shared(repeated, buckets)
-        cover = np.zeros(len(chunk.bytes) + 1, np.int64)
+        cover = np.zeros(len(chunk.bytes) + 1, np.int32)
         if len(mine):
             bucket = np.array([k for k, _ in different], np.int64)
             sizes = np.array([len(p) for _, p in different], np.int64) - least + 1
@@ -479,8 +489,17 @@ def _cut(chunks: pa.Table, answers: pa.Table, least: int, gram: int, buckets: in
             inside = np.arange(int(ends[-1])) - np.repeat(ends - count, count)
             flag = np.repeat(later, count) | bits[np.repeat(base[which], count) + inside]
             at = (np.repeat(chunk.first[mine], count) + inside)[flag]
-            cover += np.bincount(at, minlength=len(cover)) - np.bincount(at + least, minlength=len(cover))
-        out.append(give(chunk, np.cumsum(cover)[:-1] > 0, row.get("rest")))
+            del inside, flag, bits
+            # windows of one place: one at most
+            cover[at] += 1
+            cover[at + least] -= 1
+            del at
+        del mine, which, first, different
+        trim()
+        np.cumsum(cover, out=cover)
+        out.append(give(chunk, cover[:-1] > 0, row.get("rest")))
+        del chunk, cover
+        trim()
     return out
 
 
