@@ -51,8 +51,8 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 @_stage
 def one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of 5-word Jaccard similarity 0.8 or more: the least by doc_id
-    (null last), then by its text and other columns; of equal rows any, they are the same."""
+    """One row of each group that is linked by SimHash (as op2_simhash links) or by 5-word
+    Jaccard similarity 0.8 or more: the least by doc_id (null last), then by its text and other columns; of equal rows any, they are the same."""
     rows = shingles.prints(docs.select(*COLUMNS))
     order = F.struct(F.col("doc_id").isNull().alias("unkeyed"), "doc_id", F.xxhash64("text").alias("own"), F.xxhash64(*COLUMNS).alias("all"), "row")
     firsts = rows.select("row", order.alias("place")).join(shingles.classes(rows), "row").groupBy("class").agg(F.min("place").alias("place"))

@@ -1,4 +1,8 @@
-"""Near-duplicates by the Jaccard similarity of word shingles, checked exactly.
+"""Near-duplicates by SimHash, and by the Jaccard similarity of word shingles, checked exactly.
+
+Texts whose op2 fingerprints (3-word shingles, repeats included) differ in RADIUS bits or
+fewer are linked by op2's operator, simhash.links(). Texts of one Jaccard similarity may
+lie further apart than block tables for that radius reach, so they are linked beside it:
 
 Words are runs of bytes without ASCII whitespace, A-Z in lower case. A text is the
 set of its WORDS-word shingles (a shorter text: one shingle). Texts of one set are
@@ -10,7 +14,10 @@ that two nodes have. A large bucket is dealt into parts of about PART nodes or
 SHINGLES shingles, and each two parts are compared in a group of their own. Each
 group gives at most one link per node, enough for components.
 
-Cases: null or empty texts are one class; null keys and repeated rows are rows like
+Both kinds of links make one graph of nodes: a fingerprint stands for its least node,
+and the others that have it are linked to that.
+
+Cases: null or empty texts are one class, fingerprint zero; null keys and repeated rows are rows like
 any other; empty table: no rows.
 """
 
@@ -22,7 +29,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StructType
 
-from motionloom.llm.common import bulks, column, deals, discard, free_shuffles, materialize, bounded_batches
+from motionloom.llm import simhash
+from motionloom.llm.common import bulks, column, deals, discard, free_shuffles, materialize, bounded_batches, trim
 from motionloom.llm.graph import components, forest
 from motionloom.llm.words import POWERS, U, _mixed, flat, hashes, lowered, runs
 
@@ -68,24 +76,25 @@ def _keys(h: np.ndarray, cuts: np.ndarray) -> np.ndarray:
 
 
 def prints(docs: DataFrame) -> DataFrame:
-    """docs (with `text`), written, with a row number, its node, its number of shingles and its bucket keys (none for empty texts)."""
+    """docs (with `text`), written, with a row number, its node, its fingerprint, its number of shingles and its bucket keys (none for empty texts)."""
     import xxhash
 
     bounded_batches(docs.sparkSession)
     rows = docs.withColumn("row", F.monotonically_increasing_id())
-    schema = StructType([*rows.schema.fields]).add("node", LongType()).add("size", IntegerType()).add("keys", ArrayType(LongType()))
+    schema = StructType([*rows.schema.fields]).add("node", LongType()).add("fp", LongType()).add("size", IntegerType()).add("keys", ArrayType(LongType()))
     names = schema.names
 
     def run(batches):
         for table in bulks(batches):
-            h, cuts = shingles_of(column(table, "text").fill_null(""))
+            text = column(table, "text").fill_null("")
+            h, cuts = shingles_of(text)
             size = np.diff(cuts)
             some = size > 0
             node = [xxhash.xxh3_64_intdigest(h[a:z].tobytes()) for a, z in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
             keys = _keys(h, np.append(cuts[:-1][some], cuts[-1])).view(np.int64).ravel() if some.any() else np.zeros(0, np.int64)
             places = np.concatenate([[0], np.cumsum(some * BANDS)]).astype(np.int32)
-            added = [pa.array(np.array(node, U).view(np.int64)), pa.array(size.astype(np.int32)), pa.ListArray.from_arrays(pa.array(places), pa.array(keys))]
-            yield pa.RecordBatch.from_arrays([*(column(table, c) for c in names[:-3]), *added], names)
+            added = [pa.array(np.array(node, U).view(np.int64)), pa.array(simhash.fingerprints_of(text).view(np.int64)), pa.array(size.astype(np.int32)), pa.ListArray.from_arrays(pa.array(places), pa.array(keys))]
+            yield pa.RecordBatch.from_arrays([*(column(table, c) for c in names[:-4]), *added], names)
 
     return materialize(rows.mapInArrow(run, schema), "shingles")
 
@@ -127,6 +136,8 @@ def _linked(batches):
             left.append(node[a + linked])
             right.append(node[a + label[linked]])
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(left)), pa.array(np.concatenate(right))], ["a", "b"])
+        del h, cuts, left, right
+        trim()
 
     for batch in batches:
         table = pa.Table.from_batches([batch] if held is None else [*held.to_batches(), batch])
@@ -142,6 +153,20 @@ def _linked(batches):
         yield from found(held.combine_chunks())
 
 
+def fingerprint_links(rows: DataFrame) -> DataFrame:
+    """Links (a, b) between nodes of prints() that hold together all whose fingerprints are linked."""
+    marked = materialize(rows.select("node", "fp").distinct(), "fingerprints")
+    firsts = materialize(marked.groupBy("fp").agg(F.min("node").alias("first")), "fingerprints")
+    bounded_batches(rows.sparkSession)
+    near = simhash.links(firsts.select("fp"))
+    for k in "ab":
+        near = near.join(firsts.select(F.col("fp").alias(k), F.col("first").alias("node" + k)), k)
+    equal = marked.join(firsts, "fp").select(F.col("node").alias("a"), F.col("first").alias("b"))
+    found = materialize(equal.union(near.select(F.col("nodea").alias("a"), F.col("nodeb").alias("b"))).where("a <> b").distinct(), "links")
+    discard(marked, firsts)
+    return found
+
+
 def links(rows: DataFrame) -> DataFrame:
     """Links (a, b) between nodes of prints() that hold together all of SIMILAR at least."""
     spark = rows.sparkSession
@@ -170,9 +195,11 @@ def links(rows: DataFrame) -> DataFrame:
 
 def classes(rows: DataFrame) -> DataFrame:
     """(row, class) of every row of prints(); a class is named by one of its nodes."""
+    close = fingerprint_links(rows)
+    free_shuffles(rows.sparkSession)
     found = links(rows)
-    roots = components(found)
-    discard(found)
-    del found
+    roots = components(close.union(found))
+    discard(close, found)
+    del close, found
     free_shuffles(rows.sparkSession)
     return rows.select("row", "node").join(roots, "node", "left").select("row", F.coalesce("root", "node").alias("class"))

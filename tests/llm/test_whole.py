@@ -55,3 +55,19 @@ def test_pipeline_one_row_of_each_class(spark):
     kept = [sorted(((r["doc_id"], r["text"]) for r in C.one_of_near_duplicates(spark, spark.createDataFrame(d, schema).repartition(n), "").collect()), key=str) for d, n in ((docs, 1), (docs[::-1], 3))]
     assert kept[0] == kept[1] and len(kept[0]) == 4
     assert (1, one) in kept[0] and {k for k, t in kept[0] if t and t.startswith("b")} == {1} and sum(t.startswith("c") for _, t in kept[0] if t) == 1
+
+
+def test_pipeline_near_duplicates_by_simhash(spark):
+    """Texts with fingerprints at 2 bits or fewer go, also where their sets of shingles differ."""
+    from motionloom.llm import pipeline as C
+    from motionloom.llm import simhash
+
+    w = [f"w{i}" for i in range(12)]
+    # fingerprints count repeats, so many repeats outweigh what differs
+    one, two, far = (" ".join(["a b c"] * 60 + tail) for tail in (w[:6], w[6:], w[:1]))
+    texts = [one, two, far, " ".join(w), None, ""]
+    docs = spark.createDataFrame([(k, t, "en", "s", len(t or "")) for k, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    want = {r["component_id"] for r in simhash.near_duplicates(docs).collect()}
+    assert len(word_shingles(one) & word_shingles(two)) < 0.8 * len(word_shingles(one) | word_shingles(two))
+    got = {r["doc_id"] for r in C.one_of_near_duplicates(spark, docs.repartition(3), "").collect()}
+    assert 0 in want and 1 not in want and got == want
