@@ -2,11 +2,13 @@
 
 Images are grey rasters (bytes, width, height). Corners of several scales are
 described by binary brightness tests in a patch turned to its own orientation.
-Descriptors meet in tables keyed by some of their bits; equal descriptors are
-joined to the first image that has them before, so a patch in very many images
-costs one link each. In a bucket a descriptor is linked to the first earlier one
-within DISTANCE. Image pairs that get VOTES links are verified: their descriptors
-are matched again, and enough matches must agree on one shift, turn and scale.
+Descriptors meet in tables keyed by some of their bits. Every two descriptors of
+different images within DISTANCE in a bucket are a vote for their images, and all
+image pairs that get VOTES are verified: their descriptors are matched again, and
+enough matches must agree on one shift, turn and scale. Images are dealt into parts,
+and each two parts are a group with tables of its own, so votes are counted where
+they arise, however many images meet in a bucket. Work grows with the pairs that
+meet, at worst with the square of the different images.
 
 Cases: null, empty or ill-sized rasters, and images without corners: a class of
 their own (null or empty ones all by themselves); exact copies share a class by
@@ -21,11 +23,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from motionloom.llm.common import deals, materialize, bounded_batches
+from motionloom.llm.common import bounded_batches, materialize, trim
 from motionloom.llm.graph import components
 
 LEVELS, CORNERS, MARGIN, TESTS, TURNS = (1.0, 0.5), 12, 9, 256, 30
 TABLES, KEY_BITS, DISTANCE, VOTES, INLIERS, NEAR = 4, 24, 40, 2, 5, 3.0
+PART, SPREAD, SLAB = 4096, 10, 1 << 20
 _RNG = np.random.default_rng(7)
 POINTS = np.clip(_RNG.normal(0, 3.2, (TESTS, 2, 2)), -6, 6)
 TABLE_BITS = np.stack([_RNG.permutation(TESTS)[:KEY_BITS] for _ in range(TABLES)])
@@ -131,91 +134,110 @@ def features(images: DataFrame) -> DataFrame:
     return few.mapInArrow(run, "image_id long, content string, n long, points binary, bits binary")
 
 
-def _hamming(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Distances between the rows of two descriptor arrays."""
-    a, b = (np.ascontiguousarray(v).view(np.uint64).reshape(len(v), -1) for v in (a, b))
-    return np.bitwise_count(a[:, None, :] ^ b[None]).sum(axis=2, dtype=np.int64)
-
-
-def _keyed(batches):
-    """A row for each different descriptor and table."""
-    for batch in batches:
-        d = np.frombuffer(b"".join(batch.column("d").to_pylist()), np.uint8).reshape(batch.num_rows, -1)
-        on = np.unpackbits(d, axis=1)
-        for t in range(TABLES):
-            key = on[:, TABLE_BITS[t]].astype(np.int64) @ (1 << np.arange(KEY_BITS))
-            yield pa.RecordBatch.from_arrays([pa.array(key + (t << 32)), batch.column("d"), batch.column("leader")], ["key", "d", "leader"])
-
-
-def _bucket_links(batches):
-    """Each descriptor's first earlier one within DISTANCE in its bucket; rows come sorted by bucket."""
-    now, leaders, images = None, np.zeros((0, TESTS // 8), np.uint8), np.zeros(0, np.int64)
-    for batch in batches:
-        key, img = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "leader"))
-        d = np.frombuffer(b"".join(batch.column("d").to_pylist()), np.uint8).reshape(batch.num_rows, -1)
-        cuts = np.append(np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])), len(key))
-        left, right = [], []
-        for a, z in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-            if key[a] != now:
-                now, leaders, images = key[a], leaders[:0], images[:0]
-            if z - a == 1 and not len(leaders):
-                leaders, images = d[a:z], img[a:z]
-                continue
-            for s in range(a, z, 512):
-                e = min(z, s + 512)
-                pool = np.concatenate([leaders, d[s:e]])
-                near = _hamming(d[s:e], pool) <= DISTANCE
-                near &= np.arange(len(pool))[None] < (len(leaders) + np.arange(e - s))[:, None]
-                has = near.any(axis=1)
-                first = near.argmax(axis=1)
-                both = np.concatenate([images, img[s:e]])
-                left.append(img[s:e][has])
-                right.append(both[first[has]])
-                leaders, images = np.concatenate([leaders, d[s:e][~has]]), np.concatenate([images, img[s:e][~has]])
-        if left:
-            l, r = np.concatenate(left), np.concatenate(right)
-            keep = l != r
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(l, r)[keep]), pa.array(np.maximum(l, r)[keep])], ["a", "b"])
-
-
-def agree(p: np.ndarray, d: np.ndarray, q: np.ndarray, e: np.ndarray) -> int:
-    """The most matches of two images' corners that agree on a shift, turn and scale."""
-    if not len(p) or not len(q):
-        return 0
-    dist = _hamming(d, e)
-    i = np.flatnonzero(dist.min(axis=1) <= DISTANCE)
-    j = dist[i].argmin(axis=1)
-    mutual = dist[:, j].argmin(axis=0) == i
-    i, j = i[mutual], j[mutual]
-    if len(i) < INLIERS:
-        return 0
-    scale, turn = q[j, 2] / p[i, 2], q[j, 3] - p[i, 3]
-    z, w = p[i, 0] + 1j * p[i, 1], q[j, 0] + 1j * q[j, 1]
-    move = scale * np.exp(1j * turn)
+def _keys(d: np.ndarray) -> np.ndarray:
+    """Bucket keys (TABLES x descriptors)."""
+    on = np.unpackbits(d, axis=1)
+    return np.stack([on[:, TABLE_BITS[t]].astype(np.int64) @ (1 << np.arange(KEY_BITS)) + (t << 32) for t in range(TABLES)])
+
+
+def _votes(d: np.ndarray, cuts: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Votes of each image of `left` for each of `right` (numbers of images, whose descriptors lie between their cuts)."""
+    corners = lambda which: np.concatenate([np.zeros(0, np.int64), *(np.arange(cuts[i], cuts[i + 1]) for i in which.tolist())])
+    own = lambda which: np.repeat(np.arange(len(which)), np.diff(cuts)[which])
+    a, b, of_a, of_b = corners(left), corners(right), own(left), own(right)
+    words = d.view(np.uint64).reshape(len(d), -1)
+    votes = np.zeros(len(left) * len(right), np.uint16)
+    for one, two in zip(_keys(d[a]), _keys(d[b]), strict=True):
+        order = np.argsort(two, kind="stable")
+        two = two[order]
+        lo, hi = np.searchsorted(two, one, "left"), np.searchsorted(two, one, "right")
+        at, ends = 0, np.cumsum(hi - lo)
+        while at < len(one):
+            before = int(ends[at - 1]) if at else 0
+            to = max(at + 1, int(np.searchsorted(ends, before + SLAB, "right")))
+            n = hi[at:to] - lo[at:to]
+            i = np.repeat(np.arange(at, to), n)
+            j = order[np.arange(len(i)) + np.repeat(lo[at:to] - (ends[at:to] - n - before), n)]
+            dist = np.zeros(len(i), np.uint16)
+            for w in range(words.shape[1]):
+                dist += np.bitwise_count(words[a[i], w] ^ words[b[j], w])
+            near = dist <= DISTANCE
+            pair, count = np.unique(of_a[i[near]] * len(right) + of_b[j[near]], return_counts=True)
+            votes[pair] = np.minimum(votes[pair] + count, VOTES)
+            at = to
+    return votes.reshape(len(left), len(right))
+
+
+def _agreed(d: np.ndarray, p: np.ndarray, n: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Which image pairs have INLIERS matches that agree; d: (images, corners, words) and p: (images, corners, 4), of which the first n are there."""
+    out = np.zeros(len(a), bool)
+    size = d.shape[1]
+    step = max(1, SLAB // 2 // max(1, size * size))
+    none = np.arange(size)[None] >= n[:, None]
+    place, scale, turn = p[..., 0] + 1j * p[..., 1], p[..., 2], p[..., 3]
+    for s in range(0, len(a), step):
+        x, y = a[s : s + step], b[s : s + step]
+        dist = np.zeros((len(x), size, size), np.uint16)
+        for k in range(d.shape[2]):
+            dist += np.bitwise_count(d[x, :, None, k] ^ d[y, None, :, k])
+        dist += (none[x][:, :, None] | none[y][:, None]).astype(np.uint16) * np.uint16(TESTS + 1)
+        j = dist.argmin(axis=2)
+        mutual = np.take_along_axis(dist.argmin(axis=1), j, 1) == np.arange(size)[None]
+        mutual &= np.take_along_axis(dist, j[:, :, None], 2)[:, :, 0] <= DISTANCE
+        many = mutual.sum(axis=1)
+        for m in range(INLIERS, size + 1):
+            which = np.flatnonzero(many == m)
+            part = max(1, SLAB // 4 // (9 * m * m))
+            for at in range(0, len(which), part):
+                q = which[at : at + part]
+                i = np.nonzero(mutual[q])[1].reshape(-1, m)
+                one, two = (x[q][:, None], i), (y[q][:, None], np.take_along_axis(j[q], i, 1))
+                move = scale[two] / scale[one] * np.exp(1j * (turn[two] - turn[one]))
+                out[s + q] = _agreeing(place[one], place[two], move) >= INLIERS
+    return out
+
+
+def _agreeing(z: np.ndarray, w: np.ndarray, move: np.ndarray) -> np.ndarray:
+    """For pairs of as many matches each: the most of them that agree on a shift, turn and scale.
+
+    z and w: places of the matches in both images (pairs x matches); move: the turn and scale of each by its corners.
+    """
+    dz, dw = z[:, None] - z[:, :, None], w[:, None] - w[:, :, None]
+    far = np.abs(dz) > 4
     # a pair of matches gives a finer turn and scale than one corner's angle
-    best = 0
-    for m in range(len(i)):
-        dz, dw = z - z[m], w - w[m]
-        far = np.abs(dz) > 4
-        rough = move[m]
-        for k in [-1, *np.flatnonzero(far)[:8].tolist()]:
-            f = rough if k < 0 else dw[k] / dz[k]
-            if abs(f) < 0.2 or abs(f) > 5:
-                continue
-            best = max(best, int((np.abs(f * dz - dw) <= NEAR * max(1.0, abs(f))).sum()))
-    return best
-
-
-def _verified(batches):
-    for batch in batches:
-        a, b, keep = [], [], batch.to_pylist()
-        for r in keep:
-            p, q = (np.frombuffer(r[k], "<f4").reshape(-1, 4).astype(np.float64) for k in ("pa", "pb"))
-            d, e = (np.frombuffer(r[k], np.uint8).reshape(-1, TESTS // 8) for k in ("da", "db"))
-            if agree(p, d, q, e) >= INLIERS:
-                a.append(r["a"])
-                b.append(r["b"])
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+    k = np.argsort(~far, axis=2, kind="stable")[:, :, :8]
+    with np.errstate(divide="ignore", invalid="ignore"):
+        finer = np.where(np.take_along_axis(far, k, 2), np.take_along_axis(dw, k, 2) / np.take_along_axis(dz, k, 2), np.nan)
+    f = np.concatenate([move[:, :, None], finer], axis=2)
+    size = np.abs(f)
+    f[(size < 0.2) | (size > 5)] = np.nan
+    limit = (NEAR * np.maximum(1.0, size)) ** 2
+    off = f[..., None] * dz[:, :, None] - dw[:, :, None]
+    return (off.real**2 + off.imag**2 <= limit[..., None]).sum(axis=3).max(axis=(1, 2))
+
+
+def _verified(table: pa.Table) -> pa.Table:
+    """Verified links of a group, from rows (group, parts, part, image_id, n, points, bits): between its two parts, or in its one."""
+    table = table.sort_by("image_id").combine_chunks()
+    ids, n, part = (table.column(c).to_numpy() for c in ("image_id", "n", "part"))
+    raw, points = (b"".join(table.column(c).to_pylist()) for c in ("bits", "points"))
+    d, p = np.frombuffer(raw, np.uint8).reshape(-1, TESTS // 8), np.frombuffer(points, "<f4").reshape(-1, 4).astype(np.float64)
+    cuts = np.concatenate([[0], np.cumsum(n)])
+    group, parts = table.column("group")[0].as_py(), table.column("parts")[0].as_py()
+    left, right = (np.flatnonzero(part == k) for k in divmod(group, parts))
+    i, j = np.nonzero(_votes(d, cuts, left, right) >= VOTES)
+    a, b = np.minimum(left[i], right[j]), np.maximum(left[i], right[j])
+    keep = left[i] < right[j] if group // parts == group % parts else np.ones(len(a), bool)
+    a, b = a[keep], b[keep]
+    size = int(n.max())
+    there = np.arange(size)[None] < n[:, None]
+    words, places = np.zeros((len(n), size, TESTS // 64), np.uint64), np.ones((len(n), size, 4))
+    words[there], places[there] = d.view(np.uint64).reshape(len(d), -1), p
+    keep = _agreed(words, places, n, a, b)
+    found = pa.table({"a": pa.array(ids[a[keep]]), "b": pa.array(ids[b[keep]])})
+    del table, raw, points, d, p, words, places
+    trim()
+    return found
 
 
 def copies(images: DataFrame) -> DataFrame:
@@ -226,20 +248,13 @@ def copies(images: DataFrame) -> DataFrame:
     firsts = found.where("content is not null and image_id is not null").groupBy("content").agg(F.min(F.struct("image_id", "n", "points", "bits")).alias("f")).select("content", "f.*")
     firsts = materialize(firsts, "media")
 
-    def rows(batches):
-        for batch in batches:
-            n = np.array(batch.column("n").to_pylist(), np.int64)
-            size = TESTS // 8
-            raw = b"".join(batch.column("bits").to_pylist())
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column("image_id").to_numpy(), n)), pa.array([raw[k : k + size] for k in range(0, len(raw), size)], pa.binary())], ["image_id", "d"])
-
-    corners = firsts.select("image_id", "n", "bits").mapInArrow(rows, "image_id long, d binary")
-    distinct = corners.groupBy("d").agg(F.min("image_id").alias("leader"))
-    same = corners.join(distinct, "d").where("image_id <> leader").select(F.col("leader").alias("a"), F.col("image_id").alias("b"))
-    keyed = distinct.mapInArrow(_keyed, "key long, d binary, leader long").repartition(deals(spark), "key").sortWithinPartitions("key", "leader", "d")
-    votes = same.union(keyed.mapInArrow(_bucket_links, "a long, b long")).groupBy("a", "b").count().where(F.col("count") >= VOTES)
-    one, two = (firsts.select(F.col("image_id").alias(k), F.col("points").alias("p" + k), F.col("bits").alias("d" + k)) for k in "ab")
-    checked = votes.select("a", "b").join(one, "a").join(two, "b").mapInArrow(_verified, "a long, b long")
+    some = firsts.where("n > 0")
+    n = some.count()
+    parts = max(1, -(-n // PART), min(SPREAD, n // 64))
+    own = F.pmod(F.xxhash64("image_id"), F.lit(parts)).cast("int")
+    group = F.transform(F.sequence(F.lit(0), F.lit(parts - 1)), lambda i: F.least(i, F.col("part")) * parts + F.greatest(i, F.col("part")))
+    groups = some.select("image_id", "n", "points", "bits", own.alias("part"), F.lit(parts).alias("parts")).withColumn("group", F.explode(group))
+    checked = groups.groupBy("group").applyInArrow(_verified, "a long, b long")
     links = materialize(checked, "media")
     count = links.select("a").union(links.select("b")).groupBy("a").count().select(F.col("a").alias("image_id"), F.col("count").alias("n_links"))
     classed = firsts.select("content", "image_id").join(components(links).select(F.col("node").alias("image_id"), "root"), "image_id", "left").join(count, "image_id", "left").select("content", F.coalesce("root", "image_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))

@@ -1,11 +1,12 @@
 """Cases that the operators once did in part only."""
 
+import collections
 import re
 
 import numpy as np
 import pytest
 
-from motionloom.llm import shingles
+from motionloom.llm import media, shingles
 
 
 def word_shingles(text):
@@ -71,3 +72,47 @@ def test_pipeline_near_duplicates_by_simhash(spark):
     assert len(word_shingles(one) & word_shingles(two)) < 0.8 * len(word_shingles(one) | word_shingles(two))
     got = {r["doc_id"] for r in C.one_of_near_duplicates(spark, docs.repartition(3), "").collect()}
     assert 0 in want and 1 not in want and got == want
+
+
+def agreeing(p: np.ndarray, d: np.ndarray, q: np.ndarray, e: np.ndarray) -> int:
+    """The most matches of two images' corners that agree on a shift, turn and scale."""
+    if not len(p) or not len(q):
+        return 0
+    dist = np.bitwise_count(d.view(np.uint64)[:, None] ^ e.view(np.uint64)[None]).sum(axis=2, dtype=np.int64)
+    i = np.flatnonzero(dist.min(axis=1) <= media.DISTANCE)
+    j = dist[i].argmin(axis=1)
+    mutual = dist[:, j].argmin(axis=0) == i
+    i, j = i[mutual], j[mutual]
+    if len(i) < media.INLIERS:
+        return 0
+    scale, turn = q[j, 2] / p[i, 2], q[j, 3] - p[i, 3]
+    z, w = p[i, 0] + 1j * p[i, 1], q[j, 0] + 1j * q[j, 1]
+    move = scale * np.exp(1j * turn)
+    # a pair of matches gives a finer turn and scale than one corner's angle
+    best = 0
+    for m in range(len(i)):
+        dz, dw = z - z[m], w - w[m]
+        far = np.abs(dz) > 4
+        rough = move[m]
+        for k in [-1, *np.flatnonzero(far)[:8].tolist()]:
+            f = rough if k < 0 else dw[k] / dz[k]
+            if abs(f) < 0.2 or abs(f) > 5:
+                continue
+            best = max(best, int((np.abs(f * dz - dw) <= media.NEAR * max(1.0, abs(f))).sum()))
+    return best
+
+
+@pytest.mark.parametrize("part", [4096, 20])
+def test_media_links_are_whole(spark, monkeypatch, part):
+    """Every two images with enough agreeing matches are linked, however many share a bucket."""
+    monkeypatch.setattr(media, "PART", part, raising=False)
+    vectors = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").orderBy("vec_id").limit(150)
+    rows = {r["content"]: r for r in sorted(media.features(media.rendered(vectors)).collect(), key=lambda r: -r["image_id"])}
+    own = [(r["image_id"], np.frombuffer(r["points"], "<f4").reshape(-1, 4).astype(float), np.frombuffer(r["bits"], np.uint8).reshape(-1, media.TESTS // 8)) for r in sorted(rows.values(), key=lambda r: r["image_id"])]
+    want = collections.Counter()
+    for j, (b, q, e) in enumerate(own):
+        for a, p, d in own[:j]:
+            if agreeing(p, d, q, e) >= media.INLIERS:
+                want.update((a, b))
+    got = {r["image_id"]: r["n_links"] for r in media.copies(media.rendered(vectors)).collect()}
+    assert sum(want.values()) > 0 and {k: got[k] for k, _, _ in own} == {k: want[k] for k, _, _ in own}
