@@ -1,7 +1,7 @@
 """Token ids in a compact file format: canonical length-limited Huffman codes.
 
 Documents are sorted into ranges of ascending key and tokenized once; blocks of
-consecutive documents hold their ids. Counts of ids over all blocks give one
+consecutive documents hold their ids and the counts of these, which over all give one
 canonical code of at most MAX_BITS bits (package-merge). Each block is coded by
 itself, with the bit offset of every STEP-th id, so a reader starts anywhere and
 decodes all stretches of a block side by side with one table.
@@ -127,7 +127,17 @@ def decode_block(data: bytes, table: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 CODED = "shard int, block int, doc_ids binary, no_id binary, n_docs long, n_tokens long, coded binary"
-BLOCKS = "shard int, block int, doc_ids binary, no_id binary, n_docs long, n_tokens long, ids binary"
+BLOCKS = "shard int, block int, doc_ids binary, no_id binary, n_docs long, n_tokens long, ids binary, counts binary"
+
+
+def _narrow(ids: np.ndarray) -> bytes:
+    """Ids in two bytes each, if they fit."""
+    return ids.astype("<u2" if not len(ids) or ids.max() < 1 << 16 else "<u4").tobytes()
+
+
+def _ids_of(raw: bytes, docs: int, n: int) -> np.ndarray:
+    """The n ids of an uncoded block, behind the lengths of its documents."""
+    return np.frombuffer(raw, "<u2" if len(raw) - 8 * docs == 2 * n else "<u4", n, 8 * docs)
 
 
 def _tokenized(docs: DataFrame, path: str, end_id: int) -> DataFrame:
@@ -148,6 +158,8 @@ def _tokenized(docs: DataFrame, path: str, end_id: int) -> DataFrame:
                 base = ends[a] - lens[a]
                 b = max(a + 1, int(np.searchsorted(ends, base + BLOCK_IDS, "right")))
                 part = ids[base : ends[b - 1]]
+                total = np.bincount(part)
+                used = np.flatnonzero(total)
                 yield pa.RecordBatch.from_pydict(
                     {
                         "shard": pa.array([shard], pa.int32()),
@@ -156,7 +168,8 @@ def _tokenized(docs: DataFrame, path: str, end_id: int) -> DataFrame:
                         "no_id": [none[a:b].tobytes()],
                         "n_docs": [b - a],
                         "n_tokens": [len(part)],
-                        "ids": [lens[a:b].astype("<u8").tobytes() + part.tobytes()],
+                        "ids": [lens[a:b].astype("<u8").tobytes() + _narrow(part)],
+                        "counts": [total[used].astype("<i8").tobytes() + used.astype("<u4").tobytes()],
                     }
                 )
                 block, a = block + 1, b
@@ -170,15 +183,16 @@ def _counted(blocks: DataFrame) -> DataFrame:
     def run(batches):
         total = np.zeros(0, np.int64)
         for batch in batches:
-            for raw, docs in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
-                got = np.bincount(np.frombuffer(raw.as_buffer(), "<u4", offset=8 * docs))
-                if len(got) > len(total):
-                    total, got = got, total
-                total[: len(got)] += got
+            for raw in batch.column(0).to_pylist():
+                n = len(raw) // 12
+                used = np.frombuffer(raw, "<u4", n, 8 * n)
+                if n and used[-1] >= len(total):
+                    total = np.concatenate([total, np.zeros(int(used[-1]) + 1 - len(total), np.int64)])
+                total[used] += np.frombuffer(raw, "<i8", n)
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_pydict({"id": pa.array(used, pa.int64()), "n": pa.array(total[used], pa.int64())})
 
-    return blocks.select("ids", "n_docs").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    return blocks.select("counts").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
 
 
 def write_ids(docs: DataFrame, folder: str | None = None, path: str | None = None, end_id: int = 2) -> str:
@@ -202,10 +216,10 @@ def write_ids(docs: DataFrame, folder: str | None = None, path: str | None = Non
             for row in batch.to_pylist():
                 raw = row.pop("ids")
                 lens = np.frombuffer(raw, "<u8", row["n_docs"]).astype(np.int64)
-                data = encode_block(np.frombuffer(raw, "<u4", offset=8 * row["n_docs"]), lens, lengths, codes)
+                data = encode_block(_ids_of(raw, row["n_docs"], row["n_tokens"]), lens, lengths, codes)
                 yield pa.RecordBatch.from_pydict({k: pa.array([v], pa.int32() if k in ("shard", "block") else None) for k, v in row.items()} | {"coded": [data]})
 
-    blocks.mapInArrow(run, CODED).write.mode("overwrite").option("compression", "zstd").parquet(f"{folder}/blocks")
+    blocks.drop("counts").mapInArrow(run, CODED).write.mode("overwrite").option("compression", "zstd").parquet(f"{folder}/blocks")
     discard(blocks)
     return folder
 

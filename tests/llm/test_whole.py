@@ -116,3 +116,18 @@ def test_media_links_are_whole(spark, monkeypatch, part):
                 want.update((a, b))
     got = {r["image_id"]: r["n_links"] for r in media.copies(media.rendered(vectors)).collect()}
     assert sum(want.values()) > 0 and {k: got[k] for k, _, _ in own} == {k: want[k] for k, _, _ in own}
+
+
+def test_blocks_of_ids_are_narrow(spark):
+    """Uncoded blocks hold ids under 65,536 in two bytes and carry their counts; larger ones keep four."""
+    from motionloom.llm import huffman
+
+    docs = spark.createDataFrame([(k, f"some words {k % 7}, and more of them") for k in range(50)] + [(None, None)], "doc_id long, text string")
+    for end, width in ((2, 2), (70_000, 4)):
+        blocks = huffman._tokenized(docs, huffman.T.default_path(), end).collect()
+        counts = collections.Counter()
+        for r in blocks:
+            assert len(r["ids"]) == 8 * r["n_docs"] + width * r["n_tokens"]
+            counts.update(huffman._ids_of(bytes(r["ids"]), r["n_docs"], r["n_tokens"]).tolist())
+        frame = spark.createDataFrame(blocks, huffman.BLOCKS)
+        assert counts[end] == 51 and counts == {r["id"]: r["n"] for r in huffman._counted(frame).collect()}
