@@ -43,7 +43,9 @@ class DotPool:
 
     def __init__(self, limits: tuple[int, ...], room: int = POOL):
         self.limits = np.asarray(limits, np.float64)
-        self.demand = np.full((2 * room, len(limits)), np.inf)
+        # a row for each limit, and the demands as parts of the limits
+        self.demand = np.full((len(limits), 2 * room), np.inf)
+        self.scaled = np.zeros((len(limits), 2 * room))
         self.what: list = [None] * (2 * room)
         self.free = list(range(2 * room))[::-1]
 
@@ -53,31 +55,36 @@ class DotPool:
     def add(self, demand: tuple[int, ...], what) -> None:
         if not self.free:
             n = len(self.what)
-            self.demand = np.vstack([self.demand, np.full_like(self.demand, np.inf)])
+            self.demand = np.hstack([self.demand, np.full_like(self.demand, np.inf)])
+            self.scaled = np.hstack([self.scaled, np.zeros_like(self.scaled)])
             self.what += [None] * n
             self.free = list(range(n, 2 * n))[::-1]
         k = self.free.pop()
-        self.demand[k] = demand
+        self.demand[:, k] = demand
+        self.scaled[:, k] = demand / self.limits
         self.what[k] = what
 
     def best(self, left: np.ndarray) -> int | None:
         """Index of the fitting example with the largest dot product, the first of equals."""
-        fits = (self.demand <= left).all(axis=1)
-        if not fits.any():
+        fits = self.demand[0] <= left[0]
+        for own, most in zip(self.demand[1:], left[1:], strict=True):
+            fits &= own <= most
+        fits = fits.nonzero()[0]
+        if not len(fits):
             return None
-        scaled = np.where(fits[:, None], self.demand, 0) / self.limits
-        return int(np.argmax(np.where(fits, scaled @ (left / self.limits), -1.0)))
+        value = sum(own[fits] * part for own, part in zip(self.scaled, (left / self.limits).tolist(), strict=True))
+        return int(fits[value.argmax()])
 
     def largest(self) -> int | None:
         """The example with the most tokens of those that hold any."""
-        t = np.where(np.isfinite(self.demand[:, 0]), self.demand[:, 0], -1)
+        t = np.where(np.isfinite(self.demand[0]), self.demand[0], -1)
         k = int(np.argmax(t))
         return k if t[k] >= 0 else None
 
     def take(self, k: int):
-        what, demand = self.what[k], self.demand[k].copy()
+        what, demand = self.what[k], self.demand[:, k].copy()
         self.what[k] = None
-        self.demand[k] = np.inf
+        self.demand[:, k] = np.inf
         self.free.append(k)
         return demand, what
 

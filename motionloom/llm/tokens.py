@@ -5,6 +5,8 @@ between two non-space characters, whatever stands around it. So a text is cut
 there, each distinct part is encoded once by the library, and ids are put together
 by index. Other white space is never cut at and stays inside a part. A mark after
 a letter is a piece of its own, so such a part is its stem's ids and the mark's.
+A space with letters after it is one piece, so such parts go to the library in the
+vocabulary's own characters, where they are told apart by the space's alone.
 
 This holds for vocabularies that declare the byte-level pre-tokenizer with its usual
 pattern, no normalizer, and added tokens without white space. What a file declares is
@@ -17,17 +19,20 @@ import json
 import os
 import re
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
 
-#: Distinct parts a worker remembers before it starts anew; bounds memory only.
-CACHE_PARTS = 700_000
+#: Distinct parts a worker remembers before it forgets those it met once; bounds memory only.
+CACHE_PARTS = 1_800_000
 
 #: Marks that end a part, and are one token each.
 MARKED = re.compile(rb"[ \n].*[A-Za-z][,.;:!?]", re.DOTALL).fullmatch
 
+#: Parts that are one piece: a space and letters (ASCII, Latin-1 and Latin Extended-A).
+PLAIN = re.compile(rb" (?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]|[\xc4\xc5][\x80-\xbf])+").fullmatch
+
 #: New parts that the library gets as one text.
 JOINED = 2000
 
@@ -50,15 +55,28 @@ def obeys_the_rule(file: dict) -> bool:
     return plain and added and file.get("normalizer") is None and model.get("type") == "BPE" and not model.get("dropout") and not model.get("continuing_subword_prefix") and not model.get("end_of_word_suffix") and all(m in vocabulary for m in ",.;:!?")
 
 
+def written_bytes() -> dict[int, int]:
+    """The character with which byte-level vocabularies write each byte."""
+    kept = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = iter(range(256, 512))
+    return {b: b if b in kept else next(others) for b in range(256)}
+
+
 class PartEncoder:
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.library = Tokenizer.from_file(path)
-        self.whole = not obeys_the_rule(json.loads(self.library.to_str()))
+        file = json.loads(self.library.to_str())
+        self.whole = not obeys_the_rule(file)
         if self.whole:
             return
+        self.pieces = None
+        if not any(t["content"].isalpha() for t in file.get("added_tokens") or []):
+            self.pieces = Tokenizer.from_file(path)
+            self.pieces.pre_tokenizer = pre_tokenizers.Split("\u0120", "merged_with_next")
+            self.characters = written_bytes()
         # the vocabulary writes each byte of a token as one character
         vocabulary = self.library.get_vocab(with_added_tokens=True)
         self.bytes_of = np.zeros(max(vocabulary.values()) + 1, np.int64)
@@ -68,22 +86,38 @@ class PartEncoder:
         self.reset()
 
     def reset(self) -> None:
+        """Forget all parts."""
         self.entry: dict[bytes, int] = {}
         self.ids = np.zeros(1 << 16, np.uint32)
         self.used = 0
         self.start = np.zeros(1 << 14, np.int64)
         self.length = np.zeros(1 << 14, np.int64)
+        self.again = np.zeros(1 << 14, bool)
+
+    def _forget(self) -> None:
+        """Forget the parts that were not met again since the last time, or all if most were."""
+        keep = np.flatnonzero(self.again[: len(self.entry)])
+        if not 0 < len(keep) <= CACHE_PARTS // 2:
+            return self.reset()
+        parts, lens = list(self.entry), self.length[keep]
+        at = np.repeat(self.start[keep] - (np.cumsum(lens) - lens), lens) + np.arange(int(lens.sum()))
+        parts, flat = [parts[i] for i in keep.tolist()], self.ids[at]
+        self.reset()
+        self._append(parts, flat, lens, np.arange(len(parts)))
 
-    def _library(self, text: bytes) -> np.ndarray:
+    def _library(self, text: bytes, plain: bool = False) -> np.ndarray:
+        if plain:
+            text = text.decode("ascii").replace(" ", "\u0120") if text.isascii() else text.decode("latin-1").translate(self.characters)
+            return np.array(self.pieces.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
         return np.array(self.library.encode_batch_fast([text.decode("utf-8")], add_special_tokens=False)[0].ids, np.uint32)
 
-    def _encoded(self, parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    def _encoded(self, parts: list[bytes], plain: bool = False) -> tuple[np.ndarray, np.ndarray]:
         """Ids of parts one after another, and each part's number of ids.
 
         The parts are one text to the library; its ids' bytes tell where a part ends.
         Should an id reach over such an end, each part is encoded by itself.
         """
-        ids = self._library(b"".join(parts))
+        ids = self._library(b"".join(parts), plain)
         reached = np.cumsum(self.bytes_of[ids])
         ends = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)))
         stop = np.searchsorted(reached, ends, "right")
@@ -94,7 +128,7 @@ class PartEncoder:
 
     def _add(self, parts: list[bytes]) -> None:
         """Encode parts the cache lacks: stems first, then those that are a stem and a mark."""
-        marked = [p for p in parts if MARKED(p) and CUT(p)]
+        marked = [p for p in parts if p[-1] in self.mark and MARKED(p) and CUT(p)]
         apart = set(marked)
         stems = dict.fromkeys(p[:-1] for p in marked)
         self._store([p for p in dict.fromkeys(chain(stems, parts)) if p not in apart and p not in self.entry])
@@ -110,16 +144,16 @@ class PartEncoder:
             self._append(marked, flat, lens, np.arange(len(marked)))
 
     def _store(self, parts: list[bytes]) -> None:
-        """Encode parts, those that are cut at both ends together."""
-        cut = np.fromiter((CUT(p) is not None for p in parts), bool, len(parts))
+        """Encode parts, those that are cut at both ends together, plain ones apart from others."""
+        # 0: plain ASCII, 1: plain, 2: cut, 3: neither
+        kind = np.fromiter(((0 if p.isascii() else 1) if self.pieces and PLAIN(p) else 2 if CUT(p) else 3 for p in parts), np.int8, len(parts))
         lens, flat = np.zeros(len(parts), np.int64), [np.zeros(0, np.uint32)]
-        together = np.flatnonzero(cut)
-        runs = [together[i : i + JOINED] for i in range(0, len(together), JOINED)] + [[i] for i in np.flatnonzero(~cut)]
-        for run in runs:
-            ids, lens[run] = self._encoded([parts[i] for i in run])
+        runs = [(k, which[i : i + n]) for k, n in ((0, JOINED), (1, JOINED), (2, JOINED), (3, 1)) for which in [np.flatnonzero(kind == k)] for i in range(0, len(which), n)]
+        for k, run in runs:
+            ids, lens[run] = self._encoded([parts[i] for i in run.tolist()], k < 2)
             flat.append(ids)
         if runs:
-            self._append(parts, np.concatenate(flat), lens, np.concatenate(runs))
+            self._append(parts, np.concatenate(flat), lens, np.concatenate([run for _, run in runs]))
 
     def _append(self, parts: list[bytes], flat: np.ndarray, lens: np.ndarray, order: np.ndarray) -> None:
         """Remember parts with their ids, which lie in this order."""
@@ -127,10 +161,11 @@ class PartEncoder:
         if self.used + len(flat) > len(self.ids):
             self.ids = np.resize(self.ids, max(2 * len(self.ids), self.used + len(flat)))
         if n > len(self.start):
-            self.start, self.length = (np.resize(x, max(2 * len(x), n)) for x in (self.start, self.length))
+            self.start, self.length, self.again = (np.resize(x, max(2 * len(x), n)) for x in (self.start, self.length, self.again))
         self.ids[self.used : self.used + len(flat)] = flat
         self.start[k + order] = self.used + np.cumsum(lens[order]) - lens[order]
         self.length[k:n] = lens
+        self.again[k:n] = False
         self.used += len(flat)
         self.entry.update(zip(parts, range(k, n), strict=True))
 
@@ -140,7 +175,7 @@ class PartEncoder:
             each = [e.ids for e in self.library.encode_batch_fast(texts.to_pylist(), add_special_tokens=False)]
             return np.fromiter(chain.from_iterable(each), np.uint32), np.fromiter(map(len, each), np.int64, len(each))
         if len(self.entry) > CACHE_PARTS:
-            self.reset()
+            self._forget()
         texts = texts.cast(pa.large_string()) if texts.type != pa.large_string() else texts
         n = len(texts)
         offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + n + 1]
@@ -165,13 +200,15 @@ class PartEncoder:
         parts = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(bounds), data])
         coded = parts.dictionary_encode()
         keys = coded.dictionary.to_pylist()
-        found = list(map(self.entry.get, keys))
-        if None in found:
-            new = [k for k, v in zip(keys, found, strict=True) if v is None]
+        found = map(self.entry.get, keys, repeat(-1))
+        found = np.fromiter(found, np.int64, len(keys))
+        self.again[found[found >= 0]] = True
+        missing = np.flatnonzero(found < 0)
+        if len(missing):
+            new = [keys[i] for i in missing.tolist()]
             self._add(new)
-            fresh = map(self.entry.__getitem__, new)
-            found = [next(fresh) if v is None else v for v in found]
-        e = np.array(found, np.int64)[coded.indices.to_numpy()]
+            found[missing] = np.fromiter(map(self.entry.__getitem__, new), np.int64, len(new))
+        e = found[coded.indices.to_numpy()]
         lens = self.length[e]
         ends = np.cumsum(lens)
         at = np.repeat(self.start[e] - (ends - lens), lens)

@@ -131,3 +131,31 @@ def test_blocks_of_ids_are_narrow(spark):
             counts.update(huffman._ids_of(bytes(r["ids"]), r["n_docs"], r["n_tokens"]).tolist())
         frame = spark.createDataFrame(blocks, huffman.BLOCKS)
         assert counts[end] == 51 and counts == {r["id"]: r["n"] for r in huffman._counted(frame).collect()}
+
+
+def _same_as_library(e, texts):
+    import pyarrow as pa
+
+    ids, lens = e.encode(pa.array(texts, pa.string()))
+    want = [x.ids for x in e.library.encode_batch(texts, add_special_tokens=False)]
+    assert lens.tolist() == [len(w) for w in want] and ids.tolist() == [i for w in want for i in w]
+
+
+def test_encoder_keeps_parts_met_again(monkeypatch):
+    """A full cache forgets the parts it met once, not those it met again, and ids stay those of the library."""
+    from motionloom.llm import tokens
+
+    monkeypatch.setattr(tokens, "CACHE_PARTS", 40)
+    e = tokens.PartEncoder(tokens.default_path())
+    for k in range(12):
+        _same_as_library(e, [f"then often, again éa{k} x{chr(97 + k)}b\nof {' '.join(f'w{chr(97 + k)}{chr(97 + i)}' for i in range(9))} end", ""])
+    for _ in range(2):
+        _same_as_library(e, ["then often, again"])
+    # this fills the cache, and the next text comes without those words
+    _same_as_library(e, [" ".join(f"u{chr(97 + i)}{chr(97 + j)}" for i in range(5) for j in range(9))])
+    _same_as_library(e, ["none of them"])
+    assert b" often," in e.entry and b" uab" not in e.entry and len(e.entry) < 40
+    # if most were met again, all go
+    for _ in range(3):
+        _same_as_library(e, [" ".join(f"v{chr(97 + i)}{chr(97 + j)}" for i in range(9) for j in range(9))])
+    assert b" often," not in e.entry
