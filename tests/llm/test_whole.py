@@ -159,3 +159,19 @@ def test_encoder_keeps_parts_met_again(monkeypatch):
     for _ in range(3):
         _same_as_library(e, [" ".join(f"v{chr(97 + i)}{chr(97 + j)}" for i in range(9) for j in range(9))])
     assert b" often," not in e.entry
+
+
+def test_plain_parts_are_single_pieces():
+    """Parts of a space and letters go to the library without its pattern; others don't, and ids are the same."""
+    from motionloom.llm import tokens
+
+    letters = "".join(chr(c) for c in range(0x80, 0x250))
+    e = tokens.PartEncoder(tokens.default_path())
+    assert tokens.PLAIN(" élan".encode()) and tokens.PLAIN(b" Words")
+    assert all(chr(c).isalpha() for c in range(0x80, 0x180) if tokens.PLAIN(f" {chr(c)}".encode()))
+    assert not any(tokens.PLAIN(p.encode()) for p in ("", " ", "a", " a1", " it's", "\na", " a b", " ×", " ÷", " ª", " ŀ̀", " 漢"))
+    seen = []
+    whole = e._library
+    e._library = lambda text, plain=False: seen.append((text, plain)) or whole(text, plain)
+    _same_as_library(e, ["a " + " ".join(f"x{c}y {c}" for c in letters) + " it's IT'S don't 12a a12   a b  two\n\nend Ġword xĠy <|endoftext|> a", "ŉ Ŀa ĸ ſt, été. naïve; Łódź! á  x", "", " "])
+    assert {plain for _, plain in seen} == {True, False} and all(tokens.PLAIN(p) for text, plain in seen if plain for p in [b" " + w for w in text.split(b" ")[1:]])
