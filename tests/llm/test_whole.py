@@ -175,3 +175,27 @@ def test_plain_parts_are_single_pieces():
     e._library = lambda text, plain=False: seen.append((text, plain)) or whole(text, plain)
     _same_as_library(e, ["a " + " ".join(f"x{c}y {c}" for c in letters) + " it's IT'S don't 12a a12   a b  two\n\nend Ġword xĠy <|endoftext|> a", "ŉ Ŀa ĸ ſt, été. naïve; Łódź! á  x", "", " "])
     assert {plain for _, plain in seen} == {True, False} and all(tokens.PLAIN(p) for text, plain in seen if plain for p in [b" " + w for w in text.split(b" ")[1:]])
+
+
+def test_lm_step_by_definition():
+    """A step moves the embeddings along the gradient that rows give one by one, by symbol and place."""
+    from motionloom.llm import lm
+
+    rng = np.random.default_rng(5)
+    side, n, rate = 3, 300, 0.5
+    s, c = rng.integers(0, side**2, n).astype(np.uint16), np.minimum(rng.integers(0, 14, (n, 2 * lm.REACH)), side**2).astype(np.uint16)
+    net = lm.Network(np.bincount(s, minlength=side**2).astype(float))
+    old = {k: v.astype(float) for k, v in net.copy().p.items()}
+    want, scores = old["E"].copy(), np.zeros(n)
+    softmax = lambda z: np.exp(z) / np.exp(z).sum()
+    for i in range(n):
+        h = np.tanh(sum(old["E"][j][c[i, j]] for j in range(c.shape[1])) + old["b"])
+        k, m = divmod(int(s[i]), side)
+        p, q = softmax(h @ old["G"] + old["g"]), softmax(h @ old["M"][k] + old["m"][k])
+        scores[i] = np.log(p[k] * q[m])
+        back = (old["G"] @ (np.eye(side)[k] - p) + old["M"][k] @ (np.eye(side)[m] - q)) * (1 - h * h)
+        for j in range(c.shape[1]):
+            want[j][c[i, j]] += rate * back / max(32, (c[:, j] == c[i, j]).sum())
+    assert np.allclose(net.log_probabilities(c, s), scores, atol=1e-4)
+    net.learn(c, s, rate)
+    assert np.abs(want - old["E"]).max() > 1e-3 and np.allclose(net.p["E"], want, atol=1e-5)
