@@ -44,11 +44,34 @@ SIDE, WIDTH, REACH = 2.0, 16, 2
 BATCH, ROUNDS, RATE, NEAR = 4096, 2, 1.0, 1 << 16
 
 
-def word_hashes(b: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words, and where each text's words begin and end."""
-    low = W.lowered(b)
-    starts, ends = W.runs(~((b == 32) | ((b >= 9) & (b <= 13))), bounds)
-    return W.hashes(low, starts, ends), np.searchsorted(starts, bounds)
+def word_hashes(b: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of all words, where each text's words begin and end, and the words' numbers of bytes."""
+    starts, ends = W.runs(~((b == 32) | (b - np.uint8(9) <= 4)), bounds)
+    return W.hashes(W.lowered(b), starts, ends), np.searchsorted(starts, bounds), ends - starts
+
+
+class Sorted:
+    """Sorted hashes, found by their first bits: most of the 2**bits slots have one at most."""
+
+    def __init__(self, known: np.ndarray):
+        self.known, bits = known, min(22, max(8, len(known).bit_length() + 4))
+        self.shift = np.uint64(64 - bits)
+        self.first = np.searchsorted(known, np.arange(1 << bits, dtype=np.uint64) << self.shift).astype(np.int32)
+        self.most = int(np.diff(self.first, append=len(known)).max())
+
+    def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of each hash, a place in `known`, and whether it is there."""
+        if not len(self.known):
+            return np.zeros(len(h), np.int32), np.zeros(len(h), bool)
+        at = np.minimum(self.first[h >> self.shift], len(self.known) - 1)
+        there = self.known[at] == h
+        rest = np.flatnonzero(~there)
+        for k in range(1, self.most):
+            # whose slot has more
+            rest = rest[self.known[at[rest]] < h[rest]]
+            next = np.minimum(at[rest] + 1, len(self.known) - 1)
+            at[rest], there[rest] = next, self.known[next] == h[rest]
+        return at, there
 
 
 def single_thread() -> None:
@@ -68,6 +91,9 @@ class Vocabulary:
     known: np.ndarray  # sorted hashes of the words with symbols of their own
     number: np.ndarray  # their symbols
 
+    def __post_init__(self):
+        self.places = Sorted(self.known)
+
     @property
     def pad(self) -> int:
         return self.side**2
@@ -82,8 +108,8 @@ class Vocabulary:
         shared = self.own + ((h >> np.uint64(1)) % np.uint64(self.pad - self.own)).astype(np.int64)
         if not len(self.known):
             return shared.astype(kind)
-        at = np.minimum(np.searchsorted(self.known, h), len(self.known) - 1)
-        return np.where(self.known[at] == h, self.number[at], shared).astype(kind)
+        at, there = self.places.find(h)
+        return np.where(there, self.number[at], shared).astype(kind)
 
 
 def contexts(s: np.ndarray, bounds: np.ndarray, pad: int) -> np.ndarray:
@@ -113,52 +139,64 @@ class Network:
         self.p = {"E": normal(2 * REACH, side * side + 1, WIDTH), "b": np.zeros(WIDTH, np.float32), "G": normal(WIDTH, side) / 10, "g": (top - top.max()).astype(np.float32), "M": normal(side, WIDTH, side) / 10, "m": (n - n.max(axis=1, keepdims=True)).astype(np.float32)}
 
     def _hidden(self, c: np.ndarray) -> np.ndarray:
-        x = np.take(self.p["E"][0], c[:, 0], axis=0)
+        x = np.take(self.p["E"][0] + self.p["b"], c[:, 0], axis=0)
         for j in range(1, c.shape[1]):
             x += np.take(self.p["E"][j], c[:, j], axis=0)
-        x += self.p["b"]
         return np.tanh(x, out=x)
 
     def _run(self, c: np.ndarray, s: np.ndarray, rate: float = 0.0) -> np.ndarray:
         """Log-probabilities of symbols s in contexts c; with a rate, moves all layers along their gradient."""
         p, n, side = self.p, len(s), self.side
         order = np.argsort(s, kind="stable")
-        c, s = c[order], s[order].astype(np.int64)
+        c, s = np.take(c, order, axis=0), s[order]
         hidden = self._hidden(c)
+        # a last column of ones: the output's biases are rows of its matrices
+        inner = np.ones((n, WIDTH + 1), np.float32)
+        inner[:, :-1] = hidden
         # sums as products: much faster than sums along short rows
-        one, every = np.ones(side, np.float32), np.ones(n, np.float32)
-        group, member = s // side, s % side
-        cuts = np.searchsorted(group, np.arange(side + 1))
-        rows = np.arange(n)
-        z = hidden @ p["G"] + p["g"]
-        own = z[rows, group]
+        one = np.ones(side, np.float32)
+        group, member = np.divmod(s, s.dtype.type(side))
+        cuts = np.searchsorted(group, np.arange(side + 1)).tolist()
+        parts = [(k, slice(a, e)) for k, (a, e) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if a < e]
+        first = np.arange(0, n * side, side)
+        at = first + group
+        z = inner @ np.concatenate([p["G"], p["g"][None]])
+        flat = z.reshape(-1)
+        own = flat[at]
         np.exp(z, out=z)
         total = z @ one
         got = own - np.log(total)
         if rate:
             z *= (-1 / total)[:, None]
-            z[rows, group] += 1
+            flat[at] += 1
             back = z @ p["G"].T
-            p["G"] += np.float32(rate / n) * (hidden.T @ z)
-            p["g"] += np.float32(rate / n) * (every @ z)
-        parts = [(k, slice(a, e)) for k, (a, e) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)) if a < e]
+            move = inner.T @ z
+            move *= np.float32(rate / n)
+            p["G"] += move[:-1]
+            p["g"] += move[-1]
+        both = np.concatenate([p["M"], p["m"][:, None]], axis=1)
         for k, part in parts:
-            np.matmul(hidden[part], p["M"][k], out=z[part])
-            z[part] += p["m"][k]
-        own = z[rows, member]
+            np.matmul(inner[part], both[k], out=z[part])
+        at = first + member
+        own = flat[at]
         np.exp(z, out=z)
         total = z @ one
         got += own - np.log(total)
         if rate:
             z *= (-1 / total)[:, None]
-            z[rows, member] += 1
+            flat[at] += 1
+            more, moves = np.empty_like(back), np.zeros_like(both)
             for k, part in parts:
-                back[part] += z[part] @ p["M"][k].T
-                scale = np.float32(rate / max(part.stop - part.start, 64))
-                p["M"][k] += scale * (hidden[part].T @ z[part])
-                p["m"][k] += scale * (every[part] @ z[part])
-            back *= 1 - hidden * hidden
-            p["b"] += np.float32(rate / n) * (every @ back)
+                x = z[part]
+                np.matmul(x, p["M"][k].T, out=more[part])
+                np.matmul(inner[part].T, x, out=moves[k])
+            moves *= (rate / np.maximum(np.diff(cuts), 64)).astype(np.float32)[:, None, None]
+            p["M"] += moves[:, :-1]
+            p["m"] += moves[:, -1]
+            back += more
+            hidden *= hidden
+            back *= np.subtract(1, hidden, out=hidden)
+            p["b"] += np.float32(rate / n) * (np.ones(n, np.float32) @ back)
             # sums by symbol, a column at a time: much faster than sums of short rows
             columns, sums = np.ascontiguousarray(back.T, np.float64), np.empty((WIDTH, side**2 + 1), np.float32)
             for j in range(c.shape[1]):
@@ -172,8 +210,10 @@ class Network:
         return out
 
     def learn(self, c: np.ndarray, s: np.ndarray, rate: float) -> None:
-        for i in range(0, len(s), BATCH):
-            self._run(c[i : i + BATCH], s[i : i + BATCH], rate)
+        """Steps of BATCH words at most, each from all over the rows."""
+        steps = -(-len(s) // BATCH)
+        for i in range(steps):
+            self._run(c[i::steps], s[i::steps], rate)
 
     def log_probabilities(self, c: np.ndarray, s: np.ndarray) -> np.ndarray:
         out = [self._run(c[i : i + 4 * BATCH], s[i : i + 4 * BATCH]) for i in range(0, len(s), 4 * BATCH)]
@@ -259,12 +299,9 @@ def _round(rows: DataFrame, start: Network, v: Vocabulary, rate: float) -> Netwo
         single_thread()
         own, seen = start.copy(), 0
         for table in bulks(batches):
-            h, bounds = word_hashes(*W.flat(column(table, "text")))
+            h, bounds, _ = word_hashes(*W.flat(column(table, "text")))
             s = v.symbols(h)
-            c = contexts(s, bounds, v.pad)
-            # a batch takes words from all over the bulk
-            order = np.argsort(np.arange(len(s)) % max(1, -(-len(s) // BATCH)), kind="stable")
-            own.learn(c[order], s[order], rate)
+            own.learn(contexts(s, bounds, v.pad), s, rate)
             seen += len(s)
         if seen:
             yield pa.RecordBatch.from_pydict({"part": pa.array([TaskContext.get().partitionId()], pa.int64()), "seen": pa.array([seen], pa.int64()), "net": [own.to_bytes()]})
@@ -292,26 +329,23 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, n_words, log_likelihood and mean_log_likelihood of every row."""
     bounded_batches(docs.sparkSession)
     net, v, whole, held, (near, logs) = model.net, model.vocabulary, model.whole, model.held, model.near
+    near = Sorted(near)
 
     def run(batches):
         single_thread()
         at = TaskContext.get().partitionId() << 33
         for table in bulks(batches):
-            b, ends = W.flat(column(table, "text"))
-            h, bounds = word_hashes(b, ends)
+            h, bounds, size = word_hashes(*W.flat(column(table, "text")))
             s = v.symbols(h)
             got = net.log_probabilities(contexts(s, bounds, v.pad), s)
             rare = np.flatnonzero(s >= v.own)
             got[rare] -= whole[s[rare]]
-            if len(near):
-                at_near = np.minimum(np.searchsorted(near, h[rare]), len(near) - 1)
-                there = near[at_near] == h[rare]
-                got[rare[there]] += logs[at_near[there]]
-                rare = rare[~there]
+            at_near, there = near.find(h[rare])
+            got[rare[there]] += logs[at_near[there]]
+            rare = rare[~there]
             total = np.concatenate([[0.0], np.cumsum(got)])[bounds]
             n = np.diff(bounds)
-            starts, stops = W.runs(~((b == 32) | ((b >= 9) & (b <= 13))), ends)
-            spelled = held[s[rare]] - (stops[rare] - starts[rare] + 1) * np.log(257)
+            spelled = held[s[rare]] - (size[rare] + 1) * np.log(257)
             offsets = pa.array(np.searchsorted(rare, bounds).astype(np.int32))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(at + np.arange(len(n))), column(table, "doc_id"), pa.array(n, pa.int64()), pa.array(np.where(n > 0, np.diff(total), 0.0)), pa.ListArray.from_arrays(offsets, pa.array(h[rare].view(np.int64))), pa.ListArray.from_arrays(offsets, pa.array(spelled.astype(np.float32)))],

@@ -29,15 +29,14 @@ def lowered(b: np.ndarray) -> np.ndarray:
 
 def runs(inside: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of the runs of true bytes; no run crosses a bound."""
-    n = len(inside)
-    edge = np.zeros(n + 1, bool)
-    edge[bounds] = True
-    before = np.concatenate([[False], inside[:-1]]) & ~edge[:-1]
-    after = np.concatenate([inside[1:], [False]]) & ~edge[1:]
-    return np.flatnonzero(inside & ~before), np.flatnonzero(inside & ~after) + 1
+    near = np.concatenate([[False], inside, [False]])
+    before, after = near[:-1].copy(), near[1:]
+    before[bounds] = False
+    after[bounds] = False
+    return np.flatnonzero(inside > before[:-1]), np.flatnonzero(inside > after[1:]) + 1
 
 
-TILE = 1 << 18
+TILE = 1 << 15
 ROOT = 0x9E3779B97F4A7C15
 with np.errstate(over="ignore"):
     RISING = np.cumprod(np.concatenate([[U(1)], np.full(TILE - 1, U(ROOT))]))
@@ -66,7 +65,8 @@ def hashes(b: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         part = b[base : base + TILE].astype(U)
         part += U(1)
         part *= RISING[: len(part)]
-        sums = np.concatenate([np.zeros(1, U), np.cumsum(part)])
+        sums = np.zeros(len(part) + 1, U)
+        np.cumsum(part, out=sums[1:])
         s, e = starts[a:z] - base, ends[a:z] - base
         out[a:z] = (sums[np.minimum(e, len(part))] - sums[s]) * FALLING[s]
         if e[-1] > len(part):  # it runs on into the next tiles

@@ -199,3 +199,26 @@ def test_lm_step_by_definition():
     assert np.allclose(net.log_probabilities(c, s), scores, atol=1e-4)
     net.learn(c, s, rate)
     assert np.abs(want - old["E"]).max() > 1e-3 and np.allclose(net.p["E"], want, atol=1e-5)
+
+
+def test_lm_steps_and_found_hashes():
+    """Steps take words from all over the rows, each once; hashes are found, many to a slot too."""
+    from motionloom.llm import lm
+
+    rng = np.random.default_rng(6)
+    side, n = 3, 2 * lm.BATCH + 5
+    s, c = rng.integers(0, side**2, n).astype(np.uint16), rng.integers(0, side**2 + 1, (n, 2 * lm.REACH)).astype(np.uint16)
+    net = lm.Network(np.bincount(s, minlength=side**2).astype(float))
+    one, seen = net.copy(), []
+    for i in range(3):
+        one._run(c[i::3], s[i::3], 0.5)
+    step = net._run
+    net._run = lambda c, s, rate: seen.append(len(s)) or step(c, s, rate)
+    net.learn(c, s, 0.5)
+    assert sum(seen) == n and max(seen) <= lm.BATCH and all((net.p[k] == one.p[k]).all() for k in net.p)
+    net.learn(c[:0], s[:0], 0.5)
+    for known in ([], [7], [2**64 - 1], [0, 1, 2, 3, 2**63, 2**63 + 1, 2**63 + 5, 2**64 - 2, 2**64 - 1], rng.integers(0, 2**64, 5000, np.uint64).tolist()):
+        known = np.sort(np.array(known, np.uint64))
+        h = np.concatenate([known, known + np.uint64(1), known - np.uint64(1), rng.integers(0, 2**64, 99, np.uint64)])
+        at, there = lm.Sorted(known).find(h)
+        assert (there == np.isin(h, known)).all() and (known[at[there]] == h[there]).all()
