@@ -4,7 +4,8 @@ Images are grey rasters (bytes, width, height). Corners of several scales are
 described by binary brightness tests in a patch turned to its own orientation.
 Descriptors meet in tables keyed by some of their bits. Every two descriptors of
 different images within DISTANCE in a bucket are a vote for their images, and all
-image pairs that get VOTES are verified: their descriptors are matched again, and
+image pairs that get VOTES are verified (all pairs of a group, if as many descriptors
+meet in its tables as it has image pairs): their descriptors are matched again, and
 enough matches must agree on one shift, turn and scale. Images are dealt into parts,
 and each two parts are a group with tables of its own, so votes are counted where
 they arise, however many images meet in a bucket. Work grows with the pairs that
@@ -24,11 +25,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from motionloom.llm.common import bounded_batches, materialize, trim
-from motionloom.llm.graph import components
+from motionloom.llm.graph import components, forest
 
 LEVELS, CORNERS, MARGIN, TESTS, TURNS = (1.0, 0.5), 12, 9, 256, 30
 TABLES, KEY_BITS, DISTANCE, VOTES, INLIERS, NEAR = 4, 24, 40, 2, 5, 3.0
-PART, SPREAD, SLAB = 4096, 10, 1 << 20
+PART, SPREAD, SLAB, CHUNK = 4096, 10, 1 << 20, 1024
 _RNG = np.random.default_rng(7)
 POINTS = np.clip(_RNG.normal(0, 3.2, (TESTS, 2, 2)), -6, 6)
 TABLE_BITS = np.stack([_RNG.permutation(TESTS)[:KEY_BITS] for _ in range(TABLES)])
@@ -146,11 +147,16 @@ def _votes(d: np.ndarray, cuts: np.ndarray, left: np.ndarray, right: np.ndarray)
     own = lambda which: np.repeat(np.arange(len(which)), np.diff(cuts)[which])
     a, b, of_a, of_b = corners(left), corners(right), own(left), own(right)
     words = d.view(np.uint64).reshape(len(d), -1)
-    votes = np.zeros(len(left) * len(right), np.uint16)
+    met = []
     for one, two in zip(_keys(d[a]), _keys(d[b]), strict=True):
         order = np.argsort(two, kind="stable")
         two = two[order]
-        lo, hi = np.searchsorted(two, one, "left"), np.searchsorted(two, one, "right")
+        met.append((one, order, np.searchsorted(two, one, "left"), np.searchsorted(two, one, "right")))
+    if sum(int((hi - lo).sum()) for _, _, lo, hi in met) >= len(left) * len(right):
+        # the tables spare nothing here: all pairs are verified, also those that meet in no bucket
+        return np.full((len(left), len(right)), VOTES, np.uint16)
+    votes = np.zeros(len(left) * len(right), np.uint16)
+    for one, order, lo, hi in met:
         at, ends = 0, np.cumsum(hi - lo)
         while at < len(one):
             before = int(ends[at - 1]) if at else 0
@@ -168,35 +174,107 @@ def _votes(d: np.ndarray, cuts: np.ndarray, left: np.ndarray, right: np.ndarray)
     return votes.reshape(len(left), len(right))
 
 
+def _matched(d: np.ndarray, n: np.ndarray, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Mutual matches of image pairs x, y (corners of x by pairs), and each one's corner of y; d: (words, corners, images).
+
+    Pairs lie along the last axis, so that every step runs over many of them at once. A
+    key is a distance and a corner's number: the least has the first of the nearest corners.
+    """
+    na, nb, bits = int(n[x].max()), int(n[y].max()), int(d.shape[1] - 1).bit_length()
+    kind = np.uint16 if (TESTS + 1) << bits <= 1 << 16 else np.uint32
+    one, two = (np.take(d[:, :k], which, axis=2) for k, which in ((na, x), (nb, y)))
+    number, none = np.arange(nb).astype(kind)[:, None], np.arange(nb)[:, None] >= n[y]
+    far = kind(TESTS << bits)
+    rows, columns = np.empty((na, len(x)), kind), np.full((nb, len(x)), np.iinfo(kind).max, kind)
+    word, count, key, own = (np.empty((nb, len(x)), v) for v in (np.uint64, np.uint8, kind, kind))
+    dist, clipped = np.empty((nb, len(x)), np.uint8), np.uint8(63)
+    for i in range(na):
+        # 255 bits, not 256, in bytes: far all the same
+        np.minimum(np.bitwise_count(np.bitwise_xor(two[0], one[0, i], out=word), out=dist), clipped, out=dist)
+        for k in range(1, len(d)):
+            dist += np.bitwise_count(np.bitwise_xor(two[k], one[k, i], out=word), out=count)
+        key[:] = dist
+        key <<= kind(bits)
+        if none.any():
+            key[none] = far
+        np.bitwise_or(key, number, out=own).min(axis=0, out=rows[i])
+        absent = i >= n[x]
+        if absent.any():
+            key[:, absent] = far
+            rows[i, absent] = far
+        key |= kind(i)
+        np.minimum(columns, key, out=columns)
+    j = rows & kind((1 << bits) - 1)
+    there = np.take(columns.reshape(-1), j.astype(np.int64) * len(x) + np.arange(len(x))) & kind((1 << bits) - 1)
+    return (there == np.arange(na).astype(kind)[:, None]) & (rows >> kind(bits) <= DISTANCE), j
+
+
 def _agreed(d: np.ndarray, p: np.ndarray, n: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Which image pairs have INLIERS matches that agree; d: (images, corners, words) and p: (images, corners, 4), of which the first n are there."""
     out = np.zeros(len(a), bool)
-    size = d.shape[1]
-    step = max(1, SLAB // 2 // max(1, size * size))
-    none = np.arange(size)[None] >= n[:, None]
+    d = np.ascontiguousarray(d.transpose(2, 1, 0))
     place, scale, turn = p[..., 0] + 1j * p[..., 1], p[..., 2], p[..., 3]
-    for s in range(0, len(a), step):
-        x, y = a[s : s + step], b[s : s + step]
-        dist = np.zeros((len(x), size, size), np.uint16)
-        for k in range(d.shape[2]):
-            dist += np.bitwise_count(d[x, :, None, k] ^ d[y, None, :, k])
-        dist += (none[x][:, :, None] | none[y][:, None]).astype(np.uint16) * np.uint16(TESTS + 1)
-        j = dist.argmin(axis=2)
-        mutual = np.take_along_axis(dist.argmin(axis=1), j, 1) == np.arange(size)[None]
-        mutual &= np.take_along_axis(dist, j[:, :, None], 2)[:, :, 0] <= DISTANCE
-        many = mutual.sum(axis=1)
-        for m in range(INLIERS, size + 1):
-            which = np.flatnonzero(many == m)
-            part = max(1, SLAB // 4 // (9 * m * m))
-            for at in range(0, len(which), part):
-                q = which[at : at + part]
-                i = np.nonzero(mutual[q])[1].reshape(-1, m)
-                one, two = (x[q][:, None], i), (y[q][:, None], np.take_along_axis(j[q], i, 1))
-                move = scale[two] / scale[one] * np.exp(1j * (turn[two] - turn[one]))
-                out[s + q] = _agreeing(place[one], place[two], move) >= INLIERS
+    size = p.shape[1]
+    place, scale, turn = place.reshape(-1), scale.reshape(-1), turn.reshape(-1)
+    # images with as many corners together, so that few are padded
+    order = np.argsort((n[a] * (n.max(initial=0) + 1) + n[b]).astype(np.uint16 if n.max(initial=0) < 255 else np.int64), kind="stable")
+    for s in range(0, len(a), SLAB // 16):
+        kept: dict[int, list] = {}
+        for at in range(s, min(len(a), s + SLAB // 16), CHUNK):
+            q = order[at : min(at + CHUNK, s + SLAB // 16)]
+            mutual, j = _matched(d, n, a[q], b[q])
+            many = mutual.sum(axis=0)
+            for m in range(INLIERS, len(mutual) + 1):
+                which = np.flatnonzero(many == m)
+                if len(which):
+                    i = np.nonzero(mutual[:, which].T)[1].reshape(-1, m)
+                    kept.setdefault(m, []).append((q[which], i, np.take_along_axis(j[:, which].T, i, 1).astype(np.int64)))
+        for m, found in kept.items():
+            q, i, j = (np.concatenate(v) for v in zip(*found, strict=True))
+            part = max(1, SLAB // 64 // m)
+            for at in range(0, len(q), part):
+                k = q[at : at + part]
+                one, two = (a[k][:, None] * size + i[at : at + part]).T, (b[k][:, None] * size + j[at : at + part]).T
+                may = np.flatnonzero(_may_agree(place[one], place[two], scale[two] / scale[one], turn[two] - turn[one]))
+                one, two = one.T[may], two.T[may]
+                for c in range(0, len(may), 4096):
+                    z = slice(c, c + 4096)
+                    out[k[may[z]]] = _agreeing(place[one[z]], place[two[z]], scale[two[z]] / scale[one[z]] * np.exp(1j * (turn[two[z]] - turn[one[z]]))) >= INLIERS
     return out
 
 
+def _may_agree(z: np.ndarray, w: np.ndarray, scale: np.ndarray, turn: np.ndarray) -> np.ndarray:
+    """Which pairs (matches x pairs) _agreeing() could find INLIERS matches for: its test in short numbers, with a little more room and all finer turns."""
+    m, short = len(z), np.float32
+    zr, zi, wr, wi, scale, turn = (v.astype(short) for v in (z.real, z.imag, w.real, w.imag, scale, turn))
+    fr, fi = scale * np.cos(turn), scale * np.sin(turn)
+    got = np.zeros(z.shape[1], bool)
+    u, v = np.empty_like(zr), np.empty_like(zr)
+    for base in range(m):
+        xr, xi, yr, yi = zr - zr[base], zi - zi[base], wr - wr[base], wi - wi[base]
+        size = xr * xr + xi * xi
+        far = size > 15.9
+        size[~far] = np.nan
+        hr, hi = (yr * xr + yi * xi) / size, (yi * xr - yr * xi) / size
+        # the base's own place, which gives no turn, has its corner's
+        hr[base], hi[base] = fr[base], fi[base]
+        size = hr * hr + hi * hi
+        size[(size < 0.0399) | (size > 25.1)] = np.nan
+        limit = np.maximum(1, size) * short(NEAR**2 + 0.01)
+        for h in range(m):
+            np.multiply(hr[h], xr, out=u)
+            u -= np.multiply(hi[h], xi, out=v)
+            u -= yr
+            u *= u
+            np.multiply(hr[h], xi, out=v)
+            v += hi[h] * xr
+            v -= yi
+            v *= v
+            u += v
+            got |= (u <= limit[h]).view(np.uint8).sum(axis=0, dtype=np.uint8) >= INLIERS
+    return got
+
+
 def _agreeing(z: np.ndarray, w: np.ndarray, move: np.ndarray) -> np.ndarray:
     """For pairs of as many matches each: the most of them that agree on a shift, turn and scale.
 
@@ -217,7 +295,10 @@ def _agreeing(z: np.ndarray, w: np.ndarray, move: np.ndarray) -> np.ndarray:
 
 
 def _verified(table: pa.Table) -> pa.Table:
-    """Verified links of a group, from rows (group, parts, part, image_id, n, points, bits): between its two parts, or in its one."""
+    """Verified links of a group, from rows (group, parts, part, image_id, n, points, bits): between its two parts, or in its one.
+
+    A row for each linked image: the least image it is joined to by them, itself included, and their number.
+    """
     table = table.sort_by("image_id").combine_chunks()
     ids, n, part = (table.column(c).to_numpy() for c in ("image_id", "n", "part"))
     raw, points = (b"".join(table.column(c).to_pylist()) for c in ("bits", "points"))
@@ -225,17 +306,24 @@ def _verified(table: pa.Table) -> pa.Table:
     cuts = np.concatenate([[0], np.cumsum(n)])
     group, parts = table.column("group")[0].as_py(), table.column("parts")[0].as_py()
     left, right = (np.flatnonzero(part == k) for k in divmod(group, parts))
-    i, j = np.nonzero(_votes(d, cuts, left, right) >= VOTES)
-    a, b = np.minimum(left[i], right[j]), np.maximum(left[i], right[j])
-    keep = left[i] < right[j] if group // parts == group % parts else np.ones(len(a), bool)
-    a, b = a[keep], b[keep]
     size = int(n.max())
     there = np.arange(size)[None] < n[:, None]
     words, places = np.zeros((len(n), size, TESTS // 64), np.uint64), np.ones((len(n), size, 4))
     words[there], places[there] = d.view(np.uint64).reshape(len(d), -1), p
-    keep = _agreed(words, places, n, a, b)
-    found = pa.table({"a": pa.array(ids[a[keep]]), "b": pa.array(ids[b[keep]])})
-    del table, raw, points, d, p, words, places
+    votes, found, step = _votes(d, cuts, left, right), [], max(1, SLAB // max(1, len(right)))
+    for at in range(0, len(left), step):
+        i, j = np.nonzero(votes[at : at + step] >= VOTES)
+        a, b = np.minimum(left[at + i], right[j]), np.maximum(left[at + i], right[j])
+        if group // parts == group % parts:
+            keep = left[at + i] < right[j]
+            a, b = a[keep], b[keep]
+        keep = _agreed(words, places, n, a, b)
+        found.append(np.stack([a[keep], b[keep]]))
+    a, b = np.concatenate([np.zeros((2, 0), np.int64), *found], axis=1)
+    links = np.bincount(np.concatenate([a, b]), minlength=len(ids))
+    linked = np.flatnonzero(links)
+    found = pa.table({"a": pa.array(ids[linked]), "b": pa.array(ids[forest(a, b, len(ids))[linked]]), "n_links": pa.array(links[linked])})
+    del table, raw, points, d, p, words, places, votes
     trim()
     return found
 
@@ -254,10 +342,10 @@ def copies(images: DataFrame) -> DataFrame:
     own = F.pmod(F.xxhash64("image_id"), F.lit(parts)).cast("int")
     group = F.transform(F.sequence(F.lit(0), F.lit(parts - 1)), lambda i: F.least(i, F.col("part")) * parts + F.greatest(i, F.col("part")))
     groups = some.select("image_id", "n", "points", "bits", own.alias("part"), F.lit(parts).alias("parts")).withColumn("group", F.explode(group))
-    checked = groups.groupBy("group").applyInArrow(_verified, "a long, b long")
+    checked = groups.groupBy("group").applyInArrow(_verified, "a long, b long, n_links long")
     links = materialize(checked, "media")
-    count = links.select("a").union(links.select("b")).groupBy("a").count().select(F.col("a").alias("image_id"), F.col("count").alias("n_links"))
-    classed = firsts.select("content", "image_id").join(components(links).select(F.col("node").alias("image_id"), "root"), "image_id", "left").join(count, "image_id", "left").select("content", F.coalesce("root", "image_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    count = links.groupBy(F.col("a").alias("image_id")).agg(F.sum("n_links").alias("n_links"))
+    classed = firsts.select("content", "image_id").join(components(links.select("a", "b")).select(F.col("node").alias("image_id"), "root"), "image_id", "left").join(count, "image_id", "left").select("content", F.coalesce("root", "image_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
     return found.select("image_id", F.col("n").alias("n_corners"), "content").join(classed, "content", "left").select("image_id", "n_corners", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("class_id", "image_id").alias("class_id"))
 
 

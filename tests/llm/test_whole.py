@@ -222,3 +222,59 @@ def test_lm_steps_and_found_hashes():
         h = np.concatenate([known, known + np.uint64(1), known - np.uint64(1), rng.integers(0, 2**64, 99, np.uint64)])
         at, there = lm.Sorted(known).find(h)
         assert (there == np.isin(h, known)).all() and (known[at[there]] == h[there]).all()
+
+
+def _linked(images):
+    """(image, least image joined to it, links) that _verified() finds among images (points, descriptors) in one part."""
+    import pyarrow as pa
+
+    rows = [{"group": 0, "parts": 1, "part": 0, "image_id": k, "n": len(p), "points": p.astype("<f4").tobytes(), "bits": d.tobytes()} for k, (p, d) in enumerate(images)]
+    return {tuple(r.values()) for r in media._verified(pa.Table.from_pylist(rows)).to_pylist()}
+
+
+def test_media_links_of_crowded_tables():
+    """Where tables are so crowded that they spare nothing, two images that meet in no bucket are linked too."""
+    rng = np.random.default_rng(3)
+    points = lambda n: np.column_stack([rng.random((n, 2)) * 60, np.ones(n), np.zeros(n)])
+    d = rng.integers(0, 256, (7, media.TESTS // 8)).astype(np.uint8)
+    on = np.unpackbits(d, axis=1)
+    on[:, media.TABLE_BITS[:, 0]] ^= 1  # one bit of every table's keys
+    p, e = points(7), np.packbits(on, axis=1)
+    assert not (media._keys(d) == media._keys(e)).any()
+    crowd = np.tile(rng.integers(0, 256, (1, media.TESTS // 8)).astype(np.uint8), (9, 1))
+    assert _linked([(p, d), (p + [5, 3, 0, 0], e)] + [(points(9), crowd) for _ in range(4)]) == {(0, 0, 1), (1, 0, 1)}
+    assert _linked([(points(7), d), (points(7), e)] + [(points(9), crowd) for _ in range(4)]) == set()
+
+
+def test_media_near_copies_are_a_row_each():
+    """A group of near copies gives a row an image, not one a pair, and all its links are counted."""
+    rng = np.random.default_rng(4)
+    p, d = np.column_stack([rng.random((7, 2)) * 60, np.ones(7), np.zeros(7)]), rng.integers(0, 256, (7, media.TESTS // 8)).astype(np.uint8)
+    other = rng.integers(0, 256, d.shape).astype(np.uint8)
+    assert _linked([(p, other)] + [(p + [k, 0, 0, 0], d) for k in range(30)]) == {(k, 1, 29) for k in range(1, 31)}
+
+
+@pytest.mark.parametrize("size", [3, 9, 24])
+def test_media_pairs_by_definition(size):
+    """Images of any number of corners, many pairs at once, have the links that each pair has by itself."""
+    rng = np.random.default_rng(size)
+    images = []
+    for k in range(48):
+        n = int(rng.integers(0, size + 1))
+        z, d, s, t = rng.random(n) * 60 + 60j * rng.random(n), rng.integers(0, 256, (n, media.TESTS // 8)).astype(np.uint8), rng.choice([1.0, 2.0], n), rng.random(n) * 6 - 3
+        if k >= 24:
+            # a turned, scaled and noisy copy of some corners of another, in another order
+            q, e = images[k - 24]
+            some = rng.permutation(len(q))
+            f = rng.uniform(0.3, 3) * np.exp(1j * rng.uniform(-3, 3))
+            z = f * (q[some, 0] + 1j * q[some, 1]) + (rng.normal(0, 1.5, (len(some), 2)) @ [1, 1j])
+            d, s, t = e[some] ^ (rng.random((len(some), media.TESTS // 8)) < 0.4), q[some, 2] * abs(f), q[some, 3] + np.angle(f)
+        images.append((np.column_stack([z.real, z.imag, s, t]).astype(np.float32).astype(float), np.ascontiguousarray(d.astype(np.uint8))))
+    n = np.array([len(p) for p, _ in images])
+    words, places = np.zeros((48, n.max(), media.TESTS // 64), np.uint64), np.ones((48, n.max(), 4))
+    for k, (p, d) in enumerate(images):
+        words[k, : n[k]], places[k, : n[k]] = d.view(np.uint64), p
+    a, b = np.triu_indices(48, 1)
+    want = [agreeing(*images[i], *images[j]) >= media.INLIERS for i, j in zip(a.tolist(), b.tolist())]
+    assert media._agreed(words, places, n, a, b).tolist() == want and (any(want) or size < media.INLIERS)
+    assert len(media._agreed(words, places, n, a[:0], b[:0])) == 0
